@@ -471,3 +471,119 @@ def q_seller_features_test(spark, sf):
 def q_cold_start_sellers(spark, sf):
     train, test = _train_test(spark, sf)
     return sellers.cold_start(train, test)
+
+# ======================================================= seller segments ==
+
+_SEG_SQL = """
+sperf AS (
+  SELECT seller_id, count(order_id) AS order_count, avg(review_score) AS avg_review, avg(satisfied) AS sat_rate,
+         avg(is_late) AS late_rate, avg(distance_km) AS avg_distance, avg(actual_delivery_days) AS avg_delivery_days,
+         avg(total_order_value) AS avg_order_value
+  FROM feat WHERE seller_id IS NOT NULL GROUP BY seller_id HAVING count(order_id) >= 5),
+seg AS (SELECT *, CAST(seller_id % 4 AS INTEGER) AS segment FROM sperf),
+segm AS (SELECT segment, avg(avg_review) AS avg_review, avg(late_rate) AS late_rate, avg(order_count) AS order_count
+         FROM seg GROUP BY segment),
+segq AS (SELECT quantile_cont(avg_review, 0.7) AS r70, quantile_cont(late_rate, 0.3) AS l30,
+                quantile_cont(late_rate, 0.7) AS l70, quantile_cont(order_count, 0.5) AS o50 FROM segm),
+segb AS (SELECT segment, CASE WHEN avg_review >= r70 AND late_rate <= l30 THEN 'Top Performers'
+                              WHEN late_rate >= l70 THEN 'At-Risk'
+                              WHEN order_count >= o50 THEN 'High Volume' ELSE 'Developing' END AS base
+         FROM segm, segq),
+segn AS (SELECT segment, CASE WHEN rn = 1 THEN base ELSE base || ' (' || rn || ')' END AS segment_name
+         FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY segment) AS rn FROM segb)),
+named AS (SELECT seg.*, segn.segment_name FROM seg JOIN segn ON seg.segment = segn.segment),
+profile AS (SELECT segment_name, count(seller_id) AS n, round_even(avg(avg_review), 3) AS avg_review,
+                   round_even(avg(sat_rate), 3) AS sat_rate, round_even(avg(late_rate), 3) AS late_rate,
+                   round_even(avg(order_count), 3) AS avg_orders, round_even(avg(avg_distance), 3) AS avg_distance
+            FROM named GROUP BY segment_name)"""
+
+
+def _seller_perf(spark, sf):
+    return sellers.seller_performance(_features(spark, sf))
+
+
+def _named_given(spark, sf):
+    return sellers.name_sellers(sellers.given_segments(_seller_perf(spark, sf)))
+
+
+_PERF_COLS = ["avg_review", "sat_rate", "late_rate", "avg_distance", "avg_delivery_days", "avg_order_value"]
+
+
+@register("q_seller_performance", on_master(
+    "SELECT seller_id, order_count, " + ", ".join(
+        f"{R(c, 4 if c == 'avg_order_value' else 6)} AS {c}" for c in _PERF_COLS) + " FROM sperf",
+    _SEG_SQL))
+def q_seller_performance(spark, sf):
+    # currency means (~1e5) are compared at 4 decimals: the 12th significant
+    # digit depends on the summation order of each engine
+    perf = _seller_perf(spark, sf).withColumn("avg_order_value", F.round("avg_order_value", 4))
+    return rounded(perf)
+
+
+_LOG_SQL = """
+cmed AS (SELECT median(avg_review) AS m_avg_review, median(late_rate) AS m_late_rate, median(avg_distance) AS m_avg_distance,
+                median(avg_delivery_days) AS m_avg_delivery_days, median(order_count) AS m_order_count,
+                median(avg_order_value) AS m_avg_order_value FROM sperf)"""
+
+
+@register("q_seller_features_log", on_master(
+    "SELECT seller_id, "
+    + ", ".join(
+        (f"{R(f'ln(1 + coalesce(CAST({c} AS DOUBLE), m_{c}))')} AS {c}" if c in sellers.LOG_COLUMNS
+         else f"{R(f'coalesce(CAST({c} AS DOUBLE), m_{c})')} AS {c}")
+        for c in sellers.CLUSTER_COLUMNS)
+    + " FROM sperf, cmed", _SEG_SQL, _LOG_SQL))
+def q_seller_features_log(spark, sf):
+    return rounded(sellers.clustering_inputs(_seller_perf(spark, sf)))
+
+
+@register("q_segment_names_given", on_master(
+    "SELECT seller_id, segment, segment_name FROM named", _SEG_SQL))
+def q_segment_names_given(spark, sf):
+    return _named_given(spark, sf).select("seller_id", "segment", "segment_name")
+
+
+@register("q_segment_profile", on_master(
+    "SELECT segment_name, n, " + ", ".join(f"{R(c)} AS {c}" for c in
+                                            ["avg_review", "sat_rate", "late_rate", "avg_orders", "avg_distance"])
+    + " FROM profile", _SEG_SQL))
+def q_segment_profile(spark, sf):
+    return rounded(sellers.segment_profile(_named_given(spark, sf)))
+
+
+_RADAR_SQL = """
+radar_m AS (SELECT segment_name, avg(avg_review) AS avg_review, avg(sat_rate) AS sat_rate, avg(late_rate) AS late_rate,
+                   avg(avg_distance) AS avg_distance, avg(avg_delivery_days) AS avg_delivery_days,
+                   avg(order_count) AS order_count FROM named GROUP BY segment_name)"""
+
+
+def _radar_sql_col(c: str) -> str:
+    norm = (f"CASE WHEN max({c}) OVER () - min({c}) OVER () <> 0 THEN "
+            f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END")
+    expr = f"1.0E0 - ({norm})" if c in sellers.RADAR_INVERTED else norm
+    return f"{R(expr)} AS {c}"
+
+
+@register("q_segment_radar", on_master(
+    "SELECT segment_name, " + ", ".join(_radar_sql_col(c) for c in sellers.RADAR_COLUMNS) + " FROM radar_m",
+    _SEG_SQL, _RADAR_SQL))
+def q_segment_radar(spark, sf):
+    return rounded(sellers.segment_radar(_named_given(spark, sf)))
+
+
+@register("q_recommendations_given", on_master(
+    "SELECT segment_name AS Segment, n AS Sellers, printf('%.1f%%', sat_rate * 100) AS Satisfaction, "
+    "printf('%.1f%%', late_rate * 100) AS Late_Rate, "
+    "CASE WHEN sat_rate > 0.8 AND late_rate < 0.1 THEN 'Reward: featured placement, reduced commission' "
+    "WHEN late_rate > 0.15 THEN 'Improve: logistics support, delivery monitoring' "
+    "WHEN sat_rate < (SELECT quantile_cont(sat_rate, 0.5) FROM profile) THEN 'Support: quality guidelines, feedback loops' "
+    "ELSE 'Maintain: standard monitoring, periodic review' END AS Strategy FROM profile", _SEG_SQL))
+def q_recommendations_given(spark, sf):
+    return sellers.recommendations(sellers.segment_profile(_named_given(spark, sf)))
+
+
+@register("q_seller_scatter", on_master(
+    f"SELECT seller_id, segment_name, {R('late_rate * 100')} AS late_pct, {R('sat_rate * 100')} AS sat_pct, "
+    f"{R('order_count * 0.5E0')} AS size FROM named", _SEG_SQL))
+def q_seller_scatter(spark, sf):
+    return rounded(sellers.seller_scatter(_named_given(spark, sf)))

@@ -39,10 +39,12 @@ def seller_stats(train: DataFrame) -> DataFrame:
 
 
 def fill_with(df: DataFrame, stats_row: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace NULLs in ``cols`` by the value of the one-row ``stats_row``
-    (scalar subqueries: no join, no driver round trip)."""
+    """Replace NULLs in ``cols`` by the values of the one-row ``stats_row``
+    (fetched as driver scalars: one bounded row, then literals in the plan)."""
+    row = stats_row.select(*cols).first()
     return df.select(*[
-        F.coalesce(F.col(c), stats_row.select(c).scalar()).alias(c) if c in cols else F.col(c)
+        F.coalesce(F.col(c), F.lit(row[c]).cast(df.schema[c].dataType)).alias(c)
+        if c in cols and row is not None and row[c] is not None else F.col(c)
         for c in df.columns])
 
 
@@ -95,19 +97,30 @@ def clustering_inputs(sellers: DataFrame) -> DataFrame:
         for c in CLUSTER_COLUMNS])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Materialise a table of a few rows (k segment rows) once, so the
+    several statistics over it do not recompute the seller aggregate."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def segment_names(sellers: DataFrame, segment_col: str = "segment") -> DataFrame:
     """Rule names per segment from the segment means (k rows):
 
     Top Performers: review >= q70 and late rate <= q30 of the segment means;
     At-Risk: late rate >= q70; High Volume: order count >= median;
     else Developing. A repeated name gets " (2)", " (3)" in segment order.
+    Quantiles interpolate linearly between the k means.
     """
-    means = sellers.groupBy(segment_col).agg(*[F.avg(c).alias(c) for c in CLUSTER_COLUMNS + ["sat_rate"]])
-    q = lambda c, p: means.agg(F.percentile(c, p)).scalar()  # noqa: E731  (k-row table)
-    base = (F.when((F.col("avg_review") >= q("avg_review", 0.7))
-                   & (F.col("late_rate") <= q("late_rate", 0.3)), TOP)
-            .when(F.col("late_rate") >= q("late_rate", 0.7), AT_RISK)
-            .when(F.col("order_count") >= q("order_count", 0.5), HIGH_VOLUME)
+    means = _small(sellers.groupBy(segment_col).agg(
+        *[F.avg(c).alias(c) for c in CLUSTER_COLUMNS + ["sat_rate"]]))
+    q = means.agg(F.percentile("avg_review", 0.7).alias("r70"),
+                  F.percentile("late_rate", 0.3).alias("l30"),
+                  F.percentile("late_rate", 0.7).alias("l70"),
+                  F.percentile("order_count", 0.5).alias("o50")).first()
+    lit = lambda v: F.lit(v).cast("double")
+    base = (F.when((F.col("avg_review") >= lit(q["r70"])) & (F.col("late_rate") <= lit(q["l30"])), TOP)
+            .when(F.col("late_rate") >= lit(q["l70"]), AT_RISK)
+            .when(F.col("order_count") >= lit(q["o50"]), HIGH_VOLUME)
             .otherwise(DEVELOPING))
     named = means.select(segment_col, base.alias("_base"))
     rn = F.row_number().over(Window.partitionBy("_base").orderBy(segment_col))
@@ -150,7 +163,7 @@ def segment_radar(named: DataFrame) -> DataFrame:
 
 def recommendations(profile: DataFrame) -> DataFrame:
     """Strategy per segment from the rounded profile."""
-    med = profile.agg(F.percentile("sat_rate", 0.5)).scalar()
+    med = F.lit(profile.agg(F.percentile("sat_rate", 0.5)).first()[0]).cast("double")
     strategy = (F.when((F.col("sat_rate") > 0.8) & (F.col("late_rate") < 0.1), REWARD)
                 .when(F.col("late_rate") > 0.15, IMPROVE)
                 .when(F.col("sat_rate") < med, SUPPORT)
