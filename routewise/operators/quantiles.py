@@ -17,41 +17,38 @@ driver and a hot group is spread over ``n_buckets`` tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routewise.operators.rank import grouped_prefix_sums
 
-def grouped_positions(df: DataFrame, group_col: str, value_col: str,
+
+def value_counts(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
+    """(group, value, _n): map-side-combined counts of non-NULL values."""
+    return (df.filter(F.col(value_col).isNotNull())
+            .groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def grouped_positions(counts: DataFrame, group_col: str, value_col: str,
                       n_buckets: int = 32, accuracy: int = 10000) -> DataFrame:
-    """(group, value, n, cum_before, total): one row per distinct value of
-    each group with the count of smaller values in the same group."""
-    counts = (df.filter(F.col(value_col).isNotNull())
-              .groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("_n")))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = counts.groupBy(group_col).agg(
-        F.percentile_approx(value_col, probs, accuracy).alias("_bounds"),
-        F.sum("_n").alias("_total"))
-    v = F.col(value_col)
-    bucketed = counts.join(bounds, group_col).withColumn(
-        "_bucket", F.size(F.filter(F.col("_bounds"), lambda b: b < v)))
-    w = (Window.partitionBy(group_col, "_bucket").orderBy(value_col)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = bucketed.withColumn("_loc", F.sum("_n").over(w))
-    per_bucket = bucketed.groupBy(group_col, "_bucket").agg(F.sum("_n").alias("_bn"))
-    wb = Window.partitionBy(group_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(group_col, "_bucket",
-                                F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [group_col, "_bucket"])
-            .select(group_col, value_col, F.col("_n").alias("n"),
-                    (F.col("_loc") + F.col("_off") - F.col("_n")).alias("cum_before"),
-                    F.col("_total").alias("total")))
+    """(group, value, n, cum_before, total) from ``value_counts`` output:
+    one row per distinct value with the count of smaller values."""
+    cum = grouped_prefix_sums(counts, group_col, value_col, ["_n"], n_buckets, accuracy)
+    # one row per group (not a window over the group: a hot group would
+    # land in a single task)
+    totals = counts.groupBy(group_col).agg(F.sum("_n").alias("total"))
+    return cum.join(totals, group_col).select(
+        group_col, value_col, F.col("_n").alias("n"),
+        (F.col("cum__n") - F.col("_n")).alias("cum_before"), "total")
 
 
 def grouped_quantile(df: DataFrame, group_col: str, value_col: str, q: float = 0.5,
-                     out_col: str | None = None, n_buckets: int = 32) -> DataFrame:
+                     out_col: str | None = None, n_buckets: int = 32,
+                     counts: DataFrame | None = None) -> DataFrame:
     """Exact q-quantile of ``value_col`` per group (NULLs ignored)."""
     out_col = out_col or f"q_{value_col}"
-    pos = grouped_positions(df, group_col, value_col, n_buckets)
+    counts = counts if counts is not None else value_counts(df, group_col, value_col)
+    pos = grouped_positions(counts, group_col, value_col, n_buckets)
     h = (F.col("total") - 1) * F.lit(q)
     lo, hi = F.floor(h), F.ceil(h)
     covers = lambda p: (F.col("cum_before") <= p) & (p < F.col("cum_before") + F.col("n"))
@@ -66,21 +63,40 @@ def grouped_quantile(df: DataFrame, group_col: str, value_col: str, q: float = 0
     return agg.select(group_col, val.alias(out_col))
 
 
-def column_medians(df: DataFrame, cols: list[str], n_buckets: int = 32) -> DataFrame:
-    """Exact median of each column, one row per column: (feature, median).
-
-    Columns are unpivoted to (feature, value) so all of them are computed
-    by the same shuffles."""
-    long = df.select(F.explode(F.array(*[
+def _long(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols
     ])).alias("kv")).select("kv.feature", "kv.value")
-    med = grouped_quantile(long, "feature", "value", 0.5, "median", n_buckets)
-    # columns with no value at all still get a (NULL) row
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
-    return names.join(med, "feature", "left")
+
+
+def exact_medians(df: DataFrame, cols: list[str], n_buckets: int = 32) -> dict:
+    """Exact median of each column (NULLs skipped; all-NULL -> None).
+
+    Columns are unpivoted to (feature, value) so one set of shuffles serves
+    all of them; the (feature, value, count) table is persisted for the
+    few passes over it and released afterwards. Returns one scalar per
+    column (a bounded result).
+    """
+    counts = value_counts(_long(df, cols), "feature", "value").persist()
+    try:
+        rows = grouped_quantile(None, "feature", "value", 0.5, "median", n_buckets,
+                                counts=counts).collect()
+    finally:
+        counts.unpersist()
+    got = {r["feature"]: r["median"] for r in rows}
+    return {c: got.get(c) for c in cols}
+
+
+def column_medians(df: DataFrame, cols: list[str], n_buckets: int = 32) -> DataFrame:
+    """(feature, median) rows, one per column."""
+    med = exact_medians(df, cols, n_buckets)
+    return df.sparkSession.createDataFrame([(c, med[c]) for c in cols],
+                                           "feature string, median double")
 
 
 def medians_row(df: DataFrame, cols: list[str], n_buckets: int = 32) -> DataFrame:
     """The exact medians as one wide row (column names kept)."""
-    med = column_medians(df, cols, n_buckets)
-    return med.groupBy().pivot("feature", cols).agg(F.first("median"))
+    med = exact_medians(df, cols, n_buckets)
+    schema = ", ".join(f"`{c}` double" for c in cols)
+    return df.sparkSession.createDataFrame(
+        [tuple(None if med[c] is None else float(med[c]) for c in cols)], schema)

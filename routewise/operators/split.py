@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from routewise.session import cut_lineage
+
 
 def _boundary(hist: list[tuple], need: int):
     """(bucket, rows of that bucket that go to train) for a sorted histogram."""
@@ -32,9 +34,17 @@ def _boundary(hist: list[tuple], need: int):
 
 def chronological_split(df: DataFrame, ts_col: str = "order_purchase_timestamp",
                         tie_cols: tuple[str, ...] = ("order_id", "review_score"),
-                        train_frac: float = 0.8, label_col: str = "is_train") -> DataFrame:
+                        train_frac: float = 0.8, label_col: str = "is_train",
+                        materialize: bool = True) -> DataFrame:
     """Adds ``label_col`` (1 = train, 0 = test): the first floor(f * n) rows
-    in (ts, *tie_cols) order are train. NULL timestamps sort last."""
+    in (ts, *tie_cols) order are train. NULL timestamps sort last.
+
+    ``materialize``: the input is read by two histogram jobs and both label
+    branches, and the parts feed many later statistics, so it is written
+    once to the shared checkpoint folder (lineage cut, executor-loss safe).
+    """
+    if materialize:
+        df = cut_lineage(df)
     ts = F.col(ts_col)
     day = F.to_date(ts)
     days = [(r[0], r[1]) for r in

@@ -587,3 +587,130 @@ def q_recommendations_given(spark, sf):
     f"{R('order_count * 0.5E0')} AS size FROM named", _SEG_SQL))
 def q_seller_scatter(spark, sf):
     return rounded(sellers.seller_scatter(_named_given(spark, sf)))
+
+# ===================================================== 2.7 ML on frames ==
+
+from routewise.operators import evaluate as ev  # noqa: E402
+from routewise.plans import prediction as pr  # noqa: E402
+
+_FEATS = pr.FEATURE_COLUMNS
+
+
+def _seller_featured(spark, sf):
+    train, test = _train_test(spark, sf)
+    return sellers.add_seller_features(train, test)
+
+
+def _imputed(spark, sf):
+    tr, te = _seller_featured(spark, sf)
+    tr = pr.as_features(tr, _FEATS, ROW_KEY)
+    te = pr.as_features(te, _FEATS, ROW_KEY)
+    return pr.impute_medians(tr, te, _FEATS)
+
+
+_IMPUTE_SQL = ("fmed AS (SELECT " + ", ".join(f"median(CAST({c} AS DOUBLE)) AS m_{c}" for c in _FEATS)
+               + " FROM train_f)")
+_FILLED_COLS = ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in _FEATS)
+_FILLED_SQL = f"""
+xtrain AS (SELECT order_id, review_score, {_FILLED_COLS}, satisfied FROM train_f, fmed),
+xtest AS (SELECT order_id, review_score, {_FILLED_COLS}, satisfied FROM test_f, fmed)"""
+
+
+@register("q_impute_median", on_master(
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, {R(f'm_{c}')} AS median FROM fmed" for c in _FEATS),
+    _SELLER_SQL, _IMPUTE_SQL))
+def q_impute_median(spark, sf):
+    _, _, meds = _imputed(spark, sf)
+    pairs = [x for c in _FEATS for x in (F.lit(c), F.col(c))]
+    return rounded(meds.select(F.stack(F.lit(len(_FEATS)), *pairs).alias("feature", "median")))
+
+
+@register("q_feature_matrix", on_master(
+    "SELECT order_id, review_score, 1 AS is_train, " + ", ".join(f"{R(c)} AS {c}" for c in _FEATS)
+    + ", satisfied FROM xtrain UNION ALL SELECT order_id, review_score, 0, "
+    + ", ".join(f"{R(c)}" for c in _FEATS) + ", satisfied FROM xtest",
+    _SELLER_SQL, _IMPUTE_SQL, _FILLED_SQL))
+def q_feature_matrix(spark, sf):
+    tr, te, _ = _imputed(spark, sf)
+    both = tr.withColumn("is_train", F.lit(1)).unionByName(te.withColumn("is_train", F.lit(0)))
+    return rounded(both.select(*ROW_KEY, "is_train", *_FEATS, pr.LABEL))
+
+
+@register("q_standardize", on_master(
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, {R(f'avg({c})')} AS mean, {R(f'stddev_pop({c})')} AS std "
+                       "FROM xtrain" for c in _FEATS),
+    _SELLER_SQL, _IMPUTE_SQL, _FILLED_SQL))
+def q_standardize(spark, sf):
+    tr, _, _ = _imputed(spark, sf)
+    st = pr.scaler_stats(tr, _FEATS)
+    rows = [(c, st[f"m_{c}"], st[f"s_{c}"]) for c in _FEATS]
+    # 20 feature rows of moments computed by one aggregate over train
+    return rounded(spark.createDataFrame(rows, "feature string, mean double, std double"))
+
+
+_EVAL_SQL = """
+ev AS (SELECT order_id, review_score, satisfied AS label, 0.0E0 - coalesce(delivery_delay_days, 0.0E0) AS score,
+              CAST(0.0E0 - coalesce(delivery_delay_days, 0.0E0) >= 0 AS INTEGER) AS prediction FROM test),
+evc AS (SELECT count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+               count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+               count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+               count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM ev),
+evm AS (SELECT *, coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0,
+               coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1,
+               CAST(tn + fp AS DOUBLE) AS s0, CAST(fn + tp AS DOUBLE) AS s1 FROM evc),
+evf AS (SELECT *, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1,
+               s0 + s1 AS n FROM evm)"""
+
+
+@register("q_confusion_matrix", on_master(
+    "SELECT 0 AS actual, 0 AS predicted, tn AS n FROM evc UNION ALL SELECT 0, 1, fp FROM evc "
+    "UNION ALL SELECT 1, 0, fn FROM evc UNION ALL SELECT 1, 1, tp FROM evc", _SELLER_SQL, _EVAL_SQL))
+def q_confusion_matrix(spark, sf):
+    _, test = _train_test(spark, sf)
+    return ev.confusion_matrix(pr.given_scores(test))
+
+
+@register("q_classification_report", on_master(
+    f"SELECT '0' AS class_label, {R('p0')} AS precision, {R('r0')} AS recall, {R('f0')} AS f1_score, CAST(s0 AS BIGINT) AS support FROM evf "
+    f"UNION ALL SELECT '1', {R('p1')}, {R('r1')}, {R('f1')}, CAST(s1 AS BIGINT) FROM evf "
+    f"UNION ALL SELECT 'accuracy', NULL, NULL, {R('(tp + tn) / n')}, CAST(n AS BIGINT) FROM evf "
+    f"UNION ALL SELECT 'macro avg', {R('(p0 + p1) / 2')}, {R('(r0 + r1) / 2')}, {R('(f0 + f1) / 2')}, CAST(n AS BIGINT) FROM evf "
+    f"UNION ALL SELECT 'weighted avg', {R('(p0 * s0 + p1 * s1) / n')}, {R('(r0 * s0 + r1 * s1) / n')}, "
+    f"{R('(f0 * s0 + f1 * s1) / n')}, CAST(n AS BIGINT) FROM evf", _SELLER_SQL, _EVAL_SQL))
+def q_classification_report(spark, sf):
+    _, test = _train_test(spark, sf)
+    return rounded(ev.classification_report(pr.given_scores(test)))
+
+
+_AUC_SQL = """
+auc_h AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+          FROM ev GROUP BY score),
+auc_c AS (SELECT *, sum(neg) OVER (ORDER BY score) - neg AS below FROM auc_h)"""
+
+
+@register("q_auc", on_master(
+    f"SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, "
+    f"{R('sum(pos * (below + neg / 2.0E0)) / (sum(pos) * sum(neg))')} AS auc FROM auc_c",
+    _SELLER_SQL, _EVAL_SQL, _AUC_SQL))
+def q_auc(spark, sf):
+    _, test = _train_test(spark, sf)
+    return rounded(ev.auc(pr.given_scores(test)))
+
+
+_ROC_SQL = """
+roc_c AS (SELECT score AS threshold, pos, neg,
+                 sum(pos) OVER (ORDER BY score DESC) AS tps, sum(neg) OVER (ORDER BY score DESC) AS fps,
+                 row_number() OVER (ORDER BY score DESC) AS idx,
+                 lead(pos) OVER (ORDER BY score DESC) AS npos, lead(neg) OVER (ORDER BY score DESC) AS nneg
+          FROM auc_h),
+roc_t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM auc_h)"""
+
+
+@register("q_roc_curve", on_master(
+    "SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0E0 AS fpr, 0.0E0 AS tpr "
+    f"UNION ALL SELECT {R('threshold')}, {R('fps / N')}, {R('tps / P')} FROM roc_c, roc_t "
+    "WHERE idx = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg",
+    _SELLER_SQL, _EVAL_SQL, _AUC_SQL, _ROC_SQL))
+def q_roc_curve(spark, sf):
+    _, test = _train_test(spark, sf)
+    return rounded(ev.roc_curve(pr.given_scores(test)))
