@@ -7,7 +7,7 @@ oversampling) is fitted on the training part and only applied to test.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routewise.operators.quantiles import medians_row
@@ -64,3 +64,159 @@ def given_scores(test: DataFrame) -> DataFrame:
     score = F.lit(0.0) - F.coalesce(F.col("delivery_delay_days"), F.lit(0.0))
     return test.select("order_id", "review_score", F.col(LABEL).alias("label"),
                        score.alias("score"), (score >= 0).cast("int").alias("prediction"))
+
+
+# --------------------------------------------------------------------------
+# Models
+# --------------------------------------------------------------------------
+
+import random  # noqa: E402
+
+from pyspark.ml.classification import GBTClassifier, LogisticRegression  # noqa: E402
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator  # noqa: E402
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+from pyspark.ml.tuning import CrossValidator  # noqa: E402
+
+from routewise.operators.evaluate import grouped_auc  # noqa: E402
+
+# The boosted-tree search space (972 combinations).
+REFERENCE_GRID = {
+    "n_estimators": [100, 150, 200],
+    "max_depth": [4, 5, 6, 7],
+    "learning_rate": [0.05, 0.1, 0.15],
+    "subsample": [0.7, 0.8, 0.9],
+    "colsample_bytree": [0.7, 0.8, 0.9],
+    "min_child_weight": [1, 3, 5],
+}
+# A small space with the same knobs for quick runs (registered checks).
+QUICK_GRID = {
+    "n_estimators": [10, 15], "max_depth": [3, 4], "learning_rate": [0.1, 0.15],
+    "subsample": [0.8, 0.9], "colsample_bytree": [0.8, 0.9], "min_child_weight": [1, 3],
+}
+
+
+def vectorize(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
+    return VectorAssembler(inputCols=cols, outputCol=out).transform(df)
+
+
+def balanced_weights(df: DataFrame, label: str = LABEL) -> dict:
+    """n / (2 n_c) per class (2-row aggregate)."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    n = sum(counts.values())
+    return {c: n / (len(counts) * m) for c, m in counts.items()}
+
+
+def fit_logistic(train: DataFrame, cols: list[str], C: float = 1.0, max_iter: int = 1000,
+                 label: str = LABEL):
+    """L2 logistic regression with class-balanced weights on standardised
+    features. sklearn's objective C * sum(w l) + |b|^2 / 2 equals MLlib's
+    mean(w l) + regParam |b|^2 / 2 with regParam = 1 / (C * sum(w))."""
+    stats = scaler_stats(train, cols)
+    weights = balanced_weights(train, label)
+    wcol = F.lit(0.0)
+    for c, w in weights.items():
+        wcol = F.when(F.col(label) == c, F.lit(w)).otherwise(wcol)
+    data = vectorize(standardize(train, cols, stats), cols).withColumn("_w", wcol)
+    sum_w = sum(weights[c] * m for c, m in
+                {r[0]: r[1] for r in train.groupBy(label).count().collect()}.items())
+    lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w",
+                            regParam=1.0 / (C * sum_w), elasticNetParam=0.0, maxIter=max_iter,
+                            standardization=False, fitIntercept=True)
+    return lr.fit(data), stats
+
+
+def predict(model, df: DataFrame, cols: list[str], stats=None, keep=("order_id", "review_score"),
+            label: str = LABEL) -> DataFrame:
+    """(keep..., label, prediction, score = P(class 1))."""
+    x = standardize(df, cols, stats) if stats is not None else df
+    out = model.transform(vectorize(x, cols))
+    return out.select(*keep, F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"),
+                      vector_to_array("probability")[1].alias("score"))
+
+
+def sample_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
+    """``n_iter`` distinct points of the full grid (without replacement)."""
+    keys = sorted(grid)
+    sizes = [len(grid[k]) for k in keys]
+    total = 1
+    for s in sizes:
+        total *= s
+    picks = random.Random(seed).sample(range(total), min(n_iter, total))
+    out = []
+    for p in picks:
+        point = {}
+        for k, s in zip(keys, sizes):
+            point[k] = grid[k][p % s]
+            p //= s
+        out.append(point)
+    return out
+
+
+def _gbt_params(gbt: GBTClassifier, point: dict) -> dict:
+    return {gbt.maxIter: point["n_estimators"], gbt.maxDepth: point["max_depth"],
+            gbt.stepSize: point["learning_rate"], gbt.subsamplingRate: point["subsample"],
+            gbt.featureSubsetStrategy: str(point["colsample_bytree"]),
+            gbt.minInstancesPerNode: point["min_child_weight"]}
+
+
+def tune_gbt(train: DataFrame, cols: list[str], fold_col: str = "fold", grid: dict = REFERENCE_GRID,
+             n_iter: int = 20, n_folds: int = 5, seed: int = 42, parallelism: int = 4,
+             label: str = LABEL):
+    """Randomised search over ``grid`` scored by F1 of class 1 with the
+    given (stratified) fold column; the best point is refit on all rows."""
+    data = vectorize(train, cols)
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=seed)
+    maps = [_gbt_params(gbt, p) for p in sample_grid(grid, n_iter, seed)]
+    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel",
+                                           metricLabel=1.0)
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=ev, numFolds=n_folds,
+                        foldCol=fold_col, parallelism=parallelism, seed=seed)
+    return cv.fit(data)
+
+
+def gain_importance(model, cols: list[str]) -> list[tuple[str, float]]:
+    """Normalised impurity-gain importance per feature."""
+    imp = model.featureImportances.toArray()
+    return [(c, float(v)) for c, v in zip(cols, imp)]
+
+
+def permutation_importance(model, test: DataFrame, cols: list[str], id_col: str,
+                           n_repeats: int = 10, seed: int = 42, stats=None,
+                           block_rows: int = 100_000, label: str = LABEL) -> DataFrame:
+    """Mean AUC drop when one feature is shuffled, per feature.
+
+    All (feature, repeat) copies are scored by one ``transform`` and one
+    grouped AUC. A copy shuffles the feature inside random blocks of about
+    ``block_rows`` rows (block = hash(id, feature, repeat)): the values are
+    re-dealt by a second hash, which breaks the feature-label link like a
+    full permutation while every block stays one task.
+    """
+    base = predict(model, test, cols, stats, keep=(id_col,), label=label)
+    base_auc = grouped_auc(base.withColumn("_g", F.lit("base")), "_g").first()["auc"]
+    n = test.count()
+    n_blocks = max(1, -(-n // block_rows))
+    copies = test.select("*", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
+        for f in range(len(cols)) for r in range(n_repeats)])).alias("_fr")).select("*", "_fr._f", "_fr._r").drop("_fr")
+    h = lambda salt: F.xxhash64(F.col(id_col), F.col("_f"), F.col("_r"), F.lit(seed), F.lit(salt))
+    copies = copies.withColumn("_blk", F.pmod(h(1), F.lit(n_blocks)))
+    donor_val = F.element_at(F.array(*[F.col(c).cast("double") for c in cols]), F.col("_f") + 1)
+    w_row = Window.partitionBy("_f", "_r", "_blk").orderBy(h(2), id_col)
+    w_val = Window.partitionBy("_f", "_r", "_blk").orderBy(h(3), id_col)
+    rows = copies.withColumn("_pos", F.row_number().over(w_row))
+    donors = copies.select("_f", "_r", "_blk", donor_val.alias("_donor"),
+                           F.row_number().over(w_val).alias("_pos"))
+    shuffled = rows.join(donors, ["_f", "_r", "_blk", "_pos"])
+    replaced = shuffled.select(*[c for c in test.columns if c not in cols], "_f", "_r", *[
+        F.when(F.col("_f") == i, F.col("_donor")).otherwise(F.col(c).cast("double")).alias(c)
+        for i, c in enumerate(cols)])
+    x = standardize(replaced, cols, stats) if stats is not None else replaced
+    scored = model.transform(vectorize(x, cols)).select(
+        "_f", "_r", F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))
+    aucs = grouped_auc(scored.withColumn("_g", F.concat_ws(":", "_f", "_r")), "_g")
+    names = F.element_at(F.array(*[F.lit(c) for c in cols]),
+                         F.split("_g", ":")[0].cast("int") + 1)
+    return (aucs.select(names.alias("feature"), (F.lit(base_auc) - F.col("auc")).alias("drop"))
+            .groupBy("feature").agg(F.avg("drop").alias("permutation_importance"),
+                                    F.stddev_pop("drop").alias("permutation_std")))

@@ -714,3 +714,139 @@ roc_t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM auc_h)"""
 def q_roc_curve(spark, sf):
     _, test = _train_test(spark, sf)
     return rounded(ev.roc_curve(pr.given_scores(test)))
+
+# ------------------------------------------------ pairwise / clustering --
+
+from routewise.operators import cluster as cl  # noqa: E402
+from routewise.operators.pairwise import knn, silhouette_score  # noqa: E402
+from routewise.operators.smote import smote, stratified_folds  # noqa: E402
+
+
+def _embeddings(spark, sf):
+    import os
+    return spark.read.parquet(os.path.join(sf, "embeddings.parquet"))
+
+
+_EMB_SQL = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@register("q_knn", with_ctes(_EMB_SQL, """
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS distance
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS neighbor_rank FROM d)""",
+    body="SELECT query_id, CAST(neighbor_rank AS INTEGER) AS neighbor_rank, neighbor_id, "
+         "round(distance, 6) AS distance FROM r WHERE neighbor_rank <= 5"))
+def q_knn(spark, sf):
+    e = _embeddings(spark, sf)
+    return rounded(knn(e, e, "vec_id", "embedding", k=5))
+
+
+@register("q_silhouette", with_ctes(_EMB_SQL, """
+d AS (SELECT a.vec_id AS id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS dist_sum, count(*) AS n_other
+      FROM e a JOIN e b ON true GROUP BY 1, 2, 3),
+per AS (SELECT id, max(CASE WHEN label = other THEN dist_sum END) AS own_sum,
+               max(CASE WHEN label = other THEN n_other END) AS own_n,
+               min(CASE WHEN label <> other THEN dist_sum / n_other END) AS b FROM d GROUP BY id),
+s AS (SELECT CASE WHEN own_n <= 1 THEN 0.0E0 ELSE coalesce((b - own_sum / (own_n - 1)) /
+             greatest(own_sum / (own_n - 1), b), 0.0E0) END AS s FROM per)""",
+    body="SELECT count(*) AS n, round(avg(s), 6) AS silhouette FROM s"))
+def q_silhouette(spark, sf):
+    e = _embeddings(spark, sf)
+    return rounded(silhouette_score(e, "vec_id", "embedding", "label"))
+
+
+_FOLD_KEY = "pmod(order_id * 7919 + review_score * 104729, 1000003)"
+
+
+@register("q_stratified_folds", on_master(
+    "SELECT order_id, review_score, satisfied, CAST((row_number() OVER (PARTITION BY satisfied "
+    "ORDER BY (order_id * 7919 + review_score * 104729) % 1000003, order_id, review_score) - 1) % 5 AS INTEGER) "
+    "AS fold FROM train"))
+def q_stratified_folds(spark, sf):
+    train, _ = _train_test(spark, sf)
+    keyed = train.select(*ROW_KEY, "satisfied", F.expr(_FOLD_KEY).alias("_key"))
+    return stratified_folds(keyed, "satisfied", "_key", ROW_KEY, 5).select(*ROW_KEY, "satisfied", "fold")
+
+
+def _model_data(spark, sf):
+    """Train/test with seller features, top-5 category dummies, row ids and
+    train-median imputation (all statistics from train)."""
+    master = build_master(_tables(spark, sf))
+    feat = engineer_features(master, None)
+    lab = chronological_split(feat).withColumn("row_id", F.monotonically_increasing_id())
+    train = lab.filter(F.col("is_train") == 1).drop("is_train")
+    test = lab.filter(F.col("is_train") == 0).drop("is_train")
+    tr, te = sellers.add_seller_features(train, test)
+    cols = pr.feature_columns(tr)
+    tr = pr.as_features(tr, cols, ["row_id", *ROW_KEY])
+    te = pr.as_features(te, cols, ["row_id", *ROW_KEY])
+    tr, te, _ = pr.impute_medians(tr, te, cols)
+    return tr, te, cols
+
+
+@register("q_smote")
+def q_smote(spark, sf):
+    tr, _, cols = _model_data(spark, sf)
+    return smote(tr, "row_id", cols, pr.LABEL, k=5, seed=42)
+
+
+def _smoted(spark, sf):
+    from routewise.session import cut_lineage
+    tr, te, cols = _model_data(spark, sf)
+    return cut_lineage(smote(tr, "row_id", cols, pr.LABEL, k=5, seed=42)), te, cols
+
+
+@register("q_logistic")
+def q_logistic(spark, sf):
+    tr, te, cols = _smoted(spark, sf)
+    model, stats = pr.fit_logistic(tr, cols)
+    return pr.predict(model, te, cols, stats)
+
+
+def _gbt(spark, sf):
+    tr, te, cols = _smoted(spark, sf)
+    keyed = tr.withColumn("_rid", F.monotonically_increasing_id()).withColumn(
+        "_key", F.xxhash64("_rid", F.lit(42)))
+    folded = stratified_folds(keyed, pr.LABEL, "_key", ["_rid"], 2)
+    cv = pr.tune_gbt(folded, cols, "fold", grid=pr.QUICK_GRID, n_iter=2, n_folds=2)
+    return cv.bestModel, te, cols
+
+
+@register("q_gbt")
+def q_gbt(spark, sf):
+    model, te, cols = _gbt(spark, sf)
+    return pr.predict(model, te, cols)
+
+
+@register("q_importance")
+def q_importance(spark, sf):
+    model, te, cols = _gbt(spark, sf)
+    gain = spark.createDataFrame(pr.gain_importance(model, cols), "feature string, gain_importance double")
+    perm = pr.permutation_importance(model, te, cols, "row_id", n_repeats=10, seed=42)
+    return (gain.join(perm, "feature", "left")
+            .orderBy(F.desc("permutation_importance"), "feature"))
+
+
+@register("q_model_comparison")
+def q_model_comparison(spark, sf):
+    tr, te, cols = _smoted(spark, sf)
+    lr, stats = pr.fit_logistic(tr, cols)
+    m1 = ev.model_metrics(pr.predict(lr, te, cols, stats), "Logistic Regression")
+    model, te2, cols2 = _gbt(spark, sf)
+    m2 = ev.model_metrics(pr.predict(model, te2, cols2), "Gradient-Boosted Trees")
+    return m1.unionByName(m2)
+
+
+@register("q_kmeans")
+def q_kmeans(spark, sf):
+    perf = _seller_perf(spark, sf)
+    x = sellers.clustering_inputs(perf)
+    stats = pr.scaler_stats(x, sellers.CLUSTER_COLUMNS)
+    vec = cl.assemble(pr.standardize(x, sellers.CLUSTER_COLUMNS, stats), sellers.CLUSTER_COLUMNS)
+    k, _ = cl.choose_k(vec, "seller_id", "features", range(2, 7), n_init=10, seed=42)
+    model, _ = cl.kmeans_restarts(vec, "features", k, n_init=20, seed=42)
+    seg = model.transform(vec).select("seller_id", F.col("prediction").alias("segment"))
+    labelled = perf.join(seg, "seller_id")
+    labelled = cl.renumber_by(labelled, "segment", [("avg_review", True), ("late_rate", False)])
+    named = sellers.name_sellers(labelled)
+    return named.select("seller_id", "segment", "segment_name")
