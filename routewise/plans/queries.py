@@ -843,6 +843,9 @@ def q_kmeans(spark, sf):
     x = sellers.clustering_inputs(perf)
     stats = pr.scaler_stats(x, sellers.CLUSTER_COLUMNS)
     vec = cl.assemble(pr.standardize(x, sellers.CLUSTER_COLUMNS, stats), sellers.CLUSTER_COLUMNS)
+    # ~70 iterative fits read this table: materialise it once
+    from routewise.session import cut_lineage
+    vec = cut_lineage(vec.select("seller_id", "features"))
     k, _ = cl.choose_k(vec, "seller_id", "features", range(2, 7), n_init=10, seed=42)
     model, _ = cl.kmeans_restarts(vec, "features", k, n_init=20, seed=42)
     seg = model.transform(vec).select("seller_id", F.col("prediction").alias("segment"))
