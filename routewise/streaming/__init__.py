@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analytics this package rebuilds are batch only: prepared tables are
+read once, split by time and analysed. There is no stream, watermark,
+windowed aggregate or custom state in the work being reproduced, so this
+package holds no streaming operator (see README, "Not built").
+"""
