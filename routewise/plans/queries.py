@@ -478,7 +478,8 @@ _SEG_SQL = """
 sperf AS (
   SELECT seller_id, count(order_id) AS order_count, avg(review_score) AS avg_review, avg(satisfied) AS sat_rate,
          avg(is_late) AS late_rate, avg(distance_km) AS avg_distance, avg(actual_delivery_days) AS avg_delivery_days,
-         avg(total_order_value) AS avg_order_value
+         CAST((2 * sum(CAST(round(total_order_value * 1000000) AS HUGEINT)) + count(total_order_value))
+              // (2 * count(total_order_value)) AS DOUBLE) / 1000000.0E0 AS avg_order_value
   FROM feat WHERE seller_id IS NOT NULL GROUP BY seller_id HAVING count(order_id) >= 5),
 seg AS (SELECT *, CAST(seller_id % 4 AS INTEGER) AS segment FROM sperf),
 segm AS (SELECT segment, avg(avg_review) AS avg_review, avg(late_rate) AS late_rate, avg(order_count) AS order_count
@@ -511,13 +512,10 @@ _PERF_COLS = ["avg_review", "sat_rate", "late_rate", "avg_distance", "avg_delive
 
 @register("q_seller_performance", on_master(
     "SELECT seller_id, order_count, " + ", ".join(
-        f"{R(c, 4 if c == 'avg_order_value' else 6)} AS {c}" for c in _PERF_COLS) + " FROM sperf",
+        f"{R(c)} AS {c}" for c in _PERF_COLS) + " FROM sperf",
     _SEG_SQL))
 def q_seller_performance(spark, sf):
-    # currency means (~1e5) are compared at 4 decimals: the 12th significant
-    # digit depends on the summation order of each engine
-    perf = _seller_perf(spark, sf).withColumn("avg_order_value", F.round("avg_order_value", 4))
-    return rounded(perf)
+    return rounded(_seller_perf(spark, sf))
 
 
 _LOG_SQL = """

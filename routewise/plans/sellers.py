@@ -70,6 +70,13 @@ def cold_start(train: DataFrame, test: DataFrame) -> DataFrame:
                     (F.col("test_rows") - F.col("seen_rows")).alias("unseen_rows")))
 
 
+def exact_mean(col: str, scale: int = 6):
+    """Mean of a currency column summed in DECIMAL: exact, so the result
+    does not depend on partitioning or summation order (double sums do)."""
+    dec = F.col(col).cast(f"decimal(38,{scale})")
+    return (F.sum(dec) / F.count(dec)).cast("double")
+
+
 # --------------------------------------------------------------------------
 # RQ3: seller benchmarking
 # --------------------------------------------------------------------------
@@ -84,7 +91,7 @@ def seller_performance(df: DataFrame, min_orders: int = 5) -> DataFrame:
                  F.avg("is_late").alias("late_rate"),
                  F.avg("distance_km").alias("avg_distance"),
                  F.avg("actual_delivery_days").alias("avg_delivery_days"),
-                 F.avg("total_order_value").alias("avg_order_value"))
+                 exact_mean("total_order_value").alias("avg_order_value"))
             .filter(F.col("order_count") >= min_orders))
 
 
