@@ -33,13 +33,13 @@ def grouped_positions(counts: DataFrame, group_col: str, value_col: str,
                       n_buckets: int = 32, accuracy: int = 10000) -> DataFrame:
     """(group, value, n, cum_before, total) from ``value_counts`` output:
     one row per distinct value with the count of smaller values."""
-    cum = grouped_prefix_sums(counts, group_col, value_col, ["_n"], n_buckets, accuracy)
-    # one row per group (not a window over the group: a hot group would
-    # land in a single task)
-    totals = counts.groupBy(group_col).agg(F.sum("_n").alias("total"))
-    return cum.join(totals, group_col).select(
-        group_col, value_col, F.col("_n").alias("n"),
-        (F.col("cum__n") - F.col("_n")).alias("cum_before"), "total")
+    # group totals come from the per-range table (<= n_buckets rows per
+    # group), never from a window over a whole (possibly hot) group
+    cum = grouped_prefix_sums(counts, group_col, value_col, ["_n"], n_buckets, accuracy,
+                              with_totals=True)
+    return cum.select(group_col, value_col, F.col("_n").alias("n"),
+                      (F.col("cum__n") - F.col("_n")).alias("cum_before"),
+                      F.col("total__n").alias("total"))
 
 
 def grouped_quantile(df: DataFrame, group_col: str, value_col: str, q: float = 0.5,
