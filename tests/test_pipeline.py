@@ -72,3 +72,18 @@ def test_csv_round_trip_with_extra_columns(spark, tmp_path):
     from routewise.sources.raw import read_csv_table
     back = read_csv_table(spark, path, "orders").first()
     assert back.order_status == "delivered" and back.order_delivered_customer_date.day == 5
+
+
+def test_end_to_end_jobs_write_all_outputs(spark, tmp_path):
+    from routewise.plans import pipeline, prediction as pr
+    out = str(tmp_path / "run")
+    pipeline.run_all(fixture_tables(spark, SF), out, grid=pr.QUICK_GRID, n_iter=2, n_folds=2, n_repeats=2)
+    for name in ["master_olist_data", "train_data", "test_data", "geolocation_lookup"]:
+        assert spark.read.parquet(f"{out}/prepared/{name}").count() > 0
+    master = spark.read.parquet(f"{out}/prepared/master_olist_data")
+    assert master.count() == 492 and len(master.columns) == 48
+    read = lambda n: spark.read.option("header", True).csv(f"{out}/results/{n}")
+    assert read("model_comparison").count() == 2
+    assert read("feature_importance").count() == 25
+    assert read("statistical_tests").count() == 2
+    assert read("seller_recommendations").count() >= 3
