@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,30 +14,35 @@ from routewise.operators.pairwise import silhouette_score
 
 
 def kmeans_restarts(df: DataFrame, features_col: str, k: int, n_init: int = 10, seed: int = 42,
-                    max_iter: int = 300, tol: float = 1e-4):
+                    max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4):
     """Best of ``n_init`` k-means|| fits (lowest within-cluster sum of
-    squares); MLlib has no n_init, so restarts are separate fits."""
-    best = None
-    for i in range(n_init):
+    squares); MLlib has no n_init, so restarts are separate fits, submitted
+    concurrently (independent jobs share the cluster)."""
+    def fit(i):
         model = KMeans(k=k, seed=seed + i, featuresCol=features_col, maxIter=max_iter,
                        tol=tol, initMode="k-means||").fit(df)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best
+        return model, model.summary.trainingCost, i
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    model, cost, _ = min(fits, key=lambda m: (m[1], m[2]))  # ties -> first restart
+    return model, cost
 
 
 def choose_k(df: DataFrame, id_col: str, features_col: str, k_values=range(2, 7),
-             n_init: int = 10, seed: int = 42, min_k: int = 3):
+             n_init: int = 10, seed: int = 42, min_k: int = 3, parallelism: int = 4):
     """Silhouette (exact Euclidean) of the best fit for each k; the chosen k
     is max(min_k, first k with the highest silhouette)."""
     vec = df.withColumn("_v", vector_to_array(F.col(features_col)))
-    scores = []
-    for k in k_values:
-        model, _ = kmeans_restarts(df, features_col, k, n_init, seed)
+
+    def score(k):
+        model, _ = kmeans_restarts(df, features_col, k, n_init, seed, parallelism=parallelism)
         labelled = model.transform(vec).select(id_col, "_v", F.col("prediction").alias("_c"))
-        s = silhouette_score(labelled, id_col, "_v", "_c").first()["silhouette"]
-        scores.append((k, s))
+        return k, silhouette_score(labelled, id_col, "_v", "_c").first()["silhouette"]
+
+    ks = list(k_values)
+    with ThreadPoolExecutor(max_workers=max(1, min(2, len(ks)))) as pool:
+        scores = list(pool.map(score, ks))
     best_k = max(scores, key=lambda kv: (kv[1] if kv[1] is not None else float("-inf"), -kv[0]))[0]
     return max(min_k, best_k), scores
 

@@ -183,22 +183,42 @@ def gain_importance(model, cols: list[str]) -> list[tuple[str, float]]:
 
 def permutation_importance(model, test: DataFrame, cols: list[str], id_col: str,
                            n_repeats: int = 10, seed: int = 42, stats=None,
-                           block_rows: int = 100_000, label: str = LABEL) -> DataFrame:
+                           block_rows: int = 100_000, features_per_pass: int | None = 5,
+                           label: str = LABEL) -> DataFrame:
     """Mean AUC drop when one feature is shuffled, per feature.
 
-    All (feature, repeat) copies are scored by one ``transform`` and one
-    grouped AUC. A copy shuffles the feature inside random blocks of about
-    ``block_rows`` rows (block = hash(id, feature, repeat)): the values are
-    re-dealt by a second hash, which breaks the feature-label link like a
-    full permutation while every block stays one task.
+    The (feature, repeat) copies of a pass are scored by one ``transform``
+    and one grouped AUC; ``features_per_pass`` bounds the copies alive at
+    once (n_repeats x features_per_pass times the test rows). A copy
+    shuffles the feature inside random blocks of about ``block_rows`` rows
+    (block = hash(id, feature, repeat)): values are re-dealt by a second
+    hash, which breaks the feature-label link like a full permutation while
+    every block stays one bounded task.
     """
     base = predict(model, test, cols, stats, keep=(id_col,), label=label)
     base_auc = grouped_auc(base.withColumn("_g", F.lit("base")), "_g").first()["auc"]
     n = test.count()
     n_blocks = max(1, -(-n // block_rows))
+    step = features_per_pass or len(cols)
+    passes = []
+    for lo in range(0, len(cols), step):
+        feats = list(range(lo, min(lo + step, len(cols))))
+        passes.append(_permuted_aucs(model, test, cols, id_col, feats, n_repeats, seed, stats,
+                                     n_blocks, label))
+    aucs = passes[0]
+    for p in passes[1:]:
+        aucs = aucs.unionByName(p)
+    names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_f") + 1)
+    return (aucs.select(names.alias("feature"), (F.lit(base_auc) - F.col("auc")).alias("drop"))
+            .groupBy("feature").agg(F.avg("drop").alias("permutation_importance"),
+                                    F.stddev_pop("drop").alias("permutation_std")))
+
+
+def _permuted_aucs(model, test, cols, id_col, feats, n_repeats, seed, stats, n_blocks, label):
+    """AUC of every (feature in ``feats``, repeat) shuffled copy."""
     copies = test.select("*", F.explode(F.array(*[
         F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
-        for f in range(len(cols)) for r in range(n_repeats)])).alias("_fr")).select("*", "_fr._f", "_fr._r").drop("_fr")
+        for f in feats for r in range(n_repeats)])).alias("_fr")).select("*", "_fr._f", "_fr._r").drop("_fr")
     h = lambda salt: F.xxhash64(F.col(id_col), F.col("_f"), F.col("_r"), F.lit(seed), F.lit(salt))
     copies = copies.withColumn("_blk", F.pmod(h(1), F.lit(n_blocks)))
     donor_val = F.element_at(F.array(*[F.col(c).cast("double") for c in cols]), F.col("_f") + 1)
@@ -215,8 +235,4 @@ def permutation_importance(model, test: DataFrame, cols: list[str], id_col: str,
     scored = model.transform(vectorize(x, cols)).select(
         "_f", "_r", F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))
     aucs = grouped_auc(scored.withColumn("_g", F.concat_ws(":", "_f", "_r")), "_g")
-    names = F.element_at(F.array(*[F.lit(c) for c in cols]),
-                         F.split("_g", ":")[0].cast("int") + 1)
-    return (aucs.select(names.alias("feature"), (F.lit(base_auc) - F.col("auc")).alias("drop"))
-            .groupBy("feature").agg(F.avg("drop").alias("permutation_importance"),
-                                    F.stddev_pop("drop").alias("permutation_std")))
+    return aucs.select(F.split("_g", ":")[0].cast("int").alias("_f"), "auc")
