@@ -130,9 +130,9 @@ feat AS (
     CAST(coalesce(primary_payment_type = 'credit_card', false) AS INTEGER) AS pay_credit_card,
     CAST(coalesce(primary_payment_type = 'boleto', false) AS INTEGER) AS pay_boleto,
     CAST(coalesce(primary_payment_type = 'debit_card', false) AS INTEGER) AS pay_debit_card,
-    month(order_purchase_timestamp) AS purchase_month,
-    isodow(order_purchase_timestamp) - 1 AS purchase_dow,
-    hour(order_purchase_timestamp) AS purchase_hour,
+    CAST(month(order_purchase_timestamp) AS INTEGER) AS purchase_month,
+    CAST(isodow(order_purchase_timestamp) - 1 AS INTEGER) AS purchase_dow,
+    CAST(hour(order_purchase_timestamp) AS INTEGER) AS purchase_hour,
     CAST(review_score >= 4 AS INTEGER) AS satisfied
   FROM timed),
 split AS (

@@ -374,7 +374,7 @@ def q_spearman(spark, sf):
 @register("q_distance_trend", on_master(
     f"SELECT {R('regr_slope(sat_rate * 100, avg_distance)')} AS slope, "
     f"{R('regr_intercept(sat_rate * 100, avg_distance)')} AS intercept, {R('min(avg_distance)')} AS x_min, "
-    f"{R('max(avg_distance)')} AS x_max, regr_count(sat_rate * 100, avg_distance) AS n FROM corr", _CORRIDOR_SQL))
+    f"{R('max(avg_distance)')} AS x_max, CAST(regr_count(sat_rate * 100, avg_distance) AS BIGINT) AS n FROM corr", _CORRIDOR_SQL))
 def q_distance_trend(spark, sf):
     return rounded(corridors.distance_trend(corridors.corridor_stats(_features(spark, sf))))
 
@@ -788,10 +788,25 @@ def q_smote(spark, sf):
     return smote(tr, "row_id", cols, pr.LABEL, k=5, seed=42)
 
 
+_FITTED: dict = {}
+
+
+def _once(spark, sf, name, fn):
+    """Fit-once memo per (application, dataset): the oversampled training
+    set and the tuned trees are shared by several queries of a session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _FITTED:
+        _FITTED[key] = fn()
+    return _FITTED[key]
+
+
 def _smoted(spark, sf):
     from routewise.session import cut_lineage
-    tr, te, cols = _model_data(spark, sf)
-    return cut_lineage(smote(tr, "row_id", cols, pr.LABEL, k=5, seed=42)), te, cols
+
+    def build():
+        tr, te, cols = _model_data(spark, sf)
+        return cut_lineage(smote(tr, "row_id", cols, pr.LABEL, k=5, seed=42)), cut_lineage(te), cols
+    return _once(spark, sf, "smoted", build)
 
 
 @register("q_logistic")
@@ -802,12 +817,15 @@ def q_logistic(spark, sf):
 
 
 def _gbt(spark, sf):
-    tr, te, cols = _smoted(spark, sf)
-    keyed = tr.withColumn("_rid", F.monotonically_increasing_id()).withColumn(
-        "_key", F.xxhash64("_rid", F.lit(42)))
-    folded = stratified_folds(keyed, pr.LABEL, "_key", ["_rid"], 2)
-    cv = pr.tune_gbt(folded, cols, "fold", grid=pr.QUICK_GRID, n_iter=2, n_folds=2)
-    return cv.bestModel, te, cols
+    def build():
+        from routewise.session import cut_lineage
+        tr, te, cols = _smoted(spark, sf)
+        keyed = tr.withColumn("_rid", F.monotonically_increasing_id()).withColumn(
+            "_key", F.xxhash64("_rid", F.lit(42)))
+        folded = cut_lineage(stratified_folds(keyed, pr.LABEL, "_key", ["_rid"], 2))
+        cv = pr.tune_gbt(folded, cols, "fold", grid=pr.QUICK_GRID, n_iter=2, n_folds=2)
+        return cv.bestModel, te, cols
+    return _once(spark, sf, "gbt", build)
 
 
 @register("q_gbt")
