@@ -17,7 +17,7 @@ from routewise.operators.smote import smote, stratified_folds
 from routewise.operators.split import chronological_split, split_summary
 from routewise.operators.orders import geo_lookup
 from routewise.plans import corridors, eda, prediction as pr, sellers
-from routewise.plans.prepare import build_master, engineer_features
+from routewise.plans.prepare import build_master, engineer_features, top_category_names
 from routewise.schemas import Tables
 from routewise.session import cut_lineage
 from routewise.sources import write_prepared, write_results
@@ -34,7 +34,10 @@ class Prepared:
 
 def prepare(tables: Tables, train_frac: float = 0.8) -> Prepared:
     """Clean, merge, engineer features (5 category dummies), split by time."""
-    master = cut_lineage(engineer_features(build_master(tables), None))
+    # the merged table is written once; the 5 category names and the
+    # row-local features are then cheap passes over the written copy
+    base = cut_lineage(build_master(tables))
+    master = engineer_features(base, top_category_names(base))
     labelled = chronological_split(master, train_frac=train_frac, materialize=False)
     return Prepared(
         master=master,
