@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from routewise.operators.evaluate import auc, grouped_auc, roc_curve
-from routewise.operators.pairwise import knn, silhouette_samples
+from routewise.operators.pairwise import knn, knn_tiled, silhouette_samples
 from routewise.operators.quantiles import exact_medians, grouped_quantile
 from routewise.operators.rank import average_ranks, prefix_sums
 from routewise.operators.smote import smote, stratified_folds
@@ -112,7 +112,8 @@ def test_knn_multi_tile_matches_brute_force(spark):
     rnd = np.random.default_rng(3)
     pts = rnd.normal(size=(60, 4))
     df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id long, v array<double>")
-    got = knn(df, df, "id", "v", k=3, tile_rows=16).collect()  # 4 x 4 tiles
+    got = knn_tiled(df, df, "id", "v", k=3, tile_rows=16).collect()  # 4 x 4 tiles
+    assert sorted(got) == sorted(knn(df, df, "id", "v", k=3, tile_rows=16).collect())  # pruned path
     d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     for r in got:
@@ -176,3 +177,18 @@ def test_exact_medians_wide_path_matches_numpy(spark):
     df = spark.createDataFrame([(float(x),) for x in a], "a double")
     med = exact_medians(df, ["a"], n_buckets=4, max_values_per_task=10)  # force the range path
     assert abs(med["a"] - np.median(a)) < 1e-12
+
+
+def test_knn_pruned_matches_brute_force(spark):
+    from routewise.operators.pairwise import knn_pruned
+    rnd = np.random.default_rng(12)
+    # clustered points plus one dense blob (a hot cell) and exact duplicates
+    pts = np.vstack([rnd.normal(0, 1, (80, 3)), rnd.normal(6, 0.2, (120, 3)), rnd.normal(0, 1, (1, 3)).repeat(3, 0)])
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id long, v array<double>")
+    got = knn_pruned(df, df, "id", "v", k=4, n_pivots=9, tile_rows=16).collect()
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == len(pts) * 4
+    for r in got:
+        order = sorted(range(len(pts)), key=lambda j: (d[r.query_id, j], j))
+        assert order[r.neighbor_rank - 1] == r.neighbor_id
