@@ -22,10 +22,15 @@ from routewise.operators.orders import (
     product_category,
     top_values,
 )
-from routewise.operators.quantiles import column_medians
+from routewise.operators import cluster as cl
+from routewise.operators import evaluate as ev
+from routewise.operators.pairwise import knn, silhouette_score
+from routewise.operators.smote import smote, stratified_folds
 from routewise.operators.split import chronological_split, split_summary
 from routewise.plans import corridors, eda, sellers
-from routewise.plans.oracle import on_master, with_ctes, FIXTURE_CTES
+from routewise.plans import prediction as pr
+from routewise.plans.oracle import FIXTURE_CTES, on_master, with_ctes
+from routewise.session import cut_lineage
 from routewise.plans.prepare import (
     MASTER_BASE_COLUMNS,
     build_master,
@@ -588,8 +593,6 @@ def q_seller_scatter(spark, sf):
 
 # ===================================================== 2.7 ML on frames ==
 
-from routewise.operators import evaluate as ev  # noqa: E402
-from routewise.plans import prediction as pr  # noqa: E402
 
 _FEATS = pr.FEATURE_COLUMNS
 
@@ -715,9 +718,6 @@ def q_roc_curve(spark, sf):
 
 # ------------------------------------------------ pairwise / clustering --
 
-from routewise.operators import cluster as cl  # noqa: E402
-from routewise.operators.pairwise import knn, silhouette_score  # noqa: E402
-from routewise.operators.smote import smote, stratified_folds  # noqa: E402
 
 
 def _embeddings(spark, sf):
@@ -801,8 +801,6 @@ def _once(spark, sf, name, fn):
 
 
 def _smoted(spark, sf):
-    from routewise.session import cut_lineage
-
     def build():
         tr, te, cols = _model_data(spark, sf)
         return cut_lineage(smote(tr, "row_id", cols, pr.LABEL, k=5, seed=42)), cut_lineage(te), cols
@@ -818,7 +816,6 @@ def q_logistic(spark, sf):
 
 def _gbt(spark, sf):
     def build():
-        from routewise.session import cut_lineage
         tr, te, cols = _smoted(spark, sf)
         keyed = tr.withColumn("_rid", F.monotonically_increasing_id()).withColumn(
             "_key", F.xxhash64("_rid", F.lit(42)))
@@ -860,7 +857,6 @@ def q_kmeans(spark, sf):
     stats = pr.scaler_stats(x, sellers.CLUSTER_COLUMNS)
     vec = cl.assemble(pr.standardize(x, sellers.CLUSTER_COLUMNS, stats), sellers.CLUSTER_COLUMNS)
     # ~70 iterative fits read this table: materialise it once
-    from routewise.session import cut_lineage
     vec = cut_lineage(vec.select("seller_id", "features"))
     k, _ = cl.choose_k(vec, "seller_id", "features", range(2, 7), n_init=10, seed=42)
     model, _ = cl.kmeans_restarts(vec, "features", k, n_init=20, seed=42)
