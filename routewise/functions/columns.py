@@ -24,10 +24,22 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.when(known, dist)
 
 
+def micros_between(start: Column, end: Column) -> Column:
+    """(end - start) in microseconds, NULL if either side is NULL.
+
+    Computed from the day-time interval ``end - start``: for TIMESTAMP_NTZ
+    that difference is taken on the wall-clock values, independent of the
+    session time zone (``timestamp_diff`` casts NTZ to the session zone, so
+    a wall time inside a DST gap would shift by an hour)."""
+    i = end - start
+    part = lambda unit: F.extract(F.lit(unit), i)
+    return (part("DAY").cast("long") * 86_400_000_000 + part("HOUR").cast("long") * 3_600_000_000
+            + part("MINUTE").cast("long") * 60_000_000 + (part("SECOND") * 1_000_000).cast("long"))
+
+
 def days_between(start: Column, end: Column) -> Column:
-    """(end - start) in fractional days, NULL if either side is NULL.
-    Works for TIMESTAMP and TIMESTAMP_NTZ alike."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(SECONDS_PER_DAY * 1e6)
+    """(end - start) in fractional days, NULL if either side is NULL."""
+    return micros_between(start, end) / F.lit(SECONDS_PER_DAY * 1e6)
 
 
 def flag(predicate: Column) -> Column:

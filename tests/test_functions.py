@@ -55,3 +55,15 @@ def test_payment_mode_tie_takes_smallest(spark):
         "order_id long, payment_type string, payment_installments int")
     rows = {r.order_id: r for r in payment_profile(pays).collect()}
     assert rows[1].primary_payment_type == "boleto" and rows[1].payment_installments == 3
+
+
+def test_days_between_ignores_session_zone_dst_gap(spark):
+    # 1995-10-15 00:41:58 does not exist in Sao Paulo local time (DST gap)
+    df = spark.createDataFrame([(dt.datetime(1995, 9, 14, 0, 41, 58), dt.datetime(1995, 10, 15, 0, 41, 58))],
+                               "a timestamp_ntz, b timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        assert df.select(days_between(F.col("a"), F.col("b"))).first()[0] == 31.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
