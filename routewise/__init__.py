@@ -1,0 +1 @@
+"""routewise: marketplace delivery analytics on Spark DataFrames."""

@@ -192,3 +192,34 @@ def test_knn_pruned_matches_brute_force(spark):
     for r in got:
         order = sorted(range(len(pts)), key=lambda j: (d[r.query_id, j], j))
         assert order[r.neighbor_rank - 1] == r.neighbor_id
+
+
+def test_split_with_hot_boundary_second(spark):
+    import datetime as dt
+    t0 = dt.datetime(2021, 3, 1, 9, 30, 0)
+    rows = [(i, 1 + i % 5, t0 - dt.timedelta(seconds=1 + i)) for i in range(100)]
+    rows += [(1000 + i, 1 + i % 5, t0) for i in range(300)]  # 300 rows share one second
+    rows += [(5000 + i, 3, t0 + dt.timedelta(hours=1 + i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "order_id long, review_score long, ts timestamp_ntz")
+    lab = chronological_split(df, ts_col="ts", train_frac=0.5)  # cut falls inside the hot second
+    got = {(r.order_id, r.review_score) for r in lab.filter("is_train = 1").collect()}
+    expect = sorted(rows, key=lambda r: (r[2], r[0], r[1]))[:250]
+    assert got == {(o, s) for o, s, _ in expect}
+
+
+def test_geo_lookup_hot_zip_matches_pandas(spark):
+    import pandas as pd
+    from routewise.operators.orders import geo_lookup
+    rnd = np.random.default_rng(21)
+    rows = [(7, float(rnd.normal(-23, 1)), float(rnd.normal(-46, 1))) for _ in range(2000)]  # hot zip
+    rows += [(z, float(rnd.normal(-10, 1)), float(rnd.normal(-40, 1))) for z in range(1, 6) for _ in range(3)]
+    rows += [(9, None, None)]
+    df = spark.createDataFrame(rows, "geolocation_zip_code_prefix int, geolocation_lat double, geolocation_lng double")
+    got = {r[0]: (r.lat, r.lng) for r in geo_lookup(df, n_buckets=8).collect()}
+    ref = pd.DataFrame(rows, columns=["z", "lat", "lng"]).groupby("z").median()
+    assert set(got) == set(ref.index)
+    for z, (lat, lng) in got.items():
+        if z == 9:
+            assert lat is None and lng is None
+        else:
+            assert abs(lat - ref.loc[z, "lat"]) < 1e-12 and abs(lng - ref.loc[z, "lng"]) < 1e-12
