@@ -7,8 +7,10 @@ floor(f * n) as train. Here the cut is found from histograms:
    -> the day that holds the boundary and how many of its rows are train;
 2. rows per second inside that one day (<= 86,400 values)
    -> the boundary second;
-3. ``row_number`` only among the rows of that one second, ordered by the
-   full key (timestamp, tie columns).
+3. exact positions only among the rows of that one second, ordered by the
+   full key (timestamp, tie columns), from a range partitioning of those
+   rows (so even a coarse timestamp shared by a third of the rows is
+   ranked by many tasks).
 
 Every other row is labelled by comparing its timestamp with the boundary.
 No row-level exchange and no single-partition window over the table.
@@ -16,7 +18,7 @@ No row-level exchange and no single-partition window over the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.session import cut_lineage
@@ -67,12 +69,40 @@ def chronological_split(df: DataFrame, ts_col: str = "order_purchase_timestamp",
         F.when(ts.isNull(), 0)
         .when(day < F.lit(b_day), 1).when(day > F.lit(b_day), 0)
         .when(sec < b_sec_lit, 1).otherwise(0))
-    w = Window.partitionBy(sec).orderBy(ts, *tie_cols)
-    inside = (df.filter(in_b_sec)
-              .withColumn(label_col, (F.row_number().over(w) <= need_sec).cast("int")))
+    ranked = exact_positions(df.filter(in_b_sec), [ts_col, *tie_cols])
+    inside = (ranked.withColumn(label_col, (F.col("_pos") < need_sec).cast("int"))
+              .drop("_pos"))
     return outside.unionByName(inside)
 
 
+def exact_positions(df: DataFrame, keys: list[str], n_parts: int | None = None) -> DataFrame:
+    """0-based position of every row in ``keys`` order, for keys of any
+    orderable type, without a single-partition window.
+
+    Rows are range-partitioned on the full key (a hot prefix such as one
+    timestamp is split by the later keys), sorted inside each partition and
+    numbered there; the rows per partition (one number per partition) give
+    each partition's offset. The numbered rows are checkpointed first so
+    both passes see the same numbering.
+    """
+    spark = df.sparkSession
+    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = cut_lineage(
+        df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+        .select("*", F.spark_partition_id().alias("_part"),
+                F.monotonically_increasing_id().alias("_mid")))
+    counts = sorted((r["_part"], r["count"]) for r in numbered.groupBy("_part").count().collect())
+    offsets, run = [], 0
+    for part, cnt in counts:
+        offsets.append((part, run))
+        run += cnt
+    off = spark.createDataFrame(offsets, "_part int, _off long")  # one row per partition
+    local = F.col("_mid") - F.shiftleft(F.col("_part").cast("long"), 33)
+    return (numbered.join(F.broadcast(off), "_part")
+            .withColumn("_pos", F.col("_off") + local)
+            .drop("_part", "_mid", "_off"))
+
+
 def train_test(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     labelled = chronological_split(df, **kw)
     label = kw.get("label_col", "is_train")

@@ -223,3 +223,16 @@ def test_geo_lookup_hot_zip_matches_pandas(spark):
             assert lat is None and lng is None
         else:
             assert abs(lat - ref.loc[z, "lat"]) < 1e-12 and abs(lng - ref.loc[z, "lng"]) < 1e-12
+
+
+def test_exact_positions_string_keys_hot_prefix(spark):
+    from routewise.operators.split import exact_positions
+    rnd = random.Random(2)
+    rows = [("same-day", f"o{rnd.randint(0, 10**6):07d}", rnd.randint(1, 5)) for _ in range(700)]
+    rows += [(f"d{rnd.randint(0, 9)}", f"o{rnd.randint(0, 10**6):07d}", rnd.randint(1, 5)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "day string, order_id string, score int")
+    got = exact_positions(df, ["day", "order_id", "score"], n_parts=6).collect()
+    assert sorted(r._pos for r in got) == list(range(len(rows)))
+    expect = sorted(rows)
+    for r in got:
+        assert expect[r._pos] == (r.day, r.order_id, r.score)
