@@ -236,3 +236,17 @@ def test_exact_positions_string_keys_hot_prefix(spark):
     expect = sorted(rows)
     for r in got:
         assert expect[r._pos] == (r.day, r.order_id, r.score)
+
+
+def test_knn_pruned_hot_cell_both_sides(spark):
+    from routewise.operators.pairwise import knn_pruned
+    rnd = np.random.default_rng(13)
+    pts = np.vstack([rnd.normal(0, 0.05, (150, 2)), rnd.normal(5, 1, (30, 2))])  # one very dense blob
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id long, v array<double>")
+    got = knn_pruned(df, df, "id", "v", k=3, n_pivots=4, tile_rows=20).collect()
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == len(pts) * 3
+    for r in got:
+        order = sorted(range(len(pts)), key=lambda j: (d[r.query_id, j], j))
+        assert order[r.neighbor_rank - 1] == r.neighbor_id
