@@ -100,9 +100,13 @@ def vectorize(df: DataFrame, cols: list[str], out: str = "features") -> DataFram
     return VectorAssembler(inputCols=cols, outputCol=out).transform(df)
 
 
-def balanced_weights(df: DataFrame, label: str = LABEL) -> dict:
-    """n / (2 n_c) per class (2-row aggregate)."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+def class_counts(df: DataFrame, label: str = LABEL) -> dict:
+    """Rows per class (a 2-row aggregate)."""
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+
+
+def balanced_weights(counts: dict) -> dict:
+    """n / (n_classes n_c) per class."""
     n = sum(counts.values())
     return {c: n / (len(counts) * m) for c, m in counts.items()}
 
@@ -113,13 +117,13 @@ def fit_logistic(train: DataFrame, cols: list[str], C: float = 1.0, max_iter: in
     features. sklearn's objective C * sum(w l) + |b|^2 / 2 equals MLlib's
     mean(w l) + regParam |b|^2 / 2 with regParam = 1 / (C * sum(w))."""
     stats = scaler_stats(train, cols)
-    weights = balanced_weights(train, label)
+    counts = class_counts(train, label)
+    weights = balanced_weights(counts)
     wcol = F.lit(0.0)
     for c, w in weights.items():
         wcol = F.when(F.col(label) == c, F.lit(w)).otherwise(wcol)
     data = vectorize(standardize(train, cols, stats), cols).withColumn("_w", wcol)
-    sum_w = sum(weights[c] * m for c, m in
-                {r[0]: r[1] for r in train.groupBy(label).count().collect()}.items())
+    sum_w = sum(weights[c] * m for c, m in counts.items())
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w",
                             regParam=1.0 / (C * sum_w), elasticNetParam=0.0, maxIter=max_iter,
                             standardization=False, fitIntercept=True)
