@@ -393,6 +393,13 @@ def q_statistical_tests(spark, sf):
     return rounded(corridors.statistical_tests(_features(spark, sf), with_p=False))
 
 
+@register("q_statistical_tests_p")
+def q_statistical_tests_p(spark, sf):
+    """The test table with p-values (normal and Student t tails of the
+    one-row statistics); rows-only check, as SQL lacks those tails."""
+    return corridors.statistical_tests(_features(spark, sf), with_p=True)
+
+
 @register("q_corridor_bubbles", on_master(
     f"SELECT corridor, {R('avg_distance')} AS x, {R('sat_rate * 100')} AS y, {R('n / 5.0E0')} AS size, "
     f"{R('late_rate')} AS colour FROM corr", _CORRIDOR_SQL))
