@@ -80,3 +80,46 @@ def table_profile(tables: Tables) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# Column types of the prepared (master / train / test) tables; the
+# ``cat_<name>`` dummies are data-dependent and typed by their prefix.
+PREPARED_TYPES: dict[str, str] = {
+    **{c: "timestamp_ntz" for c in [
+        "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
+        "order_delivered_customer_date", "order_estimated_delivery_date"]},
+    **{c: "double" for c in [
+        "total_price", "total_freight", "total_order_value", "freight_ratio", "product_weight_g",
+        "cust_lat", "cust_lng", "sell_lat", "sell_lng", "distance_km", "actual_delivery_days",
+        "estimated_delivery_days", "delivery_delay_days", "carrier_handling_days"]},
+    **{c: "int" for c in [
+        "is_late", "same_state", "pay_credit_card", "pay_boleto", "pay_debit_card",
+        "purchase_month", "purchase_dow", "purchase_hour", "satisfied"]},
+    **{c: "bigint" for c in ["num_items", "payment_installments", "review_score"]},
+}
+
+
+def read_prepared(spark: SparkSession, path: str, fmt: str = "parquet",
+                  id_type: str = "string") -> DataFrame:
+    """Typed re-read of a prepared table. Parquet keeps its types; CSV is
+    read as text (no inference pass) and cast by column name (ids and
+    zip prefixes to ``id_type`` / bigint, ``cat_*`` dummies to int)."""
+    try:
+        if fmt == "parquet":
+            return spark.read.parquet(path)
+        raw = (spark.read.option("header", True).option("multiLine", True)
+               .option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path))
+    except AnalysisException as exc:
+        raise MissingInputError(f"cannot read prepared table {path}: {exc}") from exc
+
+    def typ(c: str) -> str:
+        if c in PREPARED_TYPES:
+            return PREPARED_TYPES[c]
+        if c.startswith("cat_"):
+            return "int"
+        if c.endswith("_zip_code_prefix"):
+            return "bigint"
+        if c.endswith("_id"):
+            return id_type
+        return "string"
+    return raw.select(*[F.col(c).cast(typ(c)).alias(c) for c in raw.columns])

@@ -87,3 +87,15 @@ def test_end_to_end_jobs_write_all_outputs(spark, tmp_path):
     assert read("feature_importance").count() == 25
     assert read("statistical_tests").count() == 2
     assert read("seller_recommendations").count() >= 3
+
+
+def test_prepared_csv_round_trip_keeps_types(spark, tmp_path, feat):
+    from routewise.sources import read_prepared
+    out = str(tmp_path / "master_csv")
+    write_table(feat, out, fmt="csv")
+    back = read_prepared(spark, out, fmt="csv", id_type="bigint")
+    want = {f.name: f.dataType.simpleString() for f in feat.schema.fields}
+    got = {f.name: f.dataType.simpleString() for f in back.schema.fields}
+    assert got == want
+    cols = ["order_id", "review_score", "order_purchase_timestamp", "distance_km", "corridor", "satisfied"]
+    assert sorted(back.select(cols).collect()) == sorted(feat.select(cols).collect())
