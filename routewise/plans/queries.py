@@ -791,8 +791,8 @@ def _model_data(spark, sf):
 
 @register("q_smote")
 def q_smote(spark, sf):
-    tr, _, cols = _model_data(spark, sf)
-    return smote(tr, "row_id", cols, pr.LABEL, k=5, seed=42)
+    oversampled, _, _ = _smoted(spark, sf)
+    return oversampled
 
 
 _FITTED: dict = {}
