@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from routewise.operators.stats import (
     linear_trend,
     mann_whitney,
-    normal_sf,
+    mann_whitney_p,
     spearman,
     t_two_sided_p,
 )
@@ -82,21 +82,23 @@ def statistical_tests(df: DataFrame, min_orders: int = 50, with_p: bool = True)
         F.lit("Mann-Whitney U (same vs cross-state)").alias("Test"),
         F.col("u_stat").alias("Statistic"),
         F.concat(F.lit("rank-biserial r="), F.format_number(F.col("r_rb"), 4)).alias("Effect_Size"),
-        F.col("z").alias("_z"), F.lit(None).cast("bigint").alias("_n"))
+        F.col("z").alias("_z"), F.lit(None).cast("bigint").alias("_n"),
+        F.col("n1").alias("_n1"), F.col("n2").alias("_n2"), F.col("tie_term").alias("_ties"))
     sp = corridor_spearman(corridor_stats(df, min_orders)).select(
         F.lit("Spearman (corridor distance vs satisfaction)").alias("Test"),
         F.col("rho").alias("Statistic"),
         F.concat(F.lit("rho="), F.format_number(F.col("rho"), 3)).alias("Effect_Size"),
-        F.col("t_stat").alias("_z"), F.col("n").alias("_n"))
+        F.col("t_stat").alias("_z"), F.col("n").alias("_n"), F.lit(None).cast("bigint").alias("_n1"),
+        F.lit(None).cast("bigint").alias("_n2"), F.lit(None).cast("double").alias("_ties"))
     both = mw.unionByName(sp)
     if not with_p:
-        return both.drop("_z", "_n")
+        return both.drop("_z", "_n", "_n1", "_n2", "_ties")
     rows = both.collect()  # two rows
     spark = df.sparkSession
     out = []
     for r in rows:
         if r["_n"] is None:
-            p = normal_sf(r["_z"])
+            p = mann_whitney_p(r["_n1"], r["_n2"], r["Statistic"], r["_z"], r["_ties"])
         else:
             p = t_two_sided_p(r["_z"], r["_n"] - 2)
         out.append((r["Test"], r["Statistic"], p, r["Effect_Size"]))

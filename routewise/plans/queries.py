@@ -355,7 +355,7 @@ mw AS (
 @register("q_mann_whitney", on_master(
     f"SELECT n1, n2, {R('u1')} AS u_stat, "
     f"{R('(u1 - n1 * n2 / 2.0E0 - 0.5E0) / sqrt(n1 * n2 / 12.0E0 * ((n1 + n2 + 1) - tie_term / ((n1 + n2) * (n1 + n2 - 1.0E0))))')} AS z, "
-    f"{R('1.0E0 - 2.0E0 * u1 / (n1 * n2)')} AS r_rb FROM mw", _MW_SQL))
+    f"{R('1.0E0 - 2.0E0 * u1 / (n1 * n2)')} AS r_rb, {R('tie_term')} AS tie_term FROM mw", _MW_SQL))
 def q_mann_whitney(spark, sf):
     return rounded(corridors.same_state_test(_features(spark, sf)))
 

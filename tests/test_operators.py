@@ -250,3 +250,19 @@ def test_knn_pruned_hot_cell_both_sides(spark):
     for r in got:
         order = sorted(range(len(pts)), key=lambda j: (d[r.query_id, j], j))
         assert order[r.neighbor_rank - 1] == r.neighbor_id
+
+
+def test_u_exact_distribution_small_samples():
+    import itertools
+    from routewise.operators.stats import u_exact_sf
+    # brute force over all arrangements of 3 + 4 distinct values
+    a_size, b_size = 3, 4
+    counts = {}
+    for first in itertools.combinations(range(a_size + b_size), a_size):
+        u = sum(1 for x in first for y in range(a_size + b_size) if y not in first and x > y)
+        counts[u] = counts.get(u, 0) + 1
+    total = sum(counts.values())
+    for u in range(0, a_size * b_size + 2):
+        expect = sum(c for k, c in counts.items() if k >= u) / total
+        assert abs(u_exact_sf(u, a_size, b_size) - expect) < 1e-12
+        assert abs(u_exact_sf(u, b_size, a_size) - expect) < 1e-12
