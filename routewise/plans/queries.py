@@ -366,7 +366,9 @@ sp AS (
     rank() OVER (ORDER BY avg_distance) + (count(*) OVER (PARTITION BY avg_distance) - 1) / 2.0E0 AS rx,
     rank() OVER (ORDER BY sat_rate) + (count(*) OVER (PARTITION BY sat_rate) - 1) / 2.0E0 AS ry
   FROM corr WHERE avg_distance IS NOT NULL AND sat_rate IS NOT NULL),
-sp1 AS (SELECT count(*) AS n, corr(rx, ry) AS rho FROM sp)"""
+sp1 AS (SELECT count(*) AS n,
+               CASE WHEN (SELECT count(*) FROM corr WHERE avg_distance IS NULL OR sat_rate IS NULL) > 0
+                    THEN NULL ELSE corr(rx, ry) END AS rho FROM sp)"""
 
 
 @register("q_spearman", on_master(

@@ -266,3 +266,19 @@ def test_u_exact_distribution_small_samples():
         expect = sum(c for k, c in counts.items() if k >= u) / total
         assert abs(u_exact_sf(u, a_size, b_size) - expect) < 1e-12
         assert abs(u_exact_sf(u, b_size, a_size) - expect) < 1e-12
+
+
+def test_spearman_matches_numpy_and_propagates_missing(spark):
+    from routewise.operators.stats import spearman
+    xs = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
+    ys = [2.0, 7.0, 1.0, 8.0, 2.0, 8.0, 1.0, 8.0]
+    df = spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+
+    def avg_rank(v):
+        order = sorted(v)
+        return [order.index(a) + 1 + (order.count(a) - 1) / 2 for a in v]
+    expect = float(np.corrcoef(avg_rank(xs), avg_rank(ys))[0, 1])
+    assert abs(spearman(df, "x", "y").first().rho - expect) < 1e-12
+    with_gap = df.union(spark.createDataFrame([(None, 1.0)], "x double, y double"))
+    assert spearman(with_gap, "x", "y").first().rho is None
+    assert abs(spearman(with_gap, "x", "y", propagate_missing=False).first().rho - expect) < 1e-12
