@@ -69,3 +69,19 @@ def test_classification_report_and_confusion_by_hand(spark):
     assert abs(rep["0"].f1_score - f0) < 1e-12 and rep["0"].support == 4
     assert abs(rep["accuracy"].f1_score - 0.7) < 1e-12 and rep["accuracy"].precision is None
     assert abs(rep["weighted avg"].recall - 0.7) < 1e-12
+
+
+def test_permutation_importance_signal_beats_noise(spark):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from routewise.plans.prediction import permutation_importance, vectorize
+    rnd = np.random.default_rng(3)
+    a = rnd.normal(size=400)
+    b = rnd.normal(size=400)
+    y = (a + 0.3 * rnd.normal(size=400) > 0).astype(int)
+    df = spark.createDataFrame([(i, float(x), float(z), int(t)) for i, (x, z, t) in enumerate(zip(a, b, y))],
+                               "rid long, a double, b double, satisfied int")
+    model = LogisticRegression(featuresCol="features", labelCol="satisfied").fit(vectorize(df, ["a", "b"]))
+    imp = {r.feature: r.permutation_importance for r in
+           permutation_importance(model, df, ["a", "b"], "rid", n_repeats=3, block_rows=100).collect()}
+    assert imp["a"] > 0.2 and abs(imp["b"]) < 0.05
