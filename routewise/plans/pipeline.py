@@ -86,8 +86,9 @@ def run_prediction(train: DataFrame, test: DataFrame, grid: dict = pr.REFERENCE_
         "_key", F.xxhash64("_rid", F.lit(seed)))
     folded = cut_lineage(stratified_folds(keyed, pr.LABEL, "_key", ["_rid"], n_folds))
     gbt = pr.tune_gbt(folded, cols, "fold", grid=grid, n_iter=n_iter, n_folds=n_folds, seed=seed).bestModel
-    comparison = ev.model_metrics(pr.predict(lr, te, cols, stats), "Logistic Regression").unionByName(
-        ev.model_metrics(pr.predict(gbt, te, cols), "Gradient-Boosted Trees"))
+    comparison = ev.comparison_table(
+        ev.model_metrics(pr.predict(lr, te, cols, stats), "Logistic Regression").unionByName(
+            ev.model_metrics(pr.predict(gbt, te, cols), "Gradient-Boosted Trees")))
     spark = train.sparkSession
     gain = spark.createDataFrame(pr.gain_importance(gbt, cols), "Feature string, Gain_Importance double")
     perm = pr.permutation_importance(gbt, te, cols, "row_id", n_repeats, seed).select(

@@ -856,7 +856,7 @@ def q_model_comparison(spark, sf):
     m1 = ev.model_metrics(pr.predict(lr, te, cols, stats), "Logistic Regression")
     model, te2, cols2 = _gbt(spark, sf)
     m2 = ev.model_metrics(pr.predict(model, te2, cols2), "Gradient-Boosted Trees")
-    return m1.unionByName(m2)
+    return ev.comparison_table(m1.unionByName(m2))
 
 
 @register("q_kmeans")
