@@ -187,13 +187,16 @@ def gain_importance(model, cols: list[str]) -> list[tuple[str, float]]:
 
 def permutation_importance(model, test: DataFrame, cols: list[str], id_col: str,
                            n_repeats: int = 10, seed: int = 42, stats=None,
-                           block_rows: int = 100_000, features_per_pass: int | None = 5,
-                           label: str = LABEL) -> DataFrame:
+                           block_rows: int = 100_000, features_per_pass: int | None = None,
+                           max_rows_per_pass: int = 50_000_000, label: str = LABEL) -> DataFrame:
     """Mean AUC drop when one feature is shuffled, per feature.
 
     The (feature, repeat) copies of a pass are scored by one ``transform``
     and one grouped AUC; ``features_per_pass`` bounds the copies alive at
-    once (n_repeats x features_per_pass times the test rows). A copy
+    once (n_repeats x features_per_pass times the test rows). By default it
+    is the most features whose copies fit in ``max_rows_per_pass`` rows
+    (at least one). Results do not depend on the grouping: every shuffle
+    is keyed by hashes of (row, feature, repeat). A copy
     shuffles the feature inside random blocks of about ``block_rows`` rows
     (block = hash(id, feature, repeat)): values are re-dealt by a second
     hash, which breaks the feature-label link like a full permutation while
@@ -203,7 +206,7 @@ def permutation_importance(model, test: DataFrame, cols: list[str], id_col: str,
     base_auc = grouped_auc(base.withColumn("_g", F.lit("base")), "_g").first()["auc"]
     n = test.count()
     n_blocks = max(1, -(-n // block_rows))
-    step = features_per_pass or len(cols)
+    step = features_per_pass or max(1, min(len(cols), max_rows_per_pass // max(1, n * n_repeats)))
     passes = []
     for lo in range(0, len(cols), step):
         feats = list(range(lo, min(lo + step, len(cols))))
