@@ -1,8 +1,9 @@
 """Run registered queries in Spark and their SQL in DuckDB, compare.
 
 Usage: python tests/oracle_check.py [sf_dir] [query ...]
-Compares column names, row counts and the order-insensitive multiset of
-rows (doubles rounded to 6 decimals in both engines by the queries).
+Compares column names and types, row counts and the order-insensitive
+multiset of rows (doubles rounded to 6 decimals in both engines by the
+queries).
 """
 
 from __future__ import annotations
@@ -57,18 +58,34 @@ def rows_of(columns: list[str], records: list[tuple]) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+# Spark simple type name -> DuckDB type name
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP", "float": "FLOAT",
+                 "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> dict:
     t0 = time.time()
     sdf = fn(spark, sf_dir)
     s_cols = sdf.columns
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in sdf.schema.fields}
     s_rows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
+    d_types = {c: str(t) for c, t in zip(*[getattr(con.sql(f"SELECT * FROM ({sql}) LIMIT 0"), a)
+                                          for a in ("columns", "types")])}
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     t2 = time.time()
     out = {"query": name, "spark_s": round(t1 - t0, 2), "duck_s": round(t2 - t1, 2),
            "rows": (len(s_rows), len(d_rows)), "cols_match": sorted(s_cols) == sorted(d_cols)}
+    type_diff = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+                 if s_types.get(c) != d_types.get(c)}
+    if type_diff:
+        out["types"] = type_diff
+        out["ok"] = False
+        return out
     if not out["cols_match"]:
         out["cols"] = (sorted(s_cols), sorted(d_cols))
         out["ok"] = False
