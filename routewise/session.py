@@ -1,15 +1,17 @@
-"""Spark session settings and the shared checkpoint folder."""
+"""Spark session settings, the shared checkpoint folder and package shipping."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every job relies on: UTC wall clock (timestamps are NTZ anyway),
-# ANSI arithmetic (bad casts raise instead of silently nulling), adaptive
-# execution for runtime broadcast / partition coalescing / skew splitting.
+# Defaults for settings the submitter left open: UTC wall clock (timestamps are
+# NTZ anyway), ANSI arithmetic (bad casts raise instead of silently nulling),
+# adaptive execution for runtime broadcast / coalescing / skew splitting.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -27,28 +29,49 @@ BASE_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def _submitted() -> dict[str, str]:
+    """Settings that are already fixed: spark-submit's (Java properties of a
+    launched gateway) or the running session's."""
+    active = SparkSession.getActiveSession()
+    conf = active.sparkContext.getConf() if active else SparkConf()
+    return dict(conf.getAll())
+
+
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "routewise", extra: dict | None = None) -> SparkSession:
-    """Local/test session builder. On a cluster the submitter's settings win."""
-    b = SparkSession.builder.appName(app_name)
-    if master:
+    """Session with this package's defaults. A setting the submitter already
+    made is never overridden; ``shuffle_partitions`` and ``extra`` are
+    defaults too."""
+    conf = {**BASE_CONF, **(extra or {})}
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", "8g")
+    taken = _submitted()
+    b = SparkSession.builder
+    if "spark.app.name" not in taken:
+        b = b.appName(app_name)
+    if master and "spark.master" not in taken:
         b = b.master(master)
-    conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "8g")
-    if extra:
-        conf.update(extra)
     for k, v in conf.items():
-        b = b.config(k, v)
+        if k not in taken:
+            b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
+def prepare_session(spark: SparkSession) -> None:
+    """What every job needs of a session it did not build itself."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local master may
+    leave it unset (a fresh scratch folder is used, as in tests); on a
+    cluster a missing shared folder is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -56,11 +79,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="routewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        configured = tempfile.mkdtemp(prefix="routewise-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package: a zip of its sources is added to
+    the application once, so functions pickled by reference import on any
+    executor whatever its working folder or PYTHONPATH."""
+    sc = spark.sparkContext
+    if getattr(sc, "_routewise_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # else this very module already runs from a shipped zip
+        path = os.path.join(tempfile.mkdtemp(prefix="routewise-pkg-"), "routewise_pkg.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(path)
+    sc._routewise_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives the
     loss of the executors that computed ``df``)."""

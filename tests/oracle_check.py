@@ -107,7 +107,7 @@ def main(argv: list[str]) -> int:
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or [n for n in QUERIES if n in ORACLE]
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     bad = 0
     for n in names:
