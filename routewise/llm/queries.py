@@ -6,16 +6,32 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, pii
+from . import byte_bpe, decontaminate, language_id, line_dedup, pii, sharding, topk
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op6_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
+def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"),
                             public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
@@ -26,6 +42,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_pii_anchors, op8_byte_bpe, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op4_pii_anchors, op5_line_dedup, op6_nra_topk, op7_sampled_splitters, op8_byte_bpe,
+    op9_decontaminate)}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_line_dedup": line_dedup.ORACLE, "op6_nra_topk": topk.ORACLE}
