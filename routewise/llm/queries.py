@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, pii, sharding, topk
+from . import byte_bpe, decontaminate, language_id, line_dedup, minhash, pii, sharding, topk
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -42,8 +42,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 table(spark, sf_dir, "benchmark"))
 
 
+def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op4_pii_anchors, op5_line_dedup, op6_nra_topk, op7_sampled_splitters, op8_byte_bpe,
-    op9_decontaminate)}
+    op9_decontaminate, op10_circulant_minhash)}
 
-ORACLE = {"op5_line_dedup": line_dedup.ORACLE, "op6_nra_topk": topk.ORACLE}
+ORACLE = {"op5_line_dedup": line_dedup.ORACLE, "op6_nra_topk": topk.ORACLE,
+          "op10_circulant_minhash": minhash.ORACLE}
