@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, minhash, pii, sharding, suffix_dedup, topk
+from . import byte_bpe, decontaminate, hmm_lm, language_id, line_dedup, minhash, pii, sharding, suffix_dedup, topk
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.report(table(spark, sf_dir, "documents"))
+
+
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_suffix_dedup, op4_pii_anchors, op5_line_dedup, op6_nra_topk, op7_sampled_splitters, op8_byte_bpe,
+    op1_language_id, op2_suffix_dedup, op3_hmm_lm, op4_pii_anchors, op5_line_dedup, op6_nra_topk, op7_sampled_splitters, op8_byte_bpe,
     op9_decontaminate, op10_circulant_minhash)}
 
 ORACLE = {"op5_line_dedup": line_dedup.ORACLE, "op6_nra_topk": topk.ORACLE,
