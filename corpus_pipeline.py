@@ -1,6 +1,63 @@
-"""Corpus cleaning pipeline: the stages and their order."""
+"""Corpus cleaning pipeline: language, repeated lines, near-duplicates,
+benchmark passages, tokens. Every stage works on all that its predecessor kept,
+written as Parquet and read again."""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from routewise.llm import byte_bpe, decontaminate, language_id, line_dedup, minhash
+from routewise.session import ensure_checkpoint_dir
+
+BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach."""
+    return language_id.keep_known(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that a document of smaller id holds."""
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: shingles of five words, similarity 0.8."""
+    return minhash.keep_first(docs, words=5, percent=80)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its very text."""
+    path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
+    done = byte_bpe.decode_ids(byte_bpe.encode_texts(docs.select("doc_id", "text"), path, pattern), path)
+    return done.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
+        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates),
+          ("benchmark", benchmark), ("tokens", tokens)]
+
+#: The first stage is a fitted classifier, which SQL cannot express.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``; the tables between them are
+    Parquet in the shared checkpoint folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

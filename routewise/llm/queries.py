@@ -3,6 +3,7 @@ with production parameters, and DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,8 +56,13 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_suffix_dedup, op3_hmm_lm, op4_pii_anchors, op5_line_dedup, op6_nra_topk, op7_sampled_splitters, op8_byte_bpe,
-    op9_decontaminate, op10_circulant_minhash)}
+    op1_language_id, op2_suffix_dedup, op3_hmm_lm, op4_pii_anchors, op5_line_dedup, op6_nra_topk,
+    op7_sampled_splitters, op8_byte_bpe, op9_decontaminate, op10_circulant_minhash)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
+#: The others have no SQL: a fitted model, an array or index method, a tokenizer
+#: or a sample of splitters; tests hold them against brute force.
 ORACLE = {"op5_line_dedup": line_dedup.ORACLE, "op6_nra_topk": topk.ORACLE,
           "op10_circulant_minhash": minhash.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -7,11 +7,14 @@ from routewise.llm import line_dedup as ld
 from .conftest import make_docs
 
 
+def key_of_line(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\v\f\r"))
+
+
 def brute(rows):
     """rows: (doc_id, text); the same rules, line by line."""
     rank = lambda d: (d is None, d or 0)
-    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c
-                               for c in line.strip(" \t\n\v\f\r"))
+    key = key_of_line
     first = {}
     for d, t in rows:
         for line in (t or "").split("\n"):
