@@ -39,48 +39,45 @@ class Block:
     """Vectors of one block with a sorted list for each component."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], vectors[order]
-        self.order = np.argsort(self.x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, self.order, axis=0)
-
-    def top(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) of the block, ties to the smaller id."""
-        n, dims = self.x.shape
-        # lists as read: descending where the query is positive, else ascending
-        column = np.flatnonzero(q)
-        up = q[column] > 0
-        worst = q[column] * np.where(up, self.sorted[0, column], self.sorted[-1, column])
-        known = np.zeros(n, q.dtype)
-        unread = np.ones((n, len(column)), q.dtype)
-        alive = self.ids != query_id
-        read, step = 0, max(16, n // 32)
-        while read < n and alive.sum() > 4 * k:
-            stop = min(n, read + step)
-            entries = np.where(up, n - 1 - np.arange(read, stop)[:, None],
-                               np.arange(read, stop)[:, None])
-            rows = self.order[entries, column]
-            values = self.sorted[entries, column] * q[column]
-            unread[rows, np.arange(len(column))] = 0
-            known += np.bincount(rows.ravel(), values.ravel(), n).astype(q.dtype) \
-                if q.dtype == np.float64 else _add_at(rows, values, n)
-            reached = values[-1]
-            lower = known + unread @ worst
-            upper = known + unread @ reached
-            best = lower[alive]
-            kth = np.partition(best, len(best) - k)[len(best) - k]
-            alive &= upper >= kth
-            read, step = stop, step * 2
-        left = np.flatnonzero(alive)
-        score = self.x[left] @ q if read < n or not len(column) else known[left]
-        best = np.lexsort((self.ids[left], -score))[:k]
-        return [(int(score[b]), int(self.ids[left[b]])) for b in best]
-
-
-def _add_at(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, values.dtype)
-    np.add.at(out, rows.ravel(), values.ravel())
-    return out
+        self.ids, self.x = ids, vectors
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, order, axis=0)
+        self.rank = np.empty_like(order)
+        np.put_along_axis(self.rank, order, np.arange(len(ids))[:, None], axis=0)
+
+    def top(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query id, id, score) of the k best of each query, ties to the smaller
+        id. All queries read to the same depth; lists are read from above for
+        positive components of a query and from below for negative ones."""
+        n, x = len(self.ids), self.x
+        out: list[tuple[int, int, int]] = []
+        depth = max(16, n // 8)
+        while len(query_ids):
+            depth = min(depth, n)
+            above, below = self.rank >= n - depth, self.rank < depth
+            up, down = np.maximum(q, 0), np.minimum(q, 0)
+            known = (x * above) @ up.T + (x * below) @ down.T
+            lower = upper = known
+            if depth < n:  # unread components: at worst, and at the place reading has reached
+                unread_up, unread_down = (~above).astype(x.dtype), (~below).astype(x.dtype)
+                lower = known + unread_up @ (up * self.sorted[0]).T \
+                    + unread_down @ (down * self.sorted[-1]).T
+                upper = known + unread_up @ (up * self.sorted[n - depth]).T \
+                    + unread_down @ (down * self.sorted[depth - 1]).T
+            other = self.ids[:, None] != query_ids
+            least = np.array(np.iinfo(np.int64).min if x.dtype.kind == "i" else -np.inf, x.dtype)
+            lower = np.where(other, lower, least)
+            kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else least
+            alive = (upper >= kth) & other
+            settled = (alive.sum(axis=0) <= 4 * k) | (depth == n)
+            for j in np.flatnonzero(settled):
+                left = np.flatnonzero(alive[:, j])
+                score = x[left] @ q[j]
+                best = np.lexsort((self.ids[left], -score))[:k]
+                out += [(int(query_ids[j]), int(self.ids[left[b]]), int(score[b])) for b in best]
+            query_ids, q = query_ids[~settled], q[~settled]
+            depth *= 2
+        return out
 
 
 def _number_type(*arrays: np.ndarray):
@@ -102,8 +99,7 @@ def _answer(k: int):
             x, q = _matrix(candidates["v"]), _matrix(queries["v"])
             kind = _number_type(x, q)
             block = Block(candidates["id"].to_numpy(), x.astype(kind))
-            for query_id, v in zip(queries["id"].to_numpy(), q.astype(kind)):
-                out += [(int(query_id), vec, score) for score, vec in block.top(query_id, v, k)]
+            out = block.top(queries["id"].to_numpy(), q.astype(kind), k)
         a = np.array(out, np.int64).reshape(-1, 3)
         return pa.table({"query_id": a[:, 0], "vec_id": a[:, 1], "score": a[:, 2]})
     return run
