@@ -48,7 +48,7 @@ def choose_k(df: DataFrame, id_col: str, features_col: str, k_values=range(2, 7)
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
+    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="error").transform(df)
 
 
 def renumber_by(df: DataFrame, cluster_col: str, order_cols: list) -> DataFrame:
@@ -56,6 +56,7 @@ def renumber_by(df: DataFrame, cluster_col: str, order_cols: list) -> DataFrame:
     computed on per-cluster means (k rows)."""
     means = df.groupBy(cluster_col).agg(*[F.avg(c).alias(f"_m_{c}") for c, _ in order_cols])
     order = [F.desc(f"_m_{c}") if desc else F.asc(f"_m_{c}") for c, desc in order_cols]
+    order.append(F.asc(cluster_col))
     ranks = means.select(cluster_col, (F.row_number().over(Window.orderBy(*order)) - 1)
                          .alias("_new"))  # window over the k cluster rows
     return (df.join(F.broadcast(ranks), cluster_col)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.operators.rank import grouped_prefix_sums
+from routewise.session import cut_lineage
 
 
 def value_counts(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
@@ -69,42 +70,19 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     ])).alias("kv")).select("kv.feature", "kv.value")
 
 
-def exact_medians(df: DataFrame, cols: list[str], n_buckets: int = 32,
-                  max_values_per_task: int = 200_000) -> dict:
+def exact_medians(df: DataFrame, cols: list[str], n_buckets: int = 32) -> dict:
     """Exact median of each column (NULLs skipped; all-NULL -> None).
 
     Columns are unpivoted to (feature, value) so one set of shuffles serves
-    all of them; the (feature, value, count) table is persisted for the
-    few passes over it and released afterwards. Columns with at most
-    ``max_values_per_task`` distinct values use the exact weighted
-    ``percentile`` on those counts; wider ones the range-partitioned path.
-    Returns one scalar per column (a bounded result).
+    all of them; the (feature, value, count) table is checkpointed for the
+    few passes over it. Returns one scalar per column (a bounded result).
     """
-    counts = value_counts(_long(df, cols), "feature", "value").persist()
-    try:
-        widest = counts.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
-        if widest <= max_values_per_task:
-            # checked bound: every column has few distinct values, so the
-            # exact frequency-weighted percentile keeps at most that many
-            # (value, count) pairs per task
-            rows = (counts.groupBy("feature")
-                    .agg(F.percentile("value", 0.5, F.col("_n")).alias("median")).collect())
-        else:
-            rows = grouped_quantile(None, "feature", "value", 0.5, "median", n_buckets,
-                                    counts=counts).collect()
-    finally:
-        counts.unpersist()
+    counts = cut_lineage(value_counts(_long(df, cols), "feature", "value"))
+    rows = grouped_quantile(None, "feature", "value", 0.5, "median", n_buckets, counts=counts).collect()
     got = {r["feature"]: r["median"] for r in rows}
     return {c: got.get(c) for c in cols}
 
 
-def column_medians(df: DataFrame, cols: list[str], n_buckets: int = 32) -> DataFrame:
-    """(feature, median) rows, one per column."""
-    med = exact_medians(df, cols, n_buckets)
-    return df.sparkSession.createDataFrame([(c, med[c]) for c in cols],
-                                           "feature string, median double")
-
-
 def medians_row(df: DataFrame, cols: list[str], n_buckets: int = 32) -> DataFrame:
     """The exact medians as one wide row (column names kept)."""
     med = exact_medians(df, cols, n_buckets)

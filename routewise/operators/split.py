@@ -56,13 +56,16 @@ def chronological_split(df: DataFrame, ts_col: str = "order_purchase_timestamp",
     if need <= 0:
         return df.withColumn(label_col, F.lit(0))
     b_day, need_day = _boundary(days, need)
-    if b_day is None:  # boundary among NULL timestamps (need > non-NULL rows)
-        return df.withColumn(label_col, F.lit(1))
-    sec = F.date_trunc("second", ts)
+    if b_day is None:  # the boundary lies among the NULL timestamps, ordered by the ties
+        last = exact_positions(df.filter(ts.isNull()), list(tie_cols))
+        return df.filter(ts.isNotNull()).withColumn(label_col, F.lit(1)).unionByName(
+            last.withColumn(label_col, (F.col("_pos") < need_day).cast("int")).drop("_pos"))
+    # whole seconds since the day's midnight, on the wall clock of the column
+    sec = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     secs = [(r[0], r[1]) for r in
             df.filter(day == F.lit(b_day)).groupBy(sec.alias("s")).count().orderBy("s").collect()]
     b_sec, need_sec = _boundary(secs, need_day)
-    b_sec_lit = F.lit(b_sec).cast(df.schema[ts_col].dataType)
+    b_sec_lit = F.lit(b_sec)
     in_b_sec = (day == F.lit(b_day)) & (sec == b_sec_lit)
     outside = df.filter(~in_b_sec | ts.isNull()).withColumn(
         label_col,

@@ -73,8 +73,8 @@ def run_prediction(train: DataFrame, test: DataFrame, grid: dict = pr.REFERENCE_
                    seed: int = 42) -> dict[str, DataFrame]:
     """Seller features, imputation, SMOTE, both models, comparison and
     importance (all statistics from ``train``)."""
-    train = train.withColumn("row_id", F.monotonically_increasing_id())
-    test = test.withColumn("row_id", F.monotonically_increasing_id())
+    train = cut_lineage(train.withColumn("row_id", F.monotonically_increasing_id()))
+    test = cut_lineage(test.withColumn("row_id", F.monotonically_increasing_id()))
     tr, te = sellers.add_seller_features(train, test)
     cols = pr.feature_columns(tr)
     keep = ["row_id", "order_id", "review_score"]

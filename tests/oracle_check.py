@@ -102,9 +102,11 @@ def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> dict:
 
 def main(argv: list[str]) -> int:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    from routewise.plans.queries import ORACLE, QUERIES
+    import __spark_entry__
     from routewise.session import build_session
 
+    QUERIES, ORACLE = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or [n for n in QUERIES if n in ORACLE]
     spark = build_session("local[8]", shuffle_partitions=8)
