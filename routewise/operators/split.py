@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routewise.session import cut_lineage
+from routewise.session import cut_lineage, save_table
 
 
 def _boundary(hist: list[tuple], need: int):
@@ -43,10 +43,11 @@ def chronological_split(df: DataFrame, ts_col: str = "order_purchase_timestamp",
 
     ``materialize``: the input is read by two histogram jobs and both label
     branches, and the parts feed many later statistics, so it is written
-    once to the shared checkpoint folder (lineage cut, executor-loss safe).
+    once as Parquet to the shared checkpoint folder (executor-loss safe, and
+    later scans read only the columns they need).
     """
     if materialize:
-        df = cut_lineage(df)
+        df = save_table(df)
     ts = F.col(ts_col)
     day = F.to_date(ts)
     days = [(r[0], r[1]) for r in

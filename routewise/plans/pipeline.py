@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routewise.operators import cluster as cl
@@ -19,8 +19,8 @@ from routewise.operators.orders import geo_lookup
 from routewise.plans import corridors, eda, prediction as pr, sellers
 from routewise.plans.prepare import build_master, engineer_features, top_category_names
 from routewise.schemas import Tables
-from routewise.session import cut_lineage
-from routewise.sources import write_prepared, write_results
+from routewise.session import cut_lineage, save_table
+from routewise.sources import read_prepared, write_prepared, write_results
 
 
 @dataclass
@@ -34,9 +34,9 @@ class Prepared:
 
 def prepare(tables: Tables, train_frac: float = 0.8) -> Prepared:
     """Clean, merge, engineer features (5 category dummies), split by time."""
-    # the merged table is written once; the 5 category names and the
-    # row-local features are then cheap passes over the written copy
-    base = cut_lineage(build_master(tables))
+    # the merged table is written once as Parquet; the 5 category names and the
+    # row-local features are then cheap, column-pruned passes over it
+    base = save_table(build_master(tables))
     master = engineer_features(base, top_category_names(base))
     labelled = chronological_split(master, train_frac=train_frac, materialize=False)
     return Prepared(
@@ -53,8 +53,10 @@ def write_preparation(p: Prepared, out_dir: str, fmt: str = "parquet") -> None:
 
 
 def corridor_analysis(master: DataFrame, min_orders: int = 50) -> dict[str, DataFrame]:
-    corr = corridors.corridor_stats(master, min_orders)
+    # one row per corridor, read by four result tables
+    corr = cut_lineage(corridors.corridor_stats(master, min_orders))
     return {"corridor_analysis": corr,
+            "corridor_bubbles": corridors.corridor_bubbles(corr),
             "statistical_tests": corridors.statistical_tests(master, min_orders),
             "same_vs_cross": corridors.same_vs_cross(master),
             "state_satisfaction": corridors.state_satisfaction(master),
@@ -86,15 +88,30 @@ def run_prediction(train: DataFrame, test: DataFrame, grid: dict = pr.REFERENCE_
         "_key", F.xxhash64("_rid", F.lit(seed)))
     folded = cut_lineage(stratified_folds(keyed, pr.LABEL, "_key", ["_rid"], n_folds))
     gbt = pr.tune_gbt(folded, cols, "fold", grid=grid, n_iter=n_iter, n_folds=n_folds, seed=seed).bestModel
-    comparison = ev.comparison_table(
-        ev.model_metrics(pr.predict(lr, te, cols, stats), "Logistic Regression").unionByName(
-            ev.model_metrics(pr.predict(gbt, te, cols), "Gradient-Boosted Trees")))
+    scored = {"Logistic Regression": cut_lineage(pr.predict(lr, te, cols, stats)),
+              "Gradient-Boosted Trees": cut_lineage(pr.predict(gbt, te, cols))}
+    comparison = ev.comparison_table(_by_model(scored, lambda df, name: ev.model_metrics(df, name)))
     spark = train.sparkSession
     gain = spark.createDataFrame(pr.gain_importance(gbt, cols), "Feature string, Gain_Importance double")
     perm = pr.permutation_importance(gbt, te, cols, "row_id", n_repeats, seed).select(
         F.col("feature").alias("Feature"), F.col("permutation_importance").alias("Permutation_Importance"))
     importance = gain.join(perm, "Feature", "left").orderBy(F.desc("Permutation_Importance"))
-    return {"model_comparison": comparison, "feature_importance": importance}
+    named = lambda make: lambda df, name: make(df).withColumn("model", F.lit(name))
+    return {"model_comparison": comparison, "feature_importance": importance,
+            "feature_importance_top15": importance.limit(15),
+            "classification_report": _by_model(scored, named(ev.classification_report)),
+            "confusion_matrix": _by_model(scored, named(ev.confusion_matrix)),
+            "roc_curve": _by_model(scored, named(ev.roc_curve)),
+            "cold_start_sellers": sellers.cold_start(train, test)}
+
+
+def _by_model(scored: dict[str, DataFrame], make) -> DataFrame:
+    """The tables that ``make`` gives for each model, one below the other."""
+    parts = [make(df, name) for name, df in scored.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def run_seller_analysis(master: DataFrame, k_values=range(2, 7), n_init: int = 10,
@@ -118,13 +135,27 @@ def run_seller_analysis(master: DataFrame, k_values=range(2, 7), n_init: int = 1
             "silhouette_by_k": master.sparkSession.createDataFrame(scores, "k int, silhouette double")}
 
 
+def distance_coverage(master: DataFrame) -> DataFrame:
+    """How many rows have a shipping distance."""
+    return master.agg(F.count(F.lit(1)).alias("n_rows"), F.count("distance_km").alias("n_with_distance"),
+                      F.avg(F.col("distance_km").isNotNull().cast("int")).alias("coverage"))
+
+
+def run_analysis(spark: SparkSession, prepared_dir: str, out_dir: str, fmt: str = "parquet", **kw) -> None:
+    """Every result table, from the prepared files alone."""
+    master, train, test = (read_prepared(spark, f"{prepared_dir}/{name}", fmt)
+                           for name in ("master_olist_data", "train_data", "test_data"))
+    labelled = train.withColumn("is_train", F.lit(1)).unionByName(test.withColumn("is_train", F.lit(0)))
+    results = {"split_summary": split_summary(labelled), "distance_coverage": distance_coverage(master)}
+    results.update(eda_tables(master))
+    results.update(corridor_analysis(master))
+    results.update(run_prediction(train, test, **kw))
+    results.update(run_seller_analysis(master))
+    write_results(results, out_dir)
+
+
 def run_all(tables: Tables, out_dir: str, **kw) -> None:
-    """Both scripts' work: prepared tables and every result table."""
-    p = prepare(tables)
-    write_preparation(p, f"{out_dir}/prepared")
-    results = {}
-    results.update(eda_tables(p.master))
-    results.update(corridor_analysis(p.master))
-    results.update(run_prediction(p.train, p.test, **kw))
-    results.update(run_seller_analysis(p.master))
-    write_results(results, f"{out_dir}/results")
+    """Both jobs: the prepared tables, then the analysis of those files."""
+    write_preparation(prepare(tables), f"{out_dir}/prepared")
+    spark = tables.orders.sparkSession
+    run_analysis(spark, f"{out_dir}/prepared", f"{out_dir}/results", **kw)

@@ -30,6 +30,7 @@ from routewise.operators.split import chronological_split, split_summary
 from routewise.plans import corridors, eda, sellers
 from routewise.plans import prediction as pr
 from routewise.plans.oracle import FIXTURE_CTES, on_master, with_ctes
+from routewise.plans.pipeline import distance_coverage
 from routewise.session import cut_lineage
 from routewise.plans.prepare import (
     MASTER_BASE_COLUMNS,
@@ -323,9 +324,7 @@ def q_state_satisfaction(spark, sf):
     f"{R('avg(CAST(distance_km IS NOT NULL AS INTEGER))')} AS coverage FROM master"))
 def q_distance_coverage(spark, sf):
     m = build_master(_tables(spark, sf))
-    return rounded(m.agg(F.count(F.lit(1)).alias("n_rows"),
-                         F.count("distance_km").alias("n_with_distance"),
-                         F.avg(F.col("distance_km").isNotNull().cast("int")).alias("coverage")))
+    return rounded(distance_coverage(m))
 
 # ============================================================ 2.6 stats ==
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark import SparkConf
@@ -111,3 +113,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss of the executors that computed ``df``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def save_table(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read
+    back: survives lost executors like a checkpoint, and later scans read only
+    the columns and row groups they need. The files of a session are removed
+    when its Python process ends."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = getattr(sc, "_routewise_tables", None)
+    if folder is None:
+        folder = f"{ensure_checkpoint_dir(spark)}/tables-{sc.applicationId}"
+        sc._routewise_tables = folder
+        atexit.register(_remove_folder, sc, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _remove_folder(sc, folder: str) -> None:
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

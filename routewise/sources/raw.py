@@ -33,11 +33,16 @@ def _typed(df: DataFrame, table: str) -> DataFrame:
     return df.select(*cols)
 
 
+#: Tables with free-text columns.
+MULTILINE_TABLES = frozenset({"reviews"})
+
+
 def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Header CSV with quoted multi-line fields; every column read as text
-    (no inference pass), then projected and cast by name."""
+    """Header CSV; every column read as text (no inference pass), then
+    projected and cast by name. Only tables with free text can hold line
+    breaks inside quotes; the others are split into many tasks."""
     try:
-        raw = (spark.read.option("header", True).option("multiLine", True)
+        raw = (spark.read.option("header", True).option("multiLine", table in MULTILINE_TABLES)
                .option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
                .csv(path))
         return _typed(raw, table)

@@ -87,6 +87,26 @@ def test_end_to_end_jobs_write_all_outputs(spark, tmp_path):
     assert read("feature_importance").count() == 25
     assert read("statistical_tests").count() == 2
     assert read("seller_recommendations").count() >= 3
+    assert read("feature_importance_top15").count() == 15
+    assert read("classification_report").count() == 10 and read("confusion_matrix").count() == 8
+    assert read("split_summary").count() == read("distance_coverage").count() == 1
+    assert read("cold_start_sellers").count() == 1
+    assert read("roc_curve").select("model").distinct().count() == 2
+    assert read("corridor_bubbles").count() == read("corridor_analysis").count()
+
+
+def test_split_is_written_as_columns(spark):
+    """Later scans of the split read only the columns they need."""
+    import io
+    from contextlib import redirect_stdout
+    from routewise.plans.queries import _train_test
+    train, _ = _train_test(spark, SF)
+    text = io.StringIO()
+    with redirect_stdout(text):
+        train.select("delivery_delay_days", "satisfied").explain("formatted")
+    scans = [line for line in text.getvalue().splitlines() if line.startswith("ReadSchema")]
+    assert scans and all("delivery_delay_days" in s or "purchase" in s for s in scans)
+    assert not any("seller_zip" in s or "distance_km" in s for s in scans)
 
 
 def test_prepared_csv_round_trip_keeps_types(spark, tmp_path, feat):
