@@ -5,11 +5,11 @@ shingles, a second one, shifted circularly by one place for each coordinate,
 gives all signature coordinates. Bands of coordinates put documents that may
 be alike into buckets; every link is confirmed on full sets.
 
-Documents with equal sets are one node from the start. In a bucket the first
-node is compared with all others, and only nodes that are still in different
-components are compared further, so a bucket of one large group of copies
-costs one comparison for each member, not one for each pair. No link between
-nodes that share a bucket is left out, and no bucket is capped.
+Documents with equal sets are one node from the start. Buckets chain nodes into
+candidate clusters; a cluster is cut into tiles of bounded size, and a task
+counts the shared shingles of one pair of tiles at a time and hands on a
+spanning forest of the confirmed links, never the pairs. No link between nodes
+that share a bucket is left out, and no bucket or cluster is capped.
 """
 
 from __future__ import annotations
@@ -19,21 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from routewise.session import cut_lineage
 
 from .common import flat_bytes, list_array, mix64, span_hashes, text_slices, words_of
 
 WORDS = 4
-#: 32 bands of 4 coordinates: a pair at similarity 0.8 shares no band with a
-#: chance of (1 - 0.8^4)^32 = 5e-8.
-BANDS, ROWS = 32, 4
+#: 40 bands of 5 coordinates: a pair at similarity 0.8 shares no band with a
+#: chance of (1 - 0.8^5)^40 = 1e-7.
+BANDS, ROWS = 40, 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
 SLICE_BYTES = 1 << 20
-#: Outsiders of a bucket that are compared with its other nodes in one round.
-OUTSIDERS = 32
+#: Nodes and shingles of one tile of a cluster.
+TILE_NODES = 1024
+TILE_SHINGLES = 400_000
+#: A shingle of more nodes is counted by matrix products, one of fewer by its pairs.
+FEW = 16
 
 _COMBINE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                      0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3],
@@ -118,29 +121,110 @@ def describe(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
         run, f"doc_id {kind}, tag long, n long, node binary, bands array<long>")
 
 
-def sets_of(chosen: DataFrame, words: int) -> DataFrame:
-    """(nid, s array<long>) of rows (nid, text)."""
+def shared_counts(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(sets, sets) numbers of shared shingles; the diagonal is not filled."""
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    starts = np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1]))
+    count = np.diff(np.append(starts, len(shingles)))
+    flat = []
+    for c in range(2, FEW + 1):
+        at = starts[count == c]
+        for i in range(c if len(at) else 0):  # owners ascend, so pairs have i < j
+            for j in range(i + 1, c):
+                flat.append(owner[at + i] * n + owner[at + j])
+    shared = np.zeros(n * n, np.int64)
+    if flat:
+        shared += np.bincount(np.concatenate(flat), minlength=n * n)
+    shared = shared.reshape(n, n)
+    shared += shared.T
+    many, many_count = starts[count > FEW], count[count > FEW]
+    for k in range(0, len(many), 1024):
+        c = many_count[k:k + 1024]
+        ends = np.cumsum(c)
+        at = np.repeat(many[k:k + 1024] - ends + c, c) + np.arange(int(ends[-1]))
+        present = np.zeros((n, len(c)), np.float32)
+        present[owner[at], np.repeat(np.arange(len(c)), c)] = 1
+        shared += (present @ present.T).astype(np.int64)
+    return shared
+
+
+def confirmed_forest(shingles: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect just the sets that links connect."""
+    shared = shared_counts(shingles, sizes)
+    union = sizes[:, None] + sizes[None, :] - shared
+    near = 100 * shared >= percent * union
+    np.fill_diagonal(near, False)
+    left = np.ones(len(sizes), bool)
+    edges = []
+    for root in np.flatnonzero(near.any(axis=1)):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = np.array([root])
+        while len(front):
+            reached = np.flatnonzero(near[front].any(axis=0) & left)
+            left[reached] = False
+            edges += [(root, int(x)) for x in reached]
+            front = reached
+    return edges
+
+
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
             shingles, sizes = shingle_sets(part.column("text"), words)
+            ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
-                [part.column("nid"), list_array(pa.array(shingles.view(np.int64)), sizes)], ["nid", "s"])
-
-    return chosen.select("nid", "text").mapInArrow(run, "nid long, s array<long>")
-
+                [part.column("nid"), part.column("cluster"), part.column("tiles"),
+                 pa.array([shingles[e - n:e].tobytes() for e, n in zip(ends, sizes)], pa.binary())],
+                ["nid", "cluster", "tiles", "s"])
+    return run
+
+
+def _confirm(percent: int):
+    """Forests of the pairs of tiles of a partition, which comes sorted by them."""
+    def forest(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        sets = dict(rows)  # repeated rows have the same set
+        nid = np.fromiter(sets, np.int64, len(sets))
+        sizes = np.array([len(s) // 8 for s in sets.values()])
+        edges = np.array(confirmed_forest(np.frombuffer(b"".join(sets.values()), np.uint64), sizes, percent),
+                         np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(nid[edges[:, 0]]), pa.array(nid[edges[:, 1]])], ["a", "b"])
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, union) of each pair of nodes, on full sets."""
-    left = sets.select(F.col("nid").alias("a"), F.col("s").alias("s_a"))
-    right = sets.select(F.col("nid").alias("b"), F.col("s").alias("s_b"))
-    shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return pairs.join(right, "b").join(left, "a").select(
-        "a", "b", shared.alias("shared"), (F.size("s_a") + F.size("s_b")).alias("both")) \
-        .select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("union"))
-
-
-def linked(percent: int) -> Column:
-    return 100 * F.col("shared") >= percent * F.col("union")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for part in text_slices(batches, "s", 4 * SLICE_BYTES):
+            for c, i, j, nid, s in zip(*(part.column(k).to_pylist() for k in ("cluster", "i", "j", "nid", "s"))):
+                if (c, i, j) != key:
+                    if len(rows) > 1:
+                        yield forest(rows)
+                    key, rows = (c, i, j), []
+                rows.append((nid, s))
+        if len(rows) > 1:
+            yield forest(rows)
+    return run
+
+
+def confirmed_links(docs: DataFrame, chosen: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): edges that connect the nodes which links connect inside each
+    cluster, on full sets. ``chosen``: nid, doc_id, tag, n, cluster."""
+    size = chosen.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_NODES)).cast("int").alias("tiles"))
+    chosen = chosen.join(size, "cluster").select("nid", "doc_id", "tag", "cluster", "tiles").hint("shuffle_hash")
+    texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_tag"), "text")
+    sets = texts.join(chosen, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_tag") == F.col("tag"))) \
+        .select("nid", "cluster", "tiles", "text") \
+        .mapInArrow(_sets(words), "nid long, cluster long, tiles int, s binary")
+    mine = F.pmod(F.xxhash64("nid", F.lit(3)), F.col("tiles")).cast("int")
+    dealt = sets.withColumn("mine", mine) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))) \
+        .select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "nid", "s")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j") \
+        .mapInArrow(_confirm(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,48 +247,12 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, first, nid) of buckets with at least two nodes; of buckets with
-    the same nodes one is enough."""
+def candidate_edges(nodes: DataFrame) -> DataFrame:
+    """(a, b) of each bucket's first node and its others."""
     rows = nodes.select("nid", F.explode("bands").alias("bucket"))
-    several = rows.groupBy("bucket").agg(
-        F.min("nid").alias("first"), F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("nid")).alias("x1"),
-        F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("x2")).where("n > 1")
-    once = several.groupBy("first", "n", "x1", "x2").agg(F.min("bucket").alias("bucket"))
-    return rows.join(once.select("bucket", "first"), "bucket").select("bucket", "first", "nid")
-
-
-def _next_pairs(members: DataFrame, label: DataFrame, first_seen: DataFrame,
-                done: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(outsiders looked at: bucket, nid; pairs a < b still to be confirmed).
-
-    Outsiders are nodes outside the largest component of their bucket. Jaccard
-    distance is a metric and every node's distance to its bucket's first node
-    is known, so pairs whose distances differ by more than the limit are out."""
-    comp = F.coalesce("comp", "nid").alias("comp")
-    at = members.join(label, "nid", "left").select("bucket", "first", "nid", comp)
-    sizes = at.groupBy("bucket", "comp").count()
-    main = sizes.groupBy("bucket").agg(
-        F.max(F.struct("count", -F.col("comp"))).alias("m"), F.count("*").alias("comps")) \
-        .where("comps > 1").select("bucket", (-F.col("m.col2")).alias("main"))
-    away = first_seen.select(F.col("a").alias("first"), F.col("b").alias("nid"),
-                             (1 - F.col("shared") / F.col("union")).alias("away"))
-    at = at.join(main, "bucket").join(away, ["first", "nid"], "left") \
-        .where(F.col("nid") != F.col("first"))
-    out = at.where(F.col("comp") != F.col("main"))
-    if done is not None:
-        out = out.join(done, ["bucket", "nid"], "left_anti")
-    turn = Window.partitionBy("bucket").orderBy("nid")
-    out = cut_lineage(out.withColumn("turn", F.row_number().over(turn))
-                      .where(F.col("turn") <= OUTSIDERS).drop("turn"))
-    o = out.select("bucket", F.col("nid").alias("y"), F.col("comp").alias("comp_y"),
-                   F.col("away").alias("away_y"))
-    limit = 1 - percent / 100 + 1e-9
-    pairs = at.join(o, "bucket").where(
-        (F.col("comp") != F.col("comp_y")) & (F.abs(F.col("away") - F.col("away_y")) <= limit))
-    pairs = pairs.select(F.least("nid", "y").alias("a"), F.greatest("nid", "y").alias("b")).distinct()
-    return out.select("bucket", "nid"), pairs
+    several = rows.groupBy("bucket").agg(F.min("nid").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(several.select("bucket", "a"), "bucket").where("nid != a") \
+        .select("a", F.col("nid").alias("b")).distinct()
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS,
@@ -216,32 +264,11 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int
     info = cut_lineage(describe(docs, words, bands, rows))
     nodes = info.where("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("of"),
-        F.any_value("bands").alias("bands"))
-    # numbered by smallest id, so that the first node of a bucket is its oldest
-    nodes = cut_lineage(nodes.orderBy("of").withColumn("nid", F.monotonically_increasing_id()))
-
-    members = cut_lineage(_buckets(nodes))
-    chosen = members.select("nid").distinct().join(
-        nodes.select("nid", "of.doc_id", "of.tag"), "nid").hint("shuffle_hash")
-    texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_tag"), "text")
-    sets = cut_lineage(sets_of(texts.join(
-        chosen, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_tag") == F.col("tag"))), words))
-
-    pairs = members.where(F.col("nid") != F.col("first")) \
-        .select(F.col("first").alias("a"), F.col("nid").alias("b")).distinct()
-    seen = first_seen = cut_lineage(confirm(pairs, sets))
-    label = components(seen.where(linked(percent)))
-    done = None
-    while True:
-        looked, pairs = _next_pairs(members, label, first_seen, done, percent)
-        if looked.isEmpty():
-            break
-        done = looked if done is None else done.unionByName(looked)
-        new = cut_lineage(confirm(pairs.join(seen, ["a", "b"], "left_anti"), sets))
-        seen = seen.unionByName(new)
-        if not new.where(linked(percent)).isEmpty():
-            label = components(seen.where(linked(percent)))
-
+        F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    nodes = cut_lineage(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    cluster = components(candidate_edges(nodes)).withColumnRenamed("comp", "cluster")
+    chosen = cut_lineage(nodes.select("nid", "of.doc_id", "of.tag", "n").join(cluster, "nid"))
+    label = components(confirmed_links(docs, chosen, words, percent))
     oldest = nodes.select("node", "nid", "of").join(label, "nid", "left") \
         .withColumn("comp", F.coalesce("comp", "nid"))
     head = oldest.groupBy("comp").agg(F.min("of").alias("head"))

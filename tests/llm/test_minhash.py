@@ -65,12 +65,25 @@ def test_families_chains_and_odd_rows(spark):
     assert mh.report(make_docs(spark, texts[:20] * 2, ids=ids)).count() == 40
 
 
-def test_a_large_group_with_outsiders(spark, monkeypatch):
-    monkeypatch.setattr(mh, "OUTSIDERS", 8)
+def test_a_cluster_of_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(mh, "TILE_NODES", 15)
+    monkeypatch.setattr(mh, "FEW", 3)
     r = random.Random(6)
     base = random_words(7, 120, 1000)
-    texts = [" ".join(edited(r, base, r.randint(1, 9))) for _ in range(50)]
-    check(spark, texts)
+    texts = [" ".join(edited(r, base, r.randint(1, 9))) for _ in range(60)]
+    check(spark, texts + ["z " + t for t in texts[:5]])
+
+
+def test_shared_counts(monkeypatch):
+    import numpy as np
+    r = np.random.default_rng(2)
+    for few in (1, 2, 16):
+        monkeypatch.setattr(mh, "FEW", few)
+        sets = [np.unique(r.integers(0, 60, r.integers(1, 30))).astype(np.uint64) for _ in range(25)]
+        got = mh.shared_counts(np.concatenate(sets), np.array([len(s) for s in sets]))
+        want = [[0 if i == j else len(np.intersect1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+        np.fill_diagonal(got, 0)
+        assert got.tolist() == want
 
 
 def test_given_documents(spark, corpus):
