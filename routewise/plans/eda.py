@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from routewise.functions import delay_band, delay_band_order
 from routewise.operators.stats import pearson_matrix
 
+# The columns of the correlation matrix.
 CORRELATION_COLUMNS = [
     "distance_km", "actual_delivery_days", "delivery_delay_days", "total_order_value",
     "freight_ratio", "num_items", "payment_installments", "satisfied",

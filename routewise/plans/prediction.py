@@ -7,13 +7,14 @@ oversampling) is fitted on the training part and only applied to test.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.operators.quantiles import medians_row
 from routewise.plans.prepare import CATEGORY_PREFIX
 from routewise.plans.sellers import fill_with
 
+# The model's feature columns.
 FEATURE_COLUMNS = [
     "distance_km", "actual_delivery_days", "delivery_delay_days", "carrier_handling_days",
     "total_order_value", "freight_ratio", "num_items", "payment_installments",
@@ -79,6 +80,7 @@ from pyspark.ml.functions import vector_to_array  # noqa: E402
 from pyspark.ml.tuning import CrossValidator  # noqa: E402
 
 from routewise.operators.evaluate import grouped_auc  # noqa: E402
+from routewise.operators.smote import dense_positions  # noqa: E402
 
 # The boosted-tree search space (972 combinations).
 REFERENCE_GRID = {
@@ -187,59 +189,50 @@ def gain_importance(model, cols: list[str]) -> list[tuple[str, float]]:
 
 def permutation_importance(model, test: DataFrame, cols: list[str], id_col: str,
                            n_repeats: int = 10, seed: int = 42, stats=None,
-                           block_rows: int = 100_000, features_per_pass: int | None = None,
-                           max_rows_per_pass: int = 50_000_000, label: str = LABEL) -> DataFrame:
+                           label: str = LABEL) -> DataFrame:
     """Mean AUC drop when one feature is shuffled, per feature.
 
-    The (feature, repeat) copies of a pass are scored by one ``transform``
-    and one grouped AUC; ``features_per_pass`` bounds the copies alive at
-    once (n_repeats x features_per_pass times the test rows). By default it
-    is the most features whose copies fit in ``max_rows_per_pass`` rows
-    (at least one). Results do not depend on the grouping: every shuffle
-    is keyed by hashes of (row, feature, repeat). A copy
-    shuffles the feature inside random blocks of about ``block_rows`` rows
-    (block = hash(id, feature, repeat)): values are re-dealt by a second
-    hash, which breaks the feature-label link like a full permutation while
-    every block stays one bounded task.
+    Each repeat is one random permutation of all test rows, shared by the
+    features: a row meets its donor once, and the feature at hand takes the
+    donor's value. ``id_col`` must be unique.
     """
     base = predict(model, test, cols, stats, keep=(id_col,), label=label)
     base_auc = grouped_auc(base.withColumn("_g", F.lit("base")), "_g").first()["auc"]
-    n = test.count()
-    n_blocks = max(1, -(-n // block_rows))
-    step = features_per_pass or max(1, min(len(cols), max_rows_per_pass // max(1, n * n_repeats)))
-    passes = []
-    for lo in range(0, len(cols), step):
-        feats = list(range(lo, min(lo + step, len(cols))))
-        passes.append(_permuted_aucs(model, test, cols, id_col, feats, n_repeats, seed, stats,
-                                     n_blocks, label))
-    aucs = passes[0]
-    for p in passes[1:]:
-        aucs = aucs.unionByName(p)
+    copies = _permuted_copies(test, cols, id_col, n_repeats, seed, label)
+    x = standardize(copies, cols, stats) if stats is not None else copies
+    scored = model.transform(vectorize(x, cols)).select(
+        "_g", "label", vector_to_array("probability")[1].alias("score"))
+    aucs = grouped_auc(scored, "_g").select(F.split("_g", ":")[0].cast("int").alias("_f"), "auc")
     names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_f") + 1)
     return (aucs.select(names.alias("feature"), (F.lit(base_auc) - F.col("auc")).alias("drop"))
             .groupBy("feature").agg(F.avg("drop").alias("permutation_importance"),
                                     F.stddev_pop("drop").alias("permutation_std")))
 
 
-def _permuted_aucs(model, test, cols, id_col, feats, n_repeats, seed, stats, n_blocks, label):
-    """AUC of every (feature in ``feats``, repeat) shuffled copy."""
-    copies = test.select("*", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
-        for f in feats for r in range(n_repeats)])).alias("_fr")).select("*", "_fr._f", "_fr._r").drop("_fr")
-    h = lambda salt: F.xxhash64(F.col(id_col), F.col("_f"), F.col("_r"), F.lit(seed), F.lit(salt))
-    copies = copies.withColumn("_blk", F.pmod(h(1), F.lit(n_blocks)))
-    donor_val = F.element_at(F.array(*[F.col(c).cast("double") for c in cols]), F.col("_f") + 1)
-    w_row = Window.partitionBy("_f", "_r", "_blk").orderBy(h(2), id_col)
-    w_val = Window.partitionBy("_f", "_r", "_blk").orderBy(h(3), id_col)
-    rows = copies.withColumn("_pos", F.row_number().over(w_row))
-    donors = copies.select("_f", "_r", "_blk", donor_val.alias("_donor"),
-                           F.row_number().over(w_val).alias("_pos"))
-    shuffled = rows.join(donors, ["_f", "_r", "_blk", "_pos"])
-    replaced = shuffled.select(*[c for c in test.columns if c not in cols], "_f", "_r", *[
-        F.when(F.col("_f") == i, F.col("_donor")).otherwise(F.col(c).cast("double")).alias(c)
+def donors(rows: DataFrame, id_col: str, n_repeats: int, seed: int) -> DataFrame:
+    """(_id, _r, _donor): a random permutation of all ids for each repeat, the
+    ids in the order of one hash against the ids in the order of another."""
+    pairs = rows.select(F.col(id_col).alias("_id"),
+                        F.explode(F.array(*[F.lit(r) for r in range(n_repeats)])).alias("_r"))
+
+    def ordered(salt: int) -> DataFrame:
+        key = F.xxhash64("_id", "_r", F.lit(seed), F.lit(salt))
+        return dense_positions(pairs.withColumn("_h", key), "_r", "_h", ["_id"])
+
+    takers = ordered(2).select("_id", "_r", "position")
+    givers = ordered(3).select(F.col("_id").alias("_donor"), "_r", "position")
+    return takers.join(givers, ["_r", "position"]).select("_id", "_r", "_donor")
+
+
+def _permuted_copies(test: DataFrame, cols: list[str], id_col: str, n_repeats: int, seed: int,
+                     label: str) -> DataFrame:
+    """(_g = "feature:repeat", label, features): every shuffled copy. Only
+    repeats x rows are exchanged; the copies by feature are made in place."""
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = test.select(F.col(id_col).alias("_id"), F.col(label).alias("label"), x.alias("_x"))
+    given = test.select(F.col(id_col).alias("_donor"), x.alias("_y"))
+    met = donors(test, id_col, n_repeats, seed).join(rows, "_id").join(given, "_donor") \
+        .withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(cols))])))
+    return met.select(F.concat_ws(":", "_f", "_r").alias("_g"), "label", *[
+        F.when(F.col("_f") == i, F.col("_y")[i]).otherwise(F.col("_x")[i]).alias(c)
         for i, c in enumerate(cols)])
-    x = standardize(replaced, cols, stats) if stats is not None else replaced
-    scored = model.transform(vectorize(x, cols)).select(
-        "_f", "_r", F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))
-    aucs = grouped_auc(scored.withColumn("_g", F.concat_ws(":", "_f", "_r")), "_g")
-    return aucs.select(F.split("_g", ":")[0].cast("int").alias("_f"), "auc")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from routewise.operators.quantiles import medians_row
 
+# Column lists of the seller analyses.
 SELLER_FEATURES = ["seller_order_count", "seller_avg_review", "seller_late_rate",
                    "seller_avg_distance"]
 CLUSTER_COLUMNS = ["avg_review", "late_rate", "avg_distance", "avg_delivery_days",

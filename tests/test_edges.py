@@ -84,3 +84,12 @@ def test_student_tail(t, dof, p):
         assert 0 < got < 1e-200
     else:
         assert math.isclose(got, p, rel_tol=1e-6)
+
+
+def test_donors_are_one_permutation_for_each_repeat(spark):
+    from routewise.plans.prediction import donors
+    rows = donors(spark.range(500).withColumnRenamed("id", "k"), "k", 3, 42).collect()
+    for r in range(3):
+        pairs = [(p["_id"], p["_donor"]) for p in rows if p["_r"] == r]
+        assert sorted(a for a, _ in pairs) == sorted(b for _, b in pairs) == list(range(500))
+        assert sum(a == b for a, b in pairs) < 10

@@ -83,5 +83,5 @@ def test_permutation_importance_signal_beats_noise(spark):
                                "rid long, a double, b double, satisfied int")
     model = LogisticRegression(featuresCol="features", labelCol="satisfied").fit(vectorize(df, ["a", "b"]))
     imp = {r.feature: r.permutation_importance for r in
-           permutation_importance(model, df, ["a", "b"], "rid", n_repeats=3, block_rows=100).collect()}
+           permutation_importance(model, df, ["a", "b"], "rid", n_repeats=3).collect()}
     assert imp["a"] > 0.2 and abs(imp["b"]) < 0.05
