@@ -63,6 +63,6 @@ QUERIES["pipeline"] = corpus_pipeline.run
 #: The others have no SQL: a fitted model, an array or index method, a tokenizer
 #: or a sample of splitters; tests hold them against brute force.
 ORACLE = {"op5_line_dedup": line_dedup.ORACLE, "op6_nra_topk": topk.ORACLE,
-          "op10_circulant_minhash": minhash.ORACLE}
+          "op9_decontaminate": decontaminate.ORACLE, "op10_circulant_minhash": minhash.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
