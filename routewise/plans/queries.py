@@ -394,11 +394,32 @@ def q_statistical_tests(spark, sf):
     return rounded(corridors.statistical_tests(_features(spark, sf), with_p=False))
 
 
-@register("q_statistical_tests_p")
+# Tails by Simpson's rule over even steps: the normal density beyond |z|, and for
+# Student's t the power of the cosine from atan(|t| / sqrt(dof)) to a right angle.
+_P_SQL = """
+mz AS (SELECT (u1 - n1 * n2 / 2.0E0 - 0.5E0) / sqrt(n1 * n2 / 12.0E0 * ((n1 + n2 + 1)
+              - tie_term / ((n1 + n2) * (n1 + n2 - 1.0E0)))) AS z FROM mw),
+steps AS (SELECT i, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 3.0E0 AS w
+          FROM range(0, 20001) t(i)),
+ptail AS (SELECT sum(w * 0.001E0 * exp(-pow(abs(z) + i * 0.001E0, 2) / 2) / sqrt(2 * pi())) AS tail,
+                 any_value(z) AS z FROM mz, steps),
+pmw AS (SELECT CASE WHEN z >= 0 THEN tail ELSE 1 - tail END AS p FROM ptail),
+tt AS (SELECT n - 2 AS dof, rho * sqrt((n - 2) / (1.0E0 - rho * rho)) AS t FROM sp1 WHERE n > 2),
+tu AS (SELECT dof, t, atan(abs(t) / sqrt(dof)) AS u, (pi() / 2 - atan(abs(t) / sqrt(dof))) / 20000 AS h FROM tt),
+psp AS (SELECT 2 * exp(lgamma((any_value(dof) + 1) / 2.0E0) - lgamma(any_value(dof) / 2.0E0)) / sqrt(pi())
+               * sum(w * h * pow(greatest(cos(u + i * h), 0), dof - 1)) AS p FROM tu, steps)"""
+
+
+@register("q_statistical_tests_p", on_master(
+    "SELECT 'Mann-Whitney U (same vs cross-state)' AS Test, round(u1, 6) AS Statistic, "
+    "(SELECT round(p, 6) FROM pmw) AS p_value, "
+    "'rank-biserial r=' || printf('%.4f', 1.0E0 - 2.0E0 * u1 / (n1 * n2)) AS Effect_Size FROM mw "
+    "UNION ALL SELECT 'Spearman (corridor distance vs satisfaction)', round(rho, 6), "
+    "(SELECT round(p, 6) FROM psp), 'rho=' || printf('%.3f', rho) FROM sp1", _MW_SQL, _SPEARMAN_SQL, _P_SQL))
 def q_statistical_tests_p(spark, sf):
-    """The test table with p-values (normal and Student t tails of the
-    one-row statistics); rows-only check, as SQL lacks those tails."""
-    return corridors.statistical_tests(_features(spark, sf), with_p=True)
+    """The test table with p-values: normal and Student t tails of the one-row
+    statistics."""
+    return rounded(corridors.statistical_tests(_features(spark, sf), with_p=True))
 
 
 @register("q_corridor_bubbles", on_master(
@@ -660,6 +681,21 @@ def q_standardize(spark, sf):
     return rounded(spark.createDataFrame(rows, "feature string, mean double, std double"))
 
 
+_SCALED_SQL = "smom AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _FEATS) + " FROM xtrain)"
+
+
+@register("q_scaled_features", on_master(
+    "SELECT order_id, review_score, " + ", ".join(
+        f"{R(f'({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END', 5)} AS {c}" for c in _FEATS)
+    + " FROM xtest, smom", _SELLER_SQL, _IMPUTE_SQL, _FILLED_SQL, _SCALED_SQL))
+def q_scaled_features(spark, sf):
+    """Test features scaled by the training moments."""
+    tr, te, _ = _imputed(spark, sf)
+    scaled = pr.standardize(te, _FEATS, pr.scaler_stats(tr, _FEATS))
+    return rounded(scaled.select(*ROW_KEY, *_FEATS), 5)
+
+
 _EVAL_SQL = """
 ev AS (SELECT order_id, review_score, satisfied AS label, 0.0E0 - coalesce(delivery_delay_days, 0.0E0) AS score,
               CAST(0.0E0 - coalesce(delivery_delay_days, 0.0E0) >= 0 AS INTEGER) AS prediction FROM test),
