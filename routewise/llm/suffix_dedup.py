@@ -91,9 +91,10 @@ def anchor_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def runs(docs: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, anchor, piece, at, first, last) of each text, one array entry for
-    each run; k1 and k2 name the row, ``piece`` is a hash of the piece's bytes
-    and the anchor's place in it."""
+    """(k1, k2, anchor, piece, place) of each text, one array entry for each run;
+    k1 and k2 name the row, ``piece`` is a hash of the piece's bytes and the
+    anchor's place in it, ``place`` holds the first start (upper half), the
+    anchor's distance from it and the last start's (16 bits each)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
             data, offsets = flat_bytes(part.column("text"))
@@ -101,24 +102,23 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
             rows = np.flatnonzero(sizes >= length)
             if not len(rows):
                 continue
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(3)]
             for i in rows:
                 text = data[offsets[i]:offsets[i + 1]]
                 anchor, at, first, last = anchor_runs(text, length)
                 piece = mix64(span_hashes(text, first, last + length) + (at - first).astype(np.uint64))
-                for c, v in zip(columns, (anchor.view(np.int64), piece.view(np.int64), at, first, last)):
+                place = first << 32 | at - first << 16 | last - first
+                for c, v in zip(columns, (anchor.view(np.int64), piece.view(np.int64), place)):
                     c.append(v)
             counts = np.array([len(v) for v in columns[0]])
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [part.column("k1").take(take), part.column("k2").take(take),
-                 *(list_array(pa.array(np.concatenate(c), kind), counts) for c, kind in
-                   zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())))],
-                ["k1", "k2", "anchor", "piece", "at", "first", "last"])
+                 *(list_array(pa.array(np.concatenate(c)), counts) for c in columns)],
+                ["k1", "k2", "anchor", "piece", "place"])
 
     return docs.select("k1", "k2", "text").mapInArrow(
-        run, "k1 long, k2 long, anchor array<long>, piece array<long>, at array<int>, "
-        "first array<int>, last array<int>")
+        run, "k1 long, k2 long, anchor array<long>, piece array<long>, place array<long>")
 
 
 # --- two-stage suffix sorting ---------------------------------------------
@@ -282,7 +282,8 @@ def _cut_pieces(length: int):
             key, group, shift, n, copies, piece = [], [], [], [], [], []
             for text, todo in zip(texts, part.column("todo").to_pylist()):
                 for r in todo:
-                    first, last, at = r["first"], r["last"], r["at"]
+                    first = r["place"] >> 32
+                    at, last = first + (r["place"] >> 16 & 0xFFFF), first + (r["place"] & 0xFFFF)
                     cuts = [(first, last, r["anchor"])]
                     if r["hot"]:  # blocks are aligned by their distance from the anchor
                         cuts = []
@@ -383,26 +384,27 @@ def _remove(length: int):
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id",
                    length: int = LENGTH) -> DataFrame:
-    """(row: struct of the document's columns, removed: array of (start, stop),
-    kept binary): every byte covered by a string of ``length`` bytes that also
+    """(row: struct of the document's other columns, removed: array of (start,
+    stop), kept binary): every byte covered by a string of ``length`` bytes that also
     starts anywhere else in the table, same text included, is removed; all
     judged on the input. Null texts are empty; repeated rows are documents of
-    their own and so repeat each other. ``length`` is at least 2 * GRAM."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
-    docs = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(text, F.lit("")).alias("text"),
+    their own and so repeat each other. ``length`` is at least 2 * GRAM and below 2^16."""
+    if not 2 * GRAM <= length < 1 << 16:
+        raise ValueError(f"length must be from {2 * GRAM} to {(1 << 16) - 1}")
+    rest = [c for c in docs.columns if c.lower() != text.lower()]
+    docs = docs.select(F.struct(*rest).alias("row"), F.coalesce(text, F.lit("")).alias("text"),
                        F.xxhash64(key, text).alias("k1"), F.xxhash64(text, key).alias("k2"))
     each = cut_lineage(runs(docs, length)).select(
-        "k1", "k2", F.inline(F.arrays_zip("anchor", "piece", "at", "first", "last")))
+        "k1", "k2", F.inline(F.arrays_zip("anchor", "piece", "place")))
     again = each.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
     found = cut_lineage(each.join(again.select("anchor"), "anchor"))
     # different pieces of each anchor: how often, and where first
     pieces = found.groupBy("anchor", "piece").agg(
-        F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "first", "last")).alias("of"))
+        F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("of"))
     kinds = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"))
     todo = pieces.join(kinds, "anchor").select(
         F.col("of.k1").alias("k1"), F.col("of.k2").alias("k2"),
-        F.struct("anchor", "piece", "of.at", "of.first", "of.last",
+        F.struct("anchor", "piece", "of.place",
                  F.least("n", F.lit(2)).cast("int").alias("copies"),
                  (F.col("kinds") > HOT_PIECES).alias("hot")).alias("r"))
     todo = todo.groupBy("k1", "k2").agg(F.collect_list("r").alias("todo")).hint("shuffle_hash")
@@ -411,7 +413,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id",
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = cut_lineage(cut.repartition(n, "part").sortWithinPartitions("part").mapInArrow(
         _sort_pieces(length), "anchor long, piece long, from int, to int").distinct())
-    spans = found.select("k1", "k2", "anchor", "piece", "first").join(marked, ["anchor", "piece"]) \
+    first = F.shiftright("place", 32).cast("int").alias("first")
+    spans = found.select("k1", "k2", "anchor", "piece", first).join(marked, ["anchor", "piece"]) \
         .groupBy("k1", "k2").agg(F.collect_set(F.struct(
             (F.col("first") + F.col("from")).alias("from"),
             (F.col("first") + F.col("to")).alias("to"))).alias("found")).hint("shuffle_hash")
