@@ -34,6 +34,8 @@ BITS = 7
 #: Bounds of the labelled sample: landmarks and training texts for each language.
 LANDMARKS = 32
 TRAIN = 1000
+#: Tasks that sum the normal equations of the sample.
+FIT_TASKS = 16
 #: Weight of the squared norm against the mean squared error.
 RIDGE = 1e-3
 #: Texts scored by one matrix product, and bytes of texts held at a time.
@@ -173,7 +175,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 [pa.array([count], pa.int64()), pa.array([total.ravel()], pa.list_(pa.float64()))],
                 ["n", "total"])
 
-    parts = _sample(rows, "lang", ["key"], counts, TRAIN, 2).select("lang", "text") \
+    # the sample is of bounded size: a fixed number of tasks, and so of sums, serves it
+    parts = _sample(rows, "lang", ["key"], counts, TRAIN, 2).select("lang", "text").repartition(FIT_TASKS) \
         .mapInArrow(normal_equations, "n long, total array<double>").collect()
     if not parts:
         parts = rows.select("lang", "text").limit(TRAIN) \
