@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from routewise.session import cut_lineage
+from routewise.session import save_table
 
 from .common import byte_values, flat_bytes, mix64, remainder, span_hashes, text_slices, words_of
 
@@ -38,7 +38,7 @@ PRIOR = 50.0
 SEGMENT = 128
 SLICE_BYTES = 1 << 20
 #: Bytes of text in one block of documents.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 12 << 20
 #: Fold of documents that are never learned from: remainder 2 of 7.
 FOLDS, HELD_OUT = 7, 2
 END = CLASSES  # class of the end of a text
@@ -68,9 +68,9 @@ def class_sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_classes(words: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(words), np.uint8)
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)[:len(words)]
-    return classes_of(span_hashes(data, starts, stops))
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    stops = np.cumsum(length)
+    return classes_of(span_hashes(data, stops - length, stops))
 
 
 @dataclass
@@ -231,10 +231,22 @@ def _block_words(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     words = [*learned, *other.difference(learned)]
     n = np.zeros(len(words), np.int64)
     n[:len(learned)] = np.fromiter(learned.values(), np.int64, len(learned))
-    kind = word_classes(words) if words else np.zeros(0, np.int64)
     return pa.table({"block": pa.array(np.full(len(words), key[0].as_py()), pa.int64()),
-                     "word": pa.array(words, pa.binary()), "class": pa.array(kind, pa.int32()),
-                     "n": pa.array(n)})
+                     "word": pa.array(words, pa.binary()), "n": pa.array(n)})
+
+
+def _words_in_classes(words: DataFrame) -> np.ndarray:
+    """Number of distinct words of each class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES + 1)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(word_classes(batch.column("word").to_pylist()), minlength=CLASSES + 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    return _summed(words.select("word").mapInArrow(run, "chunk int, counts binary"))\
+        .get(0, np.zeros(CLASSES + 1))
 
 
 def _score(model: Model, tokens_of: np.ndarray, words_in: np.ndarray, total: int, distinct: int, ends: int):
@@ -246,9 +258,10 @@ def _score(model: Model, tokens_of: np.ndarray, words_in: np.ndarray, total: int
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, counts: pa.Table) -> pa.Table:
         kept = {name: docs[name] for name in ("doc_id", "held_out")}
-        index = {w: i for i, w in enumerate(counts["word"].to_pylist())}
-        c = np.append(counts["c"].to_numpy().astype(np.int64), 0)
-        kind = np.append(counts["class"].to_numpy().astype(np.int64), 0)
+        words = counts["word"].to_pylist()
+        index = {w: i for i, w in enumerate(words)}
+        c = counts["c"].to_numpy().astype(np.int64)
+        kind = word_classes(words)
         texts = [_lower_words(b) for b in byte_values(docs["text"].combine_chunks())]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         which = np.fromiter(map(index.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
@@ -282,20 +295,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
                     F.count(F.when(~F.col("held_out"), 1)).alias("ends")).head()
     ends, blocks = sums.ends or 0, (sums.bytes or 0) // BLOCK_BYTES + 1
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).groupBy("block")
-    words = dealt.applyInArrow(_block_words, "block long, word binary, class int, n long")
+    words = dealt.applyInArrow(_block_words, "block long, word binary, n long")
     same = Window.partitionBy("word")
-    counts = cut_lineage(words.withColumn("c", F.sum("n").over(same))
-                         .withColumn("head", F.min("block").over(same) == F.col("block")).drop("n"))
-    by_class = counts.where("head and c > 0").groupBy("class").agg(
-        F.count("*").alias("words"), F.sum("c").alias("tokens")).collect()  # CLASSES rows at most
-    words_in = np.zeros(CLASSES + 1)
-    for r in by_class:
-        words_in[r["class"]] = r["words"]
+    counts = save_table(words.withColumn("c", F.sum("n").over(same))
+                        .withColumn("head", F.min("block").over(same) == F.col("block")).drop("n"))
+    words_in = _words_in_classes(counts.where("head and c > 0"))
     distinct = int(words_in.sum()) + int(ends > 0)
-    total = sum(r["tokens"] for r in by_class) + ends
+    total = int(tokens_of.sum())
     run = _score(model, tokens_of, words_in, total, distinct, ends)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.cogroup(counts.select("block", "word", "class", "c").groupBy("block")).applyInArrow(
+    return dealt.cogroup(counts.select("block", "word", "c").groupBy("block")).applyInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")
 
