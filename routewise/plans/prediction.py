@@ -91,7 +91,7 @@ REFERENCE_GRID = {
     "colsample_bytree": [0.7, 0.8, 0.9],
     "min_child_weight": [1, 3, 5],
 }
-# A small space with the same knobs for quick runs (registered checks).
+# A small space with the same knobs for tests.
 QUICK_GRID = {
     "n_estimators": [10, 15], "max_depth": [3, 4], "learning_rate": [0.1, 0.15],
     "subsample": [0.8, 0.9], "colsample_bytree": [0.8, 0.9], "min_child_weight": [1, 3],

@@ -848,12 +848,12 @@ def q_logistic(spark, sf):
     return pr.predict(model, te, cols, stats)
 
 
-def _gbt(spark, sf):
+def _gbt(spark, sf, grid=pr.REFERENCE_GRID, n_iter=20, n_folds=5):
     tr, te, cols = _smoted(spark, sf)
     keyed = tr.withColumn("_rid", F.monotonically_increasing_id()).withColumn(
         "_key", F.xxhash64("_rid", F.lit(42)))
-    folded = cut_lineage(stratified_folds(keyed, pr.LABEL, "_key", ["_rid"], 2))
-    cv = pr.tune_gbt(folded, cols, "fold", grid=pr.QUICK_GRID, n_iter=2, n_folds=2)
+    folded = cut_lineage(stratified_folds(keyed, pr.LABEL, "_key", ["_rid"], n_folds))
+    cv = pr.tune_gbt(folded, cols, "fold", grid=grid, n_iter=n_iter, n_folds=n_folds)
     return cv.bestModel, te, cols
 
 

@@ -85,3 +85,22 @@ def test_permutation_importance_signal_beats_noise(spark):
     imp = {r.feature: r.permutation_importance for r in
            permutation_importance(model, df, ["a", "b"], "rid", n_repeats=3).collect()}
     assert imp["a"] > 0.2 and abs(imp["b"]) < 0.05
+
+
+def test_registered_models_run_the_full_search(monkeypatch):
+    from routewise.plans import prediction as pr, queries
+
+    class Frame:
+        def withColumn(self, *_):
+            return self
+
+    asked = {}
+    monkeypatch.setattr(queries, "_smoted", lambda spark, sf: (Frame(), "test", ["a"]))
+    monkeypatch.setattr(queries, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(queries.F, "monotonically_increasing_id", lambda: None)
+    monkeypatch.setattr(queries.F, "xxhash64", lambda *_: None)
+    monkeypatch.setattr(queries.F, "lit", lambda _: None)
+    monkeypatch.setattr(queries, "stratified_folds", lambda df, label, key, ids, n: asked.update(folds=n))
+    monkeypatch.setattr(pr, "tune_gbt", lambda train, cols, fold, **k: asked.update(k) or type("M", (), {"bestModel": 1}))
+    assert queries._gbt(None, "sf")[0] == 1
+    assert asked == {"folds": 5, "grid": pr.REFERENCE_GRID, "n_iter": 20, "n_folds": 5}
