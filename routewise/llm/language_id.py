@@ -38,12 +38,17 @@ TRAIN = 1000
 FIT_TASKS = 16
 #: Weight of the squared norm against the mean squared error.
 RIDGE = 1e-3
+#: A text in a learned language has at least this part of the usual share of
+#: longest n-grams that its landmarks have.
+LEAST_SHARE = 0.5
 #: Texts scored by one matrix product, and bytes of texts held at a time.
 BATCH = 64
 SLICE_BYTES = 4 << 20
 
 _CODES = 0x110000
 _CODE_SPACE = sum(1 << BITS * n for n in ORDERS)
+#: First code of the longest n-grams.
+_LONGEST = sum(1 << BITS * n for n in ORDERS[:-1])
 
 
 def has_letter(text: Column) -> Column:
@@ -125,11 +130,43 @@ class Model:
     landmarks: Landmarks
     weights: np.ndarray    # landmarks (and a constant) x languages
     languages: list[str]
+    seen: np.ndarray       # columns of the presence matrix x languages: a landmark of it has the n-gram
+    least: np.ndarray      # per language: smallest share of longest n-grams it must have seen
 
     def values(self, texts: list[str]) -> np.ndarray:
         k = self.landmarks.kernel(texts).astype(np.float64)
         return np.hstack([k, np.ones((len(k), 1))]) @ self.weights
 
+    def known(self, text: str, best: int) -> bool:
+        """Whether the landmarks of a learned language have enough of the text's
+        longest n-grams; a short text may get its best value elsewhere. Each
+        language is judged by itself, so their number does not matter. A language
+        without a measure (one landmark) takes what has its best value there."""
+        codes = np.unique(grams(text, self.landmarks.table))
+        codes = codes[codes >= _LONGEST]
+        if not len(codes):
+            return False
+        share = self.seen[self.landmarks.column[codes]].mean(axis=0)
+        return bool(((self.least > 0) & (share >= self.least)).any() or self.least[best] == 0)
+
+
+def _seen_shares(landmarks: Landmarks, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seen, least) of a model: n-grams by language, and LEAST_SHARE of the median
+    share of a landmark's longest n-grams that others of its language have."""
+    has = landmarks.presence > 0
+    count = np.zeros((len(has), n), np.int32)
+    for k, language in enumerate(of):
+        count[has[:, k], language] += 1
+    longest = np.zeros(len(has), bool)
+    columns = landmarks.column[_LONGEST:]
+    longest[columns[columns < len(has) - 1]] = True
+    shares: list[list[float]] = [[] for _ in range(n)]
+    for k, language in enumerate(of):
+        mine = has[:, k] & longest
+        if mine.any():
+            shares[language].append(float((count[mine, language] > 1).mean()))
+    return count > 0, np.array([LEAST_SHARE * float(np.median(x)) if x else 0.0 for x in shares])
+
 
 def _sample(labelled: DataFrame, lang: str, key: list[str], counts: dict[str, int],
             per_language: int, seed: int) -> DataFrame:
@@ -188,13 +225,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     penalty = np.zeros((m, m))
     penalty[:-1, :-1] = (gram + gram.T) / 2 + 1e-8 * np.eye(m - 1)
     weights = np.linalg.lstsq(total[:, :m] + RIDGE * max(n, 1) * penalty, total[:, m:], rcond=1e-12)[0]
-    return Model(landmarks, weights, languages)
+    of = np.array([number[r.lang] for r in chosen], np.int64)
+    return Model(landmarks, weights, languages, *_seen_shares(landmarks, of, c))
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``. Texts that are null or without a
-    letter get ``und`` and 0; else the language with the highest value (ties:
-    the first by name), the score being that value between 0 and 1."""
+def predict(df: DataFrame, model: Model, text: str = "text", judge: bool = False) -> DataFrame:
+    """``df`` with ``lang_pred``, ``score`` and, to ``judge`` them, ``known``. Texts that are null or
+    without a letter get ``und``, 0 and false; else the language with the highest
+    value (ties: the first by name), the score being that value between 0 and 1,
+    and whether the text's n-grams are those of a learned language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, dtype=object)
         letters = letter_table().astype(bool)
@@ -202,6 +241,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             texts = part.column(text).to_pylist()
             lang = np.full(len(texts), UNKNOWN, dtype=object)
             score = np.zeros(len(texts))
+            known = np.zeros(len(texts), bool)
             usable = np.array([k for k, t in enumerate(texts)
                                if t and letters[code_points(t)].any()], np.int64)
             for at in range(0, len(usable), BATCH):
@@ -210,17 +250,21 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 best = values.argmax(axis=1)
                 lang[rows] = names[best]
                 score[rows] = np.clip(values[np.arange(len(rows)), best], 0, 1)
+                if judge:
+                    known[rows] = [model.known(texts[k], b) for k, b in zip(rows, best)]
+            more = {"known": pa.array(known)} if judge else {}
             yield with_arrays(part, lang_pred=pa.array(lang.tolist(), pa.string()),
-                              score=pa.array(score))
+                              score=pa.array(score), **more)
 
-    return df.mapInArrow(run, with_fields(df.schema, ("lang_pred", T.StringType()),
-                                          ("score", T.DoubleType())))
+    return df.mapInArrow(run, with_fields(df.schema, ("lang_pred", T.StringType()), ("score", T.DoubleType()),
+                                          *([("known", T.BooleanType())] if judge else [])))
 
 
 #: Fold of documents that are never learned from: remainder 2 of 4.
 FOLDS, HELD_OUT = 4, 2
-#: Documents whose best value is lower are in no language that was learned.
-LEAST_SCORE = 0.2
+#: Lowest score of a document that is kept. The best value falls with the number of
+#: languages and is never below one share of them, so it rejects nothing itself.
+LEAST_SCORE = 0.0
 
 
 def held_out() -> Column:
@@ -228,14 +272,14 @@ def held_out() -> Column:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents in a learned language: not ``und`` and not below LEAST_SCORE.
-    Columns stay as they are."""
+    """The documents in a learned language: not ``und``, and with n-grams that the
+    landmarks of a language have (Model.known). Columns stay as they are."""
     if docs.where(F.col("lang").isNotNull()).isEmpty():
         return docs.where(has_letter(F.col("text")))  # nothing to learn from
     model = fit(docs.where(~held_out()))
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return predict(packed, model).where(
-        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return predict(packed, model, judge=True).where(
+        F.col("known") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -50,3 +50,25 @@ def test_odd_texts_and_clashing_columns(spark, corpus):
 def test_nothing_to_learn_or_predict(spark):
     assert li.keep_known(make_docs(spark, [])).count() == 0
     assert [r.text for r in li.keep_known(make_docs(spark, ["abc", "12"], [None, None])).collect()] == ["abc"]
+
+
+def test_texts_of_unlearned_languages_go_and_short_clean_ones_stay(spark, corpus):
+    base = corpus.select("doc_id", "text", "lang", "source", "n_chars")
+    clean = [" ".join(r.text.split()[:8]) for r in base.where("lang is not null").orderBy("doc_id").limit(40).collect()]
+    strange = ["これは日本語の文章です。今日は天気がいいですね。", "Сегодня хорошая погода, и мы идём гулять в парк.",
+               "xqzjw kvbqx wzxkj qqvjx zkxwq jvqzk", "xq", "ж"]
+    ids = [10_000 + k for k in range(len(clean) + len(strange))]
+    docs = base.unionByName(make_docs(spark, clean + strange, [None] * len(ids), ids=ids))
+    kept = {r.doc_id for r in li.keep_known(docs).collect()}
+    assert not kept & set(ids[len(clean):])
+    assert set(ids[:len(clean)]) <= kept and {r.doc_id for r in base.collect()} <= kept
+
+
+def test_known_does_not_depend_on_the_number_of_languages():
+    words = [["".join(chr(97 + (k * 7 + i * 3 + j) % 26) for j in range(4)) for i in range(6)] for k in range(20)]
+    for n in (2, 20):
+        texts = [" ".join(words[k]) for k in range(n) for _ in range(2)]
+        marks = li.Landmarks.of(texts, [str(k) for k in range(n)])
+        seen, least = li._seen_shares(marks, li.np.repeat(range(n), 2), n)
+        model = li.Model(marks, li.np.zeros((2 * n + 1, n)), marks.languages, seen, least)
+        assert model.known(words[0][0], 0) and not model.known("日本語 テキスト", 0)
