@@ -12,9 +12,12 @@ partition, where a suffix array of the pieces is built:
 * the others are induced from them by scanning the buckets of first bytes,
 * adjacent common prefixes of LENGTH bytes mark the starts that repeat.
 
-An anchor with very many different pieces (a common sentence in many contexts)
-is cut again into short blocks of starts, keyed by the bytes that all their
-strings share.
+The pieces of an anchor that occurs very often (a common sentence in many contexts)
+are cut again into short blocks of starts, keyed by the bytes that all their
+strings share. Equal blocks are combined by a hash before any bytes are sent, so
+at most two of each go to a suffix array; where the different blocks of a key are
+still too many (the edge of the sentence in every context), single starts are
+counted by a hash of their strings.
 """
 
 from __future__ import annotations
@@ -33,9 +36,10 @@ from .common import BYTE_CODE, byte_values, flat_bytes, list_array, mix64, span_
 LENGTH = 400
 GRAM = 32
 SLICE_BYTES = 1 << 20
-#: Bytes of pieces in one suffix array (a single anchor's pieces may exceed it).
+#: Bytes of pieces in one suffix array (the pieces of one anchor that is not hot may
+#: exceed it, by a few MB at most).
 BLOCK_BYTES = 1 << 20
-#: An anchor with more different pieces is cut into blocks of so many starts.
+#: The pieces of an anchor with more runs are cut into blocks of so many starts.
 HOT_PIECES = 2048
 HOT_BLOCK = 32
 
@@ -275,37 +279,71 @@ def repeated_starts(data: np.ndarray, wanted: np.ndarray, stop: np.ndarray, leng
 
 
 def _cut_pieces(length: int):
-    """Pieces of the runs listed for each text, hot ones as blocks of starts."""
+    """Pieces of the starts listed for each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
-            texts = byte_values(part.column("text"))
-            key, group, shift, n, copies, piece = [], [], [], [], [], []
-            for text, todo in zip(texts, part.column("todo").to_pylist()):
+            todo = part.column("todo").to_pylist()
+            flat = [r for rows in todo for r in rows]
+            piece = [text[r["start"]:r["start"] + r["n"] - 1 + length]
+                     for text, rows in zip(byte_values(part.column("text")), todo) for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["part"] for r in flat], pa.int64()),
+                 pa.array([r["piece"] for r in flat], pa.int64()),
+                 pa.array([r["n"] for r in flat], pa.int32()),
+                 pa.array([r["copies"] for r in flat], pa.int32()), pa.array(piece, pa.binary())],
+                ["part", "piece", "n", "copies", "bytes"])
+    return run
+
+
+def _blocks(length: int):
+    """Blocks of starts of the hot pieces listed for each text, without bytes:
+    ``part`` is a hash of the bytes that all strings of a block share, ``block``
+    one of the block's own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches, "text", SLICE_BYTES):
+            out: list[tuple] = []
+            for k1, k2, text, todo in zip(rows.column("k1").to_pylist(), rows.column("k2").to_pylist(),
+                                          byte_values(rows.column("text")), rows.column("todo").to_pylist()):
                 for r in todo:
-                    first = r["place"] >> 32
-                    at, last = first + (r["place"] >> 16 & 0xFFFF), first + (r["place"] & 0xFFFF)
-                    cuts = [(first, last, r["anchor"])]
-                    if r["hot"]:  # blocks are aligned by their distance from the anchor
-                        cuts = []
-                        for d in range(-(-(at - first) // HOT_BLOCK) * HOT_BLOCK, -1, -HOT_BLOCK):
-                            a, b = at - d, at - d + HOT_BLOCK - 1
-                            core = hashlib.blake2b(text[b:a + length], digest_size=8,
-                                                   salt=d.to_bytes(4, "little"))
-                            name = r["anchor"] ^ int.from_bytes(core.digest(), "little", signed=True)
-                            if a <= last:
-                                cuts.append((max(a, first), min(b, last), name))
-                    for a, b, name in cuts:
-                        key.append(r["anchor"])
-                        group.append(name)
-                        shift.append(a - first)
-                        n.append(b - a + 1)
-                        copies.append(r["copies"])
-                        piece.append((r["piece"], text[a:b + length]))
+                    first, last, at = r["start"], r["start"] + r["n"] - 1, r["start"] + r["at"]
+                    # blocks are aligned by their distance from the anchor
+                    for d in range(-(-(at - first) // HOT_BLOCK) * HOT_BLOCK, -1, -HOT_BLOCK):
+                        a, b = at - d, at - d + HOT_BLOCK - 1
+                        if a > last:
+                            continue
+                        core = hashlib.blake2b(text[b:a + length], digest_size=8,
+                                               salt=d.to_bytes(4, "little"))
+                        name = r["part"] ^ int.from_bytes(core.digest(), "little", signed=True)
+                        a, b = max(a, first), min(b, last)
+                        own = hashlib.blake2b(text[a:b + length], digest_size=8).digest()
+                        out.append((k1, k2, r["part"], r["piece"], name,
+                                    int.from_bytes(own, "little", signed=True),
+                                    a, a - first, b - a + 1, r["copies"]))
+            columns = list(zip(*out)) or [()] * 10
+            kinds = [pa.int64()] * 6 + [pa.int32()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array([p for p, _ in piece], pa.int64()),
-                 pa.array(group, pa.int64()), pa.array(shift, pa.int32()), pa.array(n, pa.int32()),
-                 pa.array(copies, pa.int32()), pa.array([b for _, b in piece], pa.binary())],
-                ["anchor", "piece", "part", "shift", "n", "copies", "bytes"])
+                [pa.array(c, t) for c, t in zip(columns, kinds)],
+                ["k1", "k2", "anchor", "piece", "part", "block", "start", "shift", "n", "copies"])
+    return run
+
+
+def _starts(length: int):
+    """Each start of the blocks listed for each text, with a 128-bit hash of its string."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches, "text", SLICE_BYTES):
+            for text, todo in zip(byte_values(rows.column("text")), rows.column("todo").to_pylist()):
+                if not todo:
+                    continue
+                n = np.array([r["n"] for r in todo])
+                h = np.frombuffer(b"".join(
+                    hashlib.blake2b(text[a:a + length], digest_size=16).digest()
+                    for r in todo for a in range(r["start"], r["start"] + r["n"])), np.int64).reshape(-1, 2)
+                at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.repeat([r[c] for r in todo], n), pa.int64()) for c in ("part", "piece")),
+                     pa.array(at, pa.int32()), pa.array(np.repeat([r["copies"] for r in todo], n), pa.int32()),
+                     pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
+                    ["part", "piece", "at", "copies", "h1", "h2"])
     return run
 
 
@@ -349,11 +387,10 @@ def _sort_pieces(length: int):
             a = hit[fresh]
             b = hit[np.append(np.flatnonzero(fresh)[1:] - 1, len(hit) - 1)]
             row = row[fresh]
-            shift = t["shift"].to_numpy()[row] - starts[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t["anchor"].to_numpy()[row]), pa.array(t["piece"].to_numpy()[row]),
-                 pa.array(a + shift, pa.int32()), pa.array(b + shift, pa.int32())],
-                ["anchor", "piece", "from", "to"])
+                [pa.array(t["part"].to_numpy()[row]), pa.array(t["piece"].to_numpy()[row]),
+                 pa.array(a - starts[row], pa.int32()), pa.array(b - starts[row], pa.int32())],
+                ["part", "piece", "from", "to"])
 
     return run
 
@@ -382,6 +419,51 @@ def _remove(length: int):
     return run
 
 
+def _todo(docs: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
+    """Texts with the list ``todo`` of their ``rows`` (k1, k2, part, piece, start, n, copies)."""
+    listed = rows.groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("part", "piece", "start", "n", "copies", *more)).alias("todo"))
+    return docs.select("k1", "k2", "text").join(listed.hint("shuffle_hash"), ["k1", "k2"])
+
+
+def _sorted_marks(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(part, piece, from, to): runs of repeated starts of the listed pieces."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = _todo(docs, rows).mapInArrow(
+        _cut_pieces(length), "part long, piece long, n int, copies int, bytes binary")
+    return cut.repartition(n, "part").sortWithinPartitions("part").mapInArrow(
+        _sort_pieces(length), "part long, piece long, from int, to int").distinct()
+
+
+def _hot_blocks(docs: DataFrame, pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the pieces of hot anchors, and their kinds: equal blocks combined,
+    with one place and at most two copies of each. ``split`` marks the kinds of a
+    part with more than BLOCK_BYTES of them; a part of one block has nothing to
+    compare and is left out."""
+    blocks = _todo(docs, pieces, "at").mapInArrow(
+        _blocks(length), "k1 long, k2 long, anchor long, piece long, part long, block long, "
+                         "start int, shift int, n int, copies int")
+    kinds = blocks.groupBy("part", "block").agg(
+        F.sum("copies").alias("total"), F.min(F.struct("k1", "k2", "start", "n")).alias("of"))
+    size = kinds.groupBy("part").agg(
+        F.sum("total").alias("all"),
+        F.sum(F.least("total", F.lit(2)) * (F.col("of.n") + length - 1)).alias("size"))
+    kinds = kinds.join(size.where("all > 1"), "part").select(
+        "of.k1", "of.k2", "part", F.col("block").alias("piece"), "of.start", "of.n",
+        F.least("total", F.lit(2)).cast("int").alias("copies"), (F.col("size") > BLOCK_BYTES).alias("split"))
+    return blocks, kinds
+
+
+def _start_marks(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(part, piece, from, to): repeated single starts of the listed pieces,
+    counted by the hash of their strings."""
+    starts = _todo(docs, rows).mapInArrow(
+        _starts(length), "part long, piece long, at int, copies int, h1 long, h2 long")
+    again = starts.groupBy("h1", "h2").agg(F.sum("copies").alias("total")).where("total > 1")
+    return starts.join(again, ["h1", "h2"]).select(
+        "part", "piece", F.col("at").alias("from"), F.col("at").alias("to")).distinct()
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id",
                    length: int = LENGTH) -> DataFrame:
     """(row: struct of the document's other columns, removed: array of (start,
@@ -397,22 +479,34 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id",
     each = cut_lineage(runs(docs, length)).select(
         "k1", "k2", F.inline(F.arrays_zip("anchor", "piece", "place")))
     again = each.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
-    found = cut_lineage(each.join(again.select("anchor"), "anchor"))
-    # different pieces of each anchor: how often, and where first
-    pieces = found.groupBy("anchor", "piece").agg(
-        F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("of"))
-    kinds = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    todo = pieces.join(kinds, "anchor").select(
-        F.col("of.k1").alias("k1"), F.col("of.k2").alias("k2"),
-        F.struct("anchor", "piece", "of.place",
-                 F.least("n", F.lit(2)).cast("int").alias("copies"),
-                 (F.col("kinds") > HOT_PIECES).alias("hot")).alias("r"))
-    todo = todo.groupBy("k1", "k2").agg(F.collect_list("r").alias("todo")).hint("shuffle_hash")
-    cut = docs.join(todo, ["k1", "k2"]).select("text", "todo").mapInArrow(
-        _cut_pieces(length), "anchor long, piece long, part long, shift int, n int, copies int, bytes binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = cut_lineage(cut.repartition(n, "part").sortWithinPartitions("part").mapInArrow(
-        _sort_pieces(length), "anchor long, piece long, from int, to int").distinct())
+    found = cut_lineage(each.join(again.select("anchor", (F.col("total") > HOT_PIECES).alias("hot")), "anchor"))
+
+    def pieces(rows: DataFrame) -> DataFrame:  # the different ones of each anchor: how often, and where first
+        return rows.groupBy("anchor", "piece").agg(
+            F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("of")).select(
+            "of.k1", "of.k2", F.col("anchor").alias("part"), "piece",
+            F.shiftright("of.place", 32).cast("int").alias("start"),
+            (F.col("of.place").bitwiseAND(0xFFFF) + 1).cast("int").alias("n"),
+            F.least("n", F.lit(2)).cast("int").alias("copies"),
+            F.shiftright("of.place", 16).bitwiseAND(0xFFFF).cast("int").alias("at"))
+
+    send, hot = pieces(found.where("not hot")).drop("at"), found.where("hot")
+    if hot.isEmpty():
+        marked = cut_lineage(_sorted_marks(docs, send, length))
+    else:
+        # marks and blocks are kept as one table: in one plan they share the exchange of the texts
+        blocks, kinds = _hot_blocks(docs, pieces(hot), length)
+        marked = _sorted_marks(docs, send.unionByName(kinds.where("not split").drop("split")), length)
+        marked = marked.unionByName(_start_marks(docs, kinds.where("split"), length))
+        told = cut_lineage(marked.unionByName(
+            blocks.select("part", "block", "anchor", "piece", "shift"), allowMissingColumns=True))
+        marked = told.where("shift is null").select("part", "piece", "from", "to")
+        of_block = told.where("shift is not null").drop("from", "to").join(
+            marked.withColumnRenamed("piece", "block"), ["part", "block"]).select(
+            F.col("anchor").alias("part"), "piece", (F.col("shift") + F.col("from")).alias("from"),
+            (F.col("shift") + F.col("to")).alias("to")).distinct()
+        marked = marked.unionByName(of_block)
+    marked = marked.withColumnRenamed("part", "anchor")
     first = F.shiftright("place", 32).cast("int").alias("first")
     spans = found.select("k1", "k2", "anchor", "piece", first).join(marked, ["anchor", "piece"]) \
         .groupBy("k1", "k2").agg(F.collect_set(F.struct(

@@ -89,3 +89,28 @@ def test_full_length_given_documents_and_empty(spark, corpus):
                  for r in sd.report(make_docs(spark, texts)).collect())
     assert got == brute(texts, sd.LENGTH)
     assert sd.report(make_docs(spark, [])).count() == 0
+
+
+def test_hot_passage_reaches_no_suffix_array_in_all_its_contexts(spark, monkeypatch):
+    passage = " ".join(random_words(5, 200, 300))[:600]
+    texts = [" ".join(random_words(1000 + k, 80, 300)) + passage + " ".join(random_words(2000 + k, 80, 300))
+             for k in range(60)]
+    texts += texts[:2] + [texts[3][:900]]
+    most, sort_pieces = 8192, sd._sort_pieces
+
+    def bounded(length):
+        def run(batches):
+            held, size = [], Counter()
+            for b in batches:
+                held.append(b)
+                for part, copies, piece in zip(*(b.column(c).to_pylist() for c in ("part", "copies", "bytes"))):
+                    size[part] += copies * len(piece)
+            if max(size.values(), default=0) > most:
+                raise ValueError("too many bytes of one part in one suffix array")
+            yield from sort_pieces(length)(iter(held))
+        return run
+
+    monkeypatch.setattr(sd, "_sort_pieces", bounded)
+    monkeypatch.setattr(sd, "HOT_PIECES", 5)
+    monkeypatch.setattr(sd, "BLOCK_BYTES", most)
+    assert spark_rows(spark, texts, 400) == brute(texts, 400)
