@@ -274,16 +274,22 @@ def held_out() -> Column:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents in a learned language: not ``und``, and with n-grams that the
     landmarks of a language have (Model.known). Columns stay as they are."""
-    if docs.where(F.col("lang").isNotNull()).isEmpty():
+    learned = docs.where(~held_out())
+    if learned.where(F.col("lang").isNotNull()).isEmpty():
         return docs.where(has_letter(F.col("text")))  # nothing to learn from
-    model = fit(docs.where(~held_out()))
+    model = fit(learned)
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
     return predict(packed, model, judge=True).where(
         F.col("known") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Learns from the documents outside the held-out fold, predicts all."""
-    model = fit(docs.where(~held_out()))
+    """Learns from the documents outside the held-out fold, predicts all. With no
+    label to learn from, all are ``und`` with 0."""
+    learned = docs.where(~held_out())
+    if learned.where(F.col("lang").isNotNull()).isEmpty():
+        return docs.select("doc_id", held_out().alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"),
+                           F.lit(0.0).alias("score"))
+    model = fit(learned)
     return predict(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -72,3 +72,12 @@ def test_known_does_not_depend_on_the_number_of_languages():
         seen, least = li._seen_shares(marks, li.np.repeat(range(n), 2), n)
         model = li.Model(marks, li.np.zeros((2 * n + 1, n)), marks.languages, seen, least)
         assert model.known(words[0][0], 0) and not model.known("日本語 テキスト", 0)
+
+
+def test_no_labels_outside_the_held_out_fold(spark):
+    assert li.report(make_docs(spark, [])).count() == 0
+    ids = spark.range(40).where(li.remainder(F.col("id"), li.FOLDS) == li.HELD_OUT).head(1)
+    only_held = make_docs(spark, ["guten tag", "hello", "12"], ["de", None, None], ids=[ids[0][0], None, None])
+    for docs in (only_held, make_docs(spark, ["abc", None], [None, None])):
+        assert {(r.lang_pred, r.score) for r in li.report(docs).collect()} == {("und", 0.0)}
+    assert {r.text for r in li.keep_known(only_held).collect()} == {"guten tag", "hello"}
