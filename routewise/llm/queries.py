@@ -7,7 +7,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, hmm_lm, language_id, line_dedup, minhash, pii, sharding, suffix_dedup, topk
+from . import (byte_bpe, decontaminate, hmm_lm, language_id, line_dedup, minhash, periodic_runs, pii, sharding,
+               suffix_dedup, topk)
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -55,14 +56,20 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_suffix_dedup, op3_hmm_lm, op4_pii_anchors, op5_line_dedup, op6_nra_topk,
-    op7_sampled_splitters, op8_byte_bpe, op9_decontaminate, op10_circulant_minhash)}
+    op7_sampled_splitters, op8_byte_bpe, op9_decontaminate, op10_circulant_minhash,
+    op13_periodic_runs)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 #: The others have no SQL: a fitted model, an array or index method, a tokenizer
 #: or a sample of splitters; tests hold them against brute force.
 ORACLE = {"op5_line_dedup": line_dedup.ORACLE, "op6_nra_topk": topk.ORACLE,
-          "op9_decontaminate": decontaminate.ORACLE, "op10_circulant_minhash": minhash.ORACLE}
+          "op9_decontaminate": decontaminate.ORACLE, "op10_circulant_minhash": minhash.ORACLE,
+          "op13_periodic_runs": periodic_runs.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
