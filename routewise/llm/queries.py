@@ -7,8 +7,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, decontaminate, hmm_lm, language_id, line_dedup, merkle, minhash, periodic_runs, pii,
-               sharding, suffix_dedup, topk)
+from . import (byte_bpe, decontaminate, fingerprints, hmm_lm, language_id, line_dedup, merkle, minhash,
+               periodic_runs, pii, sharding, suffix_dedup, topk)
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +56,10 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
 
+def op11_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
@@ -67,11 +71,11 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_suffix_dedup, op3_hmm_lm, op4_pii_anchors, op5_line_dedup, op6_nra_topk,
     op7_sampled_splitters, op8_byte_bpe, op9_decontaminate, op10_circulant_minhash,
-    op12_merkle_manifest, op13_periodic_runs)}
+    op11_quartile_digest, op12_merkle_manifest, op13_periodic_runs)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-#: The others have no SQL: a fitted model, an array or index method, a tokenizer
-#: or a sample of splitters; tests hold them against brute force.
+#: The others have no SQL: a fitted model, an array or index method, a tokenizer,
+#: a sample of splitters or a digest of hashes; tests hold them against brute force.
 ORACLE = {"op5_line_dedup": line_dedup.ORACLE, "op6_nra_topk": topk.ORACLE,
           "op9_decontaminate": decontaminate.ORACLE, "op10_circulant_minhash": minhash.ORACLE,
           "op12_merkle_manifest": merkle.ORACLE, "op13_periodic_runs": periodic_runs.ORACLE}
