@@ -6,10 +6,14 @@ gives all signature coordinates. Bands of coordinates put documents that may
 be alike into buckets; every link is confirmed on full sets.
 
 Documents with equal sets are one node from the start. Buckets chain nodes into
-candidate clusters; a cluster is cut into tiles of bounded size, and a task
+candidate clusters along stars: a node and the first node of its buckets. The
+edges of the stars are confirmed first, so a family of near copies costs about
+one comparison a node. Only what stays apart inside a cluster is compared
+further: its confirmed parts are cut into tiles of bounded size, and a task
 counts the shared shingles of one pair of tiles at a time and hands on a
-spanning forest of the confirmed links, never the pairs. No link between nodes
-that share a bucket is left out, and no bucket or cluster is capped.
+spanning forest of the linked parts, never the pairs; two tiles of one part are
+not compared. No link between nodes that share a bucket is left out, and no
+bucket or cluster is capped.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from routewise.session import cut_lineage
 
@@ -32,7 +36,7 @@ BANDS, ROWS = 40, 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
 SLICE_BYTES = 1 << 20
-#: Nodes and shingles of one tile of a cluster.
+#: Nodes and shingles of one tile of a cluster, and nodes of a star in one task.
 TILE_NODES = 1024
 TILE_SHINGLES = 400_000
 #: A shingle of more nodes is counted by matrix products, one of fewer by its pairs.
@@ -151,13 +155,16 @@ def shared_counts(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return shared
 
 
-def confirmed_forest(shingles: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect just the sets that links connect."""
+def linked_parts(shingles: np.ndarray, sizes: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect just the parts that links between their sets connect;
+    ``part`` is the part of each set."""
     shared = shared_counts(shingles, sizes)
-    union = sizes[:, None] + sizes[None, :] - shared
-    near = 100 * shared >= percent * union
+    near = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    order = np.argsort(part, kind="stable")
+    names, starts = np.unique(part[order], return_index=True)
+    near = np.logical_or.reduceat(np.logical_or.reduceat(near[order][:, order], starts, axis=0), starts, axis=1)
     np.fill_diagonal(near, False)
-    left = np.ones(len(sizes), bool)
+    left = np.ones(len(names), bool)
     edges = []
     for root in np.flatnonzero(near.any(axis=1)):
         if not left[root]:
@@ -167,64 +174,138 @@ def confirmed_forest(shingles: np.ndarray, sizes: np.ndarray, percent: int) -> l
         while len(front):
             reached = np.flatnonzero(near[front].any(axis=0) & left)
             left[reached] = False
-            edges += [(root, int(x)) for x in reached]
+            edges += [(int(names[root]), int(names[x])) for x in reached]
             front = reached
     return edges
 
 
-def _sets(words: int):
+def _sets(words: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
             shingles, sizes = shingle_sets(part.column("text"), words)
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
-                [part.column("nid"), part.column("cluster"), part.column("tiles"),
+                [*(part.column(c) for c in keep),
                  pa.array([shingles[e - n:e].tobytes() for e, n in zip(ends, sizes)], pa.binary())],
-                ["nid", "cluster", "tiles", "s"])
+                [*keep, "s"])
     return run
 
 
-def _confirm(percent: int):
-    """Forests of the pairs of tiles of a partition, which comes sorted by them."""
-    def forest(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        sets = dict(rows)  # repeated rows have the same set
-        nid = np.fromiter(sets, np.int64, len(sets))
-        sizes = np.array([len(s) // 8 for s in sets.values()])
-        edges = np.array(confirmed_forest(np.frombuffer(b"".join(sets.values()), np.uint64), sizes, percent),
-                         np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(nid[edges[:, 0]]), pa.array(nid[edges[:, 1]])], ["a", "b"])
+#: Rows that join the texts by broadcast: a few MB of keys.
+FEW_ROWS = 50_000
+
+
+def _with_sets(docs: DataFrame, chosen: DataFrame, keep: list[str], words: int) -> DataFrame:
+    """``keep`` columns (all longs) and the set ``s`` of each row of ``chosen``,
+    which names texts by ``doc_id`` and ``tag``. Texts are exchanged unless the
+    counted rows of ``chosen`` are few."""
+    few = chosen.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    chosen = chosen.select("doc_id", "tag", *keep).hint("broadcast" if few else "shuffle_hash")
+    texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_tag"), "text")
+    return texts.join(chosen, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_tag") == F.col("tag"))) \
+        .select(*keep, "text").mapInArrow(_sets(words, keep), ", ".join(f"{c} long" for c in keep) + ", s binary")
+
+
+def _partitions(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _confirm_stars(percent: int):
+    """Confirmed edges of stars; a star's rows follow the row of its centre."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centre = None, None
+        for part in text_slices(batches, "s", 4 * SLICE_BYTES):
+            a, b = [], []
+            for *at, centre_first, nid, s in zip(*(part.column(k).to_pylist()
+                                                   for k in ("a", "chunk", "centre_first", "nid", "s"))):
+                mine = np.frombuffer(s, np.uint64)
+                if centre_first == 0:  # repeated rows have the same set
+                    key, centre = at, mine
+                elif at == key and 100 * min(len(mine), len(centre)) >= percent * max(len(mine), len(centre)):
+                    shared = len(np.intersect1d(mine, centre, assume_unique=True))
+                    if 100 * shared >= percent * (len(mine) + len(centre) - shared):
+                        a.append(at[0])
+                        b.append(nid)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return run
+
+
+def confirmed_stars(docs: DataFrame, chosen: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
+    """The edges (a, b) that are links on full sets. A star of many nodes is
+    dealt in chunks, each with a copy of its centre's set."""
+    many = edges.groupBy("a").agg(F.ceil(F.count("*") / TILE_NODES).cast("long").alias("chunks"))
+    members = edges.join(many, "a").select(
+        F.col("b").alias("nid"), "a", F.pmod(F.xxhash64("b", F.lit(5)), F.col("chunks")).alias("chunk"),
+        F.lit(1).cast("long").alias("centre_first"))
+    centres = many.select(F.col("a").alias("nid"), "a",
+                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
+                          F.lit(0).cast("long").alias("centre_first"))
+    keep = ["a", "chunk", "centre_first", "nid"]
+    rows = cut_lineage(members.unionByName(centres).join(chosen.select("nid", "doc_id", "tag"), "nid"))
+    return _with_sets(docs, rows, keep, words).repartition(_partitions(docs), "a", "chunk") \
+        .sortWithinPartitions("a", "chunk", "centre_first").mapInArrow(_confirm_stars(percent), "a long, b long")
+
+
+def _confirm_tiles(percent: int):
+    """Forests over the parts in the pairs of tiles of a partition, which comes
+    sorted by them."""
+    def forest(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        sets = {nid: (part, s) for nid, part, s in rows}  # repeated rows have the same set
+        part = np.array([p for p, _ in sets.values()], np.int64)
+        sizes = np.array([len(s) // 8 for _, s in sets.values()])
+        shingles = np.frombuffer(b"".join(s for _, s in sets.values()), np.uint64)
+        edges = np.array(linked_parts(shingles, sizes, part, percent), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for part in text_slices(batches, "s", 4 * SLICE_BYTES):
-            for c, i, j, nid, s in zip(*(part.column(k).to_pylist() for k in ("cluster", "i", "j", "nid", "s"))):
-                if (c, i, j) != key:
+            for *at, nid, comp, s in zip(*(part.column(k).to_pylist() for k in ("cluster", "i", "j", "nid", "comp", "s"))):
+                if at != key:
                     if len(rows) > 1:
                         yield forest(rows)
-                    key, rows = (c, i, j), []
-                rows.append((nid, s))
+                    key, rows = at, []
+                rows.append((nid, comp, s))
         if len(rows) > 1:
             yield forest(rows)
     return run
 
 
-def confirmed_links(docs: DataFrame, chosen: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): edges that connect the nodes which links connect inside each
-    cluster, on full sets. ``chosen``: nid, doc_id, tag, n, cluster."""
-    size = chosen.groupBy("cluster").agg(F.greatest(
-        F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_NODES)).cast("int").alias("tiles"))
-    chosen = chosen.join(size, "cluster").select("nid", "doc_id", "tag", "cluster", "tiles").hint("shuffle_hash")
-    texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_tag"), "text")
-    sets = texts.join(chosen, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_tag") == F.col("tag"))) \
-        .select("nid", "cluster", "tiles", "text") \
-        .mapInArrow(_sets(words), "nid long, cluster long, tiles int, s binary")
-    mine = F.pmod(F.xxhash64("nid", F.lit(3)), F.col("tiles")).cast("int")
-    dealt = sets.withColumn("mine", mine) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))) \
-        .select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "nid", "s")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j") \
-        .mapInArrow(_confirm(percent), "a long, b long")
+def linked_across(docs: DataFrame, parts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): edges that connect the parts of one cluster which links connect,
+    on full sets. ``parts``: nid, doc_id, tag, n, cluster and comp, the part.
+
+    Parts of several tiles have tiles of their own, smaller ones share tiles; a
+    node meets every tile of its cluster but those of its own large part."""
+    size = parts.groupBy("cluster", "comp").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+
+    def tiles(n: str, k: str):
+        return F.greatest(F.ceil(F.sum(n) / TILE_SHINGLES), F.ceil(F.sum(k) / TILE_NODES)).cast("long")
+
+    size = size.withColumn("own", F.greatest(F.ceil(F.col("n") / TILE_SHINGLES), F.ceil(F.col("k") / TILE_NODES)))
+    large = size.where("own > 1").select("cluster", "comp", F.col("own").cast("long").alias("own"))
+    shared = size.where("own <= 1").groupBy("cluster").agg(tiles("n", "k").alias("shared"))
+    # one row for each part of more than a tile
+    before = Window.partitionBy("cluster").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)
+    total = large.groupBy("cluster").agg(F.sum("own").alias("owned"))
+    clusters = size.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")) \
+        .where("low != high").select("cluster").join(shared, "cluster", "left").join(total, "cluster", "left") \
+        .select("cluster", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("owned", F.lit(0)).alias("owned"))
+    large = large.withColumn("ahead", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    lie = parts.join(clusters, "cluster").join(large, ["cluster", "comp"], "left") \
+        .withColumn("first", F.col("shared") + F.col("ahead"))
+    placed = lie.withColumn("mine", F.when(
+        F.col("own").isNull(), F.pmod(F.xxhash64("nid", F.lit(3)), F.greatest("shared", F.lit(1))))
+        .otherwise(F.col("first") + F.pmod(F.xxhash64("nid", F.lit(3)), F.greatest("own", F.lit(1)))))
+    others = F.sequence(F.lit(0).cast("long"), F.col("shared") + F.col("owned") - 1)
+    met = F.filter(others, lambda t: F.col("own").isNull() | (t < F.col("first")) | (t >= F.col("first") + F.col("own")))
+    dealt = cut_lineage(placed.withColumn("other", F.explode(met)).select(
+        "doc_id", "tag", "nid", "cluster", "comp",
+        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+    return _with_sets(docs, dealt, ["cluster", "i", "j", "nid", "comp"], words) \
+        .repartition(_partitions(docs), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j") \
+        .mapInArrow(_confirm_tiles(percent), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,49 +329,69 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b) of each bucket's first node and its others."""
+    """(a, b) that chain nodes as all buckets do: each node and the smallest of
+    its buckets' first nodes, and that one and the others of them."""
     rows = nodes.select("nid", F.explode("bands").alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.min("nid").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(several.select("bucket", "a"), "bucket").where("nid != a") \
-        .select("a", F.col("nid").alias("b")).distinct()
+    several = rows.groupBy("bucket").agg(F.min("nid").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = rows.join(several.select("bucket", "first"), "bucket") \
+        .groupBy("nid").agg(F.collect_set("first").alias("firsts"))  # at most one for each band
+    return firsts.select(F.array_min("firsts").alias("a"),
+                         F.explode(F.array_union("firsts", F.array("nid"))).alias("b")).where("a != b").distinct()
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS,
          rows: int = ROWS) -> DataFrame:
-    """(doc_id, tag, n_shingles, component_id) of each document: the smallest
-    id among all documents reachable over links. Texts with no word (null too)
-    have the empty set and link with nothing. Equal sets are linked; rows that
-    share an id but not a text are nodes of their own; null ids rank last."""
+    """(doc_id, tag, n_shingles, component_id, is_head) of each document: the
+    smallest id among all documents reachable over links, and whether id and tag
+    are those of the one row chosen for them (repeated rows are all marked).
+    Texts with no word (null too) have the empty set and link with nothing.
+    Equal sets are linked; rows that share an id but not a text are nodes of
+    their own; null ids rank last. An empty table gives an empty one."""
     info = cut_lineage(describe(docs, words, bands, rows))
     nodes = info.where("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("of"),
         F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     nodes = cut_lineage(nodes.withColumn("nid", F.monotonically_increasing_id()))
-    cluster = components(candidate_edges(nodes)).withColumnRenamed("comp", "cluster")
+    edges = cut_lineage(candidate_edges(nodes))
+    cluster = components(edges).withColumnRenamed("comp", "cluster")
     chosen = cut_lineage(nodes.select("nid", "of.doc_id", "of.tag", "n").join(cluster, "nid"))
-    label = components(confirmed_links(docs, chosen, words, percent))
+    star = components(confirmed_stars(docs, chosen, edges, words, percent))
+    parts = cut_lineage(chosen.join(star, "nid", "left").withColumn("comp", F.coalesce("comp", "nid")))
+    across = components(linked_across(docs, parts, words, percent)) \
+        .select(F.col("nid").alias("comp"), F.col("comp").alias("whole"))
+    label = parts.join(across, "comp", "left").select("nid", F.coalesce("whole", "comp").alias("comp"))
     oldest = nodes.select("node", "nid", "of").join(label, "nid", "left") \
         .withColumn("comp", F.coalesce("comp", "nid"))
     head = oldest.groupBy("comp").agg(F.min("of").alias("head"))
-    found = oldest.join(head, "comp").select("node", F.col("head.doc_id").alias("component_id"))
+    found = oldest.join(head, "comp").select("node", "head")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tag") == F.col("head.tag"))
     return info.drop("bands").join(found, "node", "left").select(
         "doc_id", "tag", F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        .alias("component_id"))
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+        (F.col("node").isNull() | is_head).alias("is_head"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: the one with the smallest id. Columns stay as
-    they are; rows that repeat both an id and a text stay or go together."""
-    kept = link(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .select(F.col("doc_id").alias("k_id"), F.col("tag").alias("k_tag"), "n_shingles") \
-        .distinct().hint("shuffle_hash")
+    """One row of each group: the one with the smallest id (null ids last, ties
+    by a hash of the text, rows that repeat both by a hash of all columns).
+    Documents without a word are groups of their own. Columns stay as they are;
+    an empty table gives an empty one."""
+    kept = cut_lineage(link(docs, words, percent).where("is_head").groupBy(
+        F.col("doc_id").alias("k_id"), F.col("tag").alias("k_tag")).agg(
+        ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("repeats")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("tag"))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tag") == F.col("k_tag"))) \
-        .select("row.*")
+    rows = rows.join(kept.hint("shuffle_hash"),
+                     F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tag") == F.col("k_tag")))
+    out = rows.where("NOT repeats").select("row")
+    if not kept.where("repeats").isEmpty():
+        again = rows.where("repeats").withColumn("h", F.xxhash64("row.*"))
+        out = out.unionByName(again.groupBy("doc_id", "tag").agg(F.min_by("row", "h").alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """Per document: size of its set, the smallest id of its group, and whether
+    that is its own; nulls, repeated rows and empty tables as in ``link``."""
     return link(docs.select("doc_id", "text")).select(
         "doc_id", "n_shingles", "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -100,6 +100,62 @@ def test_pipeline_form_and_empty_table(spark):
     assert mh.report(make_docs(spark, [])).count() == 0
 
 
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    a, b = "a b c d e f g h i j", "A b c d e f g h i j k"
+    texts = [a, a, b, a, a, a, "other words are these here", "other words are these here", None, None, "", ""]
+    ids = [1, 1, 1, None, None, 5, None, None, 7, 7, None, None]
+    docs = make_docs(spark, texts, ids=ids).withColumn("h", F.lit(3)).withColumn("REPEATS", F.rand(1))
+    out = mh.keep_first(docs, words=5, percent=60).collect()
+    assert [r.doc_id for r in out if r.text in (a, b)] == [1]
+    assert [r.doc_id for r in out if r.text and r.text.startswith("other")] == [None]
+    assert len([r for r in out if not r.text]) == 4 and len(out) == 6
+    everything_null = spark.createDataFrame([(None,) * 5] * 3, docs.schema[:5])
+    assert mh.keep_first(everything_null).count() == 3
+    assert mh.keep_first(make_docs(spark, [])).count() == 0
+
+
+def family(n, seed=8):
+    r = random.Random(seed)
+    base = random_words(9, 200, 2000)
+    return [" ".join(edited(r, base, r.randint(1, 3))) for _ in range(n)]
+
+
+def test_a_family_has_few_candidate_edges(spark):
+    docs = make_docs(spark, family(600))
+    nodes = mh.describe(docs).withColumn("nid", F.monotonically_increasing_id())
+    edges = mh.candidate_edges(nodes).cache()
+    firsts = nodes.select("nid", F.explode("bands").alias("k")).groupBy("k").agg(F.min("nid").alias("f"), F.count("*").alias("n")) \
+        .where("n > 1").select("f").distinct().count()
+    assert 599 <= edges.count() <= 599 + firsts
+    assert mh.components(edges).select("comp").distinct().count() == 1
+
+
+def test_confirmed_stars_leave_little_to_tiles(spark, monkeypatch):
+    """Only nodes of clusters that the stars left in several parts are dealt."""
+    monkeypatch.setattr(mh, "TILE_NODES", 20)
+    dealt = []
+    plain = mh._with_sets
+    monkeypatch.setattr(mh, "_with_sets", lambda docs, rows, keep, words: dealt.append(rows.count()) or plain(
+        docs, rows, keep, words))
+    texts = family(90)
+    check(spark, texts)
+    assert 90 <= dealt[0] <= 90 * 2 and dealt[1] < 90 * 5
+
+
+def test_large_parts_meet_small_ones(spark, monkeypatch):
+    """Several tiles of one part against shared tiles, with exchanged texts."""
+    monkeypatch.setattr(mh, "TILE_NODES", 8)
+    monkeypatch.setattr(mh, "FEW_ROWS", 0)
+    r = random.Random(12)
+    base = random_words(13, 150, 3000)
+    other = edited(r, base, 9)
+    texts = [" ".join(edited(r, base, r.randint(0, 2))) for _ in range(40)]
+    texts += [" ".join(edited(r, other, r.randint(0, 2))) for _ in range(30)]
+    texts += [" ".join(edited(r, base, r.randint(5, 9))) for _ in range(30)]
+    r.shuffle(texts)
+    check(spark, texts)
+
+
 def test_signature_agreement_estimates_similarity():
     import numpy as np
     r = np.random.default_rng(1)
