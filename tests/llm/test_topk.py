@@ -4,18 +4,15 @@ import random
 from routewise.llm import topk
 
 
-def brute(rows, queries, k=10):
-    clean = {}
+def brute(rows, k=10):
+    clean = []
     for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(1024 * x) for x in v]
-        clean[i] = min(clean.get(i, q), q)
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            clean.append((i, [math.floor(1024 * x) for x in v]))
     out = []
-    for i in queries:
-        if i in clean:
-            scored = sorted((-sum(a * b for a, b in zip(clean[i], w)), j)
-                            for j, w in clean.items() if j != i and len(w) == len(clean[i]))
+    for i, q in clean:
+        if i % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in clean if j != i and len(w) == len(q))
             out += [(i, n, j, -s) for n, (s, j) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -23,8 +20,14 @@ def brute(rows, queries, k=10):
 def run(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.report(df).collect())
-    ids = {i for i, _ in rows if i is not None and i % 100 == 0}
-    assert got == brute(rows, ids)
+    assert got == brute(rows)
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark, monkeypatch):
+    run(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [9.0, 0.0])])
+    run(spark, [(0, [1.0, 2.0]), (0, [3.0, 1.0]), (0, [1.0, 2.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (100, [2.0, 2.0])])
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    run(spark, [(7, [1.0, 2.0, 3.0])] * 400 + [(100 * k, [float(k), 1.0, -1.0]) for k in range(9)])
 
 
 def test_random_vectors_in_many_blocks(spark, monkeypatch):
