@@ -2,7 +2,7 @@
 
 A size-weighted sample of text hashes gives splitters that cut the corpus into
 many small ranges of about equal bytes; ranges that turn out overfull (one
-group of equal texts holds too much) are subdivided by document. Exact sums
+group of equal texts holds too much) are subdivided by row. Exact sums
 of the ranges, laid end to end, place every record on one line of bytes, which
 is cut into shards of equal length. Equal texts lie next to each other and move
 together unless their group is overfull.
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from routewise.session import cut_lineage
 
 SHARDS = 24
-#: Ranges for each shard, and sampled keys for each range.
+#: Ranges for each shard at least, rows of one range at most on average, and
+#: sampled keys for each range.
 RANGES = 64
+ROWS = 1 << 20
 KEYS = 32
 #: Bits of the hash that index the splitters (a lookup of 2^12 rows).
 CELL_BITS = 12
@@ -26,7 +28,7 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> list[int]:
     """Quantiles of a sample in which a record's chance is in proportion to its
     size; at most about 2 * KEYS * ranges records are in it."""
     chance = F.col("size") * F.lit(float(KEYS * ranges) / total)
-    drawn = F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.pmod(F.xxhash64("nth", "h", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     at = [k / ranges for k in range(1, ranges)]
     found = rows.where(drawn < chance).agg(
         F.percentile_approx("h", at, F.lit(20 * ranges)).alias("s")).head().s
@@ -53,14 +55,15 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -
     """(doc_id, size, text_crc32, shard, slot): one row per document. ``size`` is
     the text's UTF-8 bytes (null: none) plus 8; shards hold nearly equal bytes;
     slots count from 0 in each shard without gaps, in order of text hash and id.
-    Null and repeated ids are records like others."""
+    Null and repeated ids and repeated rows are records like others, ids may be of
+    any type, and an empty table gives an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut_lineage(docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"),
         F.monotonically_increasing_id().alias("nth")))
-    total = rows.agg(F.sum("size")).head()[0] or 1
-    n = shards * ranges
+    total, count = rows.agg(F.sum("size"), F.count("*")).head()
+    total, n = total or 1, max(shards * ranges, count // ROWS)
     rows = _lookup(rows, _splitters(rows, total, n))
 
     fair = total / n
@@ -68,7 +71,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -
     overfull = rows.groupBy("range").agg(F.sum("size").alias("bytes")) \
         .select("range", parts.alias("parts"))  # at most n rows
     rows = rows.join(F.broadcast(overfull), "range").withColumn(
-        "part", F.pmod(F.xxhash64(F.coalesce("doc_id", "nth"), F.lit(13)), F.col("parts")))
+        "part", F.pmod(F.xxhash64("nth", F.lit(13)), F.col("parts")))
 
     # every range and part: at most 2 * n rows
     ahead = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,6 +102,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """``assign_shards`` under the law ``bytes``, with its rules for odd rows."""
     return assign_shards(docs).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

@@ -40,6 +40,27 @@ def test_equal_texts_stay_together_unless_their_group_is_overfull(spark):
     assert sum(len(s) > 1 for t, s in shards.items() if t[0] == "t") <= 3  # of 1,000 groups
 
 
+def test_repeated_rows_are_spread(spark):
+    """One row 4,000 times, with its id, holds most of the bytes."""
+    texts = ["the same row " + "x" * 8] * 4000 + [f"text {k} " * 2 for k in range(498)]
+    ids = [1] * 4000 + list(range(2, 500))
+    check(sh.report(make_docs(spark, texts, ids=ids)).collect(), texts, 1500)
+
+
+def test_text_ids(spark):
+    texts = [f"text {k % 7}" for k in range(500)]
+    docs = make_docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.format_string("d%d", "doc_id")))
+    rows = sh.report(docs).collect()
+    check(rows, texts, 200)
+    assert sum(r.doc_id is None for r in rows) == 1 and sum(r.doc_id == "d5" for r in rows) == 1
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sh, "ROWS", 1)
+    texts = [" ".join(random_words(k, 20)) for k in range(2000)]
+    check(sh.report(make_docs(spark, texts)).collect(), texts, 400)
+
+
 def test_odd_rows(spark):
     texts = [None, "", "é" * 70_000, "a", "a", "a"]
     docs = make_docs(spark, texts, ids=[1, None, None, 4, 4, 5]).withColumn("size", F.lit("s"))
