@@ -160,6 +160,30 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text") ->
     return df.mapInArrow(run, schema)
 
 
+class Decoder:
+    """Bytes of ids: every piece through the inverse byte map."""
+
+    def __init__(self, model):
+        back = {ord(c): b for b, c in enumerate(byte_characters())}
+        self.size = model.get_piece_size() - 1
+        pieces = [p.translate(back).encode("latin-1") for p in model.id_to_piece(list(range(self.size)))]
+        self.lengths = np.fromiter(map(len, pieces), np.int64, self.size)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Bytes of each text, given all ids and the number of ids of each text."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < self.size:
+            raise ValueError("token id outside the vocabulary")
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(self.starts[ids] - ends + n, n) + np.arange(total)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        data = self.flat[at].tobytes()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """``df`` with ``decoded`` binary: the bytes of each array of ids, by
     piece and inverse byte map. A null array decodes to no bytes; an id that is
@@ -169,13 +193,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        back = {ord(c): b for b, c in enumerate(byte_characters())}
-        size = sp.get_piece_size() - 1
-        pieces = [p.translate(back).encode("latin-1") for p in sp.id_to_piece(list(range(size)))]
-        lengths = np.fromiter(map(len, pieces), np.int64, size)
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        decoder = Decoder(sentencepiece.SentencePieceProcessor(model_proto=model))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -185,25 +203,32 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
                 values = col.flatten()
                 if values.null_count:
                     raise ValueError("null token id")
-                which = values.to_numpy().astype(np.int64)
-                if len(which) and not 0 <= which.min() <= which.max() < size:
-                    raise ValueError("token id outside the vocabulary")
-                n = lengths[which]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                at_byte = np.repeat(starts[which] - ends + n, n) + np.arange(total)
-                bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-                data = flat[at_byte].tobytes()
-                out = [data[a:b] for a, b in zip(bounds, bounds[1:])]
+                out = decoder.decode(values.to_numpy().astype(np.int64), counts)
                 yield with_arrays(part, decoded=pa.array(out, pa.binary()))
 
     return df.mapInArrow(run, with_fields(df.schema, ("decoded", T.BinaryType())))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with ``token_ids`` and, from them, ``decoded``: both steps in one
+    worker, which loads the vocabulary once. Rules as in ``encode_texts``."""
+    model = serialise_model(read_ranks(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model, pattern)
+        decoder = Decoder(encoder.model)
+        for part in text_slices(batches, text, SLICE_BYTES):
+            ids, counts = encoder.encode([t or "" for t in part.column(text).to_pylist()])
+            yield with_arrays(part, token_ids=list_array(pa.array(ids, pa.int32()), counts),
+                              decoded=pa.array(decoder.decode(ids, counts), pa.binary()))
+
+    return df.mapInArrow(run, with_fields(df.schema, ("token_ids", T.ArrayType(T.IntegerType(), False)),
+                                          ("decoded", T.BinaryType())))
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the decoded bytes."""
-    done = decode_ids(encode_texts(docs.select("doc_id", "text"), path, pattern)
-                      .select("doc_id", "token_ids"), path)
+    done = round_trip(docs.select("doc_id", "text"), path, pattern)
     return done.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

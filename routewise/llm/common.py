@@ -32,6 +32,21 @@ def with_arrays(batch: pa.RecordBatch, **arrays: pa.Array) -> pa.RecordBatch:
         [batch.schema.names[i] for i in keep] + list(arrays))
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: none clashes with a column that
+    is added, and nothing travels twice. ``opened`` undoes it."""
+    return df.select([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
+
+
+def opened(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select([F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
+
+
+def sealed_name(df: DataFrame, column: str) -> str:
+    """The name of a column of ``df`` after ``sealed``."""
+    return f"c{[c.lower() for c in df.columns].index(column.lower())}"
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str,
                 max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches holding at most ``max_bytes`` of ``column``

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import byte_values, list_array, text_slices, with_arrays, with_fields
+from .common import byte_values, list_array, opened, sealed, sealed_name, text_slices, with_arrays, with_fields
 
 WINDOW = 10
 #: Bytes of documents inverted at a time, and of benchmark text in one group.
@@ -227,9 +227,8 @@ def contaminated_items(matches) -> F.Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                   window: int = WINDOW) -> DataFrame:
     """The documents without any exact phrase match; columns stay as they are."""
-    found = find_matches(docs.select(F.struct(*docs.columns).alias("row"),
-                                     F.col(text).alias("text")), benchmark, window=window)
-    return found.where(F.size("matches") == 0).select("row.*")
+    found = find_matches(sealed(docs), benchmark, sealed_name(docs, text), window)
+    return opened(found.where(F.size("matches") == 0), docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import remainder, text_slices, with_arrays, with_fields
+from .common import opened, remainder, sealed, sealed_name, text_slices, with_arrays, with_fields
 
 UNKNOWN = "und"
 #: n-gram orders and symbols; symbols 0 and 1 are blank and any other letter.
@@ -216,7 +216,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     parts = _sample(rows, "lang", ["key"], counts, TRAIN, 2).select("lang", "text").repartition(FIT_TASKS) \
         .mapInArrow(normal_equations, "n long, total array<double>").collect()
     if not parts:
-        parts = rows.select("lang", "text").limit(TRAIN) \
+        parts = rows.orderBy("key", "text").limit(TRAIN).select("lang", "text") \
             .mapInArrow(normal_equations, "n long, total array<double>").collect()
     n = sum(p.n for p in parts)
     total = sum((np.array(p.total).reshape(m, m + c) for p in parts), np.zeros((m, m + c)))
@@ -262,9 +262,6 @@ def predict(df: DataFrame, model: Model, text: str = "text", judge: bool = False
 
 #: Fold of documents that are never learned from: remainder 2 of 4.
 FOLDS, HELD_OUT = 4, 2
-#: Lowest score of a document that is kept. The best value falls with the number of
-#: languages and is never below one share of them, so it rejects nothing itself.
-LEAST_SCORE = 0.0
 
 
 def held_out() -> Column:
@@ -273,14 +270,16 @@ def held_out() -> Column:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents in a learned language: not ``und``, and with n-grams that the
-    landmarks of a language have (Model.known). Columns stay as they are."""
+    landmarks of a language have (Model.known). The score rejects nothing: the
+    best value falls with the number of languages. Null and letterless texts go;
+    repeated rows are judged alike; without labels every text with a letter
+    stays; an empty table gives an empty one. Columns stay as they are."""
     learned = docs.where(~held_out())
     if learned.where(F.col("lang").isNotNull()).isEmpty():
         return docs.where(has_letter(F.col("text")))  # nothing to learn from
     model = fit(learned)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return predict(packed, model, judge=True).where(
-        F.col("known") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    judged = predict(sealed(docs), model, sealed_name(docs, "text"), judge=True)
+    return opened(judged.where("known"), docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ def test_against_an_independent_encoder(spark, corpus, reference):
         corpus.select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", corpus.doc_id + 1000))
     got = {r.doc_id: r for r in byte_bpe.encode_texts(docs, PATH, public_tokenizers.PATTERN).collect()}
     digests = {r.doc_id: r for r in byte_bpe.digests(docs, PATH, public_tokenizers.PATTERN).collect()}
+    ids = spark.createDataFrame([(k, list(r.token_ids)) for k, r in got.items()], "doc_id long, token_ids array<int>")
+    decoded = {r.doc_id: r.decoded for r in byte_bpe.decode_ids(ids, PATH).collect()}
     assert len(got) == docs.count() == len(digests)
     for k, r in got.items():
         want = reference.encode_ordinary(r.text or "")
@@ -31,6 +33,7 @@ def test_against_an_independent_encoder(spark, corpus, reference):
         d = digests[k]
         assert d.n_tokens == len(want)
         assert d.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert bytes(decoded[k]) == (r.text or "").encode()
         assert d.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 

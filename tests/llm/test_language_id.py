@@ -1,9 +1,73 @@
+from collections import Counter
+from statistics import median
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from routewise.llm import language_id as li
 from .conftest import make_docs
 
 
+def brute_model(docs):
+    """text -> (language or None, score, known), learned like the module does from
+    the same sampled texts, but by sets of tuples and one dense solve."""
+    rows = docs.where(~li.held_out()).where("lang is not null").select(F.col("doc_id").alias("key"), "lang", "text")
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    assert max(counts.values()) <= li.TRAIN  # all labelled texts are learned from
+    train = [(r.lang, r.text) for r in rows.collect() if any(c.isalpha() for c in r.text or "")]
+    marks = li._sample(rows.where(li.has_letter(F.col("text"))), "lang", ["key"], counts, li.LANDMARKS, 1)
+    marks = sorted({(r.lang, r.text) for r in marks.collect()})
+    letters = Counter(c for _, t in marks for c in t.lower() if c.isalpha())
+    common = {c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:li.ALPHABET]}
+
+    def sets(text):
+        symbols = [" "]
+        for c in text.lower() + " ":
+            c = c if c in common else "other" if c.isalpha() else " "
+            if c != " " or symbols[-1] != " ":
+                symbols.append(c)
+        return {tuple(symbols[i:i + n]) for n in li.ORDERS for i in range(len(symbols) - n + 1)}
+
+    languages = sorted(counts)
+    mark_sets = [sets(t) for _, t in marks]
+
+    def kernel(text):
+        own = sets(text)
+        return [len(own & m) / (len(own) * len(m)) ** 0.5 for m in mark_sets]
+
+    x = np.array([[*kernel(t), 1.0] for _, t in train])
+    y = np.array([[float(lang == k) for k in languages] for lang, _ in train])
+    penalty = np.zeros((len(marks) + 1,) * 2)
+    penalty[:-1, :-1] = np.array([kernel(t) for _, t in marks]) + 1e-8 * np.eye(len(marks))
+    weights = np.linalg.solve(x.T @ x + li.RIDGE * len(train) * penalty, x.T @ y)
+
+    longest = [{g for g in s if len(g) == 3} for s in mark_sets]
+    of = {k: [s for s, (lang, _) in zip(longest, marks) if lang == k] for k in languages}
+    least = {k: li.LEAST_SHARE * median(sum(sum(g in other for other in of[k]) > 1 for g in s) / len(s)
+                                        for s in of[k]) for k in languages}
+
+    def judge(text):
+        if not any(c.isalpha() for c in text or ""):
+            return None, 0.0, False
+        values = np.array([*kernel(text), 1.0]) @ weights
+        own = {g for g in sets(text) if len(g) == 3}
+        known = any(least[k] > 0 and sum(any(g in s for s in of[k]) for g in own) / len(own) >= least[k]
+                    for k in languages) if own else False
+        return languages[int(values.argmax())], min(1.0, max(0.0, values.max())), known
+    return judge
+
+
+def test_predictions_equal_an_independent_solve(spark, corpus):
+    judge = brute_model(corpus)
+    odd = make_docs(spark, [None, "", "12", "日本語です", "xq zzk wqx jjq", "the"], ids=[10_000 + k for k in range(6)])
+    docs = corpus.select(odd.columns).unionByName(odd.withColumn("lang", F.lit(None).cast("string")))
+    want = {r.doc_id: judge(r.text) for r in docs.collect()}
+    got = {r.doc_id: r for r in li.report(docs).collect()}
+    for i, (lang, score, _) in want.items():
+        assert got[i].lang_pred == (lang or li.UNKNOWN) and abs(got[i].score - score) < 1e-3, i
+    assert {r.doc_id for r in li.keep_known(docs).collect()} == {i for i, (_, _, known) in want.items() if known}
+
+
 def test_kernel_is_the_normalised_number_of_shared_ngrams():
     texts = ["abc abd", "abd x", "zzz", "Ünï abc", "a", "12"]
     marks = li.Landmarks.of(texts, ["x"] * len(texts))

@@ -1,19 +1,21 @@
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from routewise.llm import byte_bpe, language_id as li
+from routewise.llm import byte_bpe
 
 from .conftest import SF
 from .test_decontaminate import brute as contaminated
+from .test_language_id import brute_model
 from .test_line_dedup import key_of_line
 from .test_minhash import brute as near
 
 
 def test_stages_against_brute_force(spark, corpus):
     docs = [(r.doc_id, r.text) for r in corpus.orderBy("doc_id").collect()]
-    known = {r.doc_id for r in li.report(corpus).collect() if r.lang_pred != "und" and r.score >= li.LEAST_SCORE}
-    docs = [d for d in docs if d[0] in known]
+    judge = brute_model(corpus)
+    docs = [d for d in docs if judge(d[1])[2]]
 
     first = {}
     for d, t in docs:
@@ -43,3 +45,18 @@ def test_stages_keep_the_columns(spark, corpus):
         assert stage(spark, docs, SF).schema.names == docs.schema.names, name
         empty = stage(spark, docs.limit(0), SF)
         assert empty.schema.names == docs.schema.names and empty.count() == 0
+
+
+def test_stages_take_nulls_repeats_and_more_columns(spark, corpus):
+    base = corpus.select("doc_id", "text", "lang", "source", "n_chars")
+    text = base.where("lang = 'en'").orderBy("doc_id").head().text
+    odd = spark.createDataFrame([(None,) * 5, (7, text, None, None, None), (7, text, None, None, None), (None, text, "en", "s", 1),
+                                 (8, "", None, "s", 0)], base.schema)
+    docs = base.unionByName(odd).withColumn("Known", F.lit(1)).withColumn("matches", F.lit("m")).withColumn("c0", F.lit(2))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert docs.where(F.col("text") == text).count() <= 1
+    done = corpus_pipeline.tokens(spark, docs, SF)
+    assert done.count() == docs.count() and done.where("NOT exact").isEmpty()
