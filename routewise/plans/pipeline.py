@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from routewise.operators import cluster as cl
 from routewise.operators import evaluate as ev
-from routewise.operators.smote import smote, stratified_folds
+from routewise.operators.smote import smote
 from routewise.operators.split import chronological_split, split_summary
 from routewise.operators.orders import geo_lookup
 from routewise.plans import corridors, eda, prediction as pr, sellers
@@ -84,15 +84,11 @@ def run_prediction(train: DataFrame, test: DataFrame, grid: dict = pr.REFERENCE_
     te = cut_lineage(te)
     oversampled = cut_lineage(smote(tr, "row_id", cols, pr.LABEL, k=5, seed=seed))
     lr, stats = pr.fit_logistic(oversampled, cols)
-    keyed = oversampled.withColumn("_rid", F.monotonically_increasing_id()).withColumn(
-        "_key", F.xxhash64("_rid", F.lit(seed)))
-    folded = cut_lineage(stratified_folds(keyed, pr.LABEL, "_key", ["_rid"], n_folds))
-    gbt = pr.tune_gbt(folded, cols, "fold", grid=grid, n_iter=n_iter, n_folds=n_folds, seed=seed).bestModel
+    found, gbt = pr.tune_boosted(oversampled, cols, grid, n_iter, n_folds, seed)
     scored = {"Logistic Regression": cut_lineage(pr.predict(lr, te, cols, stats)),
               "Gradient-Boosted Trees": cut_lineage(pr.predict(gbt, te, cols))}
     comparison = ev.comparison_table(_by_model(scored, lambda df, name: ev.model_metrics(df, name)))
-    spark = train.sparkSession
-    gain = spark.createDataFrame(pr.gain_importance(gbt, cols), "Feature string, Gain_Importance double")
+    gain = gbt.gains().select(F.col("feature").alias("Feature"), F.col("gain_importance").alias("Gain_Importance"))
     perm = pr.permutation_importance(gbt, te, cols, "row_id", n_repeats, seed).select(
         F.col("feature").alias("Feature"), F.col("permutation_importance").alias("Permutation_Importance"))
     importance = gain.join(perm, "Feature", "left").orderBy(F.desc("Permutation_Importance"))
@@ -102,6 +98,7 @@ def run_prediction(train: DataFrame, test: DataFrame, grid: dict = pr.REFERENCE_
             "classification_report": _by_model(scored, named(ev.classification_report)),
             "confusion_matrix": _by_model(scored, named(ev.confusion_matrix)),
             "roc_curve": _by_model(scored, named(ev.roc_curve)),
+            "search_points": found.points, "search_scores": found.scores,
             "cold_start_sellers": sellers.cold_start(train, test)}
 
 

@@ -73,14 +73,14 @@ def given_scores(test: DataFrame) -> DataFrame:
 
 import random  # noqa: E402
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression  # noqa: E402
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator  # noqa: E402
+from pyspark.ml.classification import LogisticRegression  # noqa: E402
 from pyspark.ml.feature import VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
-from pyspark.ml.tuning import CrossValidator  # noqa: E402
 
+from routewise.operators import boosting  # noqa: E402
 from routewise.operators.evaluate import grouped_auc  # noqa: E402
-from routewise.operators.smote import dense_positions  # noqa: E402
+from routewise.operators.smote import dense_positions, stratified_folds  # noqa: E402
+from routewise.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 
 # The boosted-tree search space (972 combinations).
 REFERENCE_GRID = {
@@ -132,13 +132,21 @@ def fit_logistic(train: DataFrame, cols: list[str], C: float = 1.0, max_iter: in
     return lr.fit(data), stats
 
 
+def scored(model, df: DataFrame, cols: list[str], stats=None, keep=(), label: str = LABEL) -> DataFrame:
+    """(keep..., label, score = P(class 1)) of a fitted model of this module or of MLlib."""
+    x = standardize(df, cols, stats) if stats is not None else df
+    if isinstance(model, boosting.BoostedTrees):
+        out, score = x, model.score(*[F.col(c) for c in model.cols])
+    else:
+        out, score = model.transform(vectorize(x, cols)), vector_to_array("probability")[1]
+    return out.select(*keep, F.col(label).alias("label"), score.alias("score"))
+
+
 def predict(model, df: DataFrame, cols: list[str], stats=None, keep=("order_id", "review_score"),
             label: str = LABEL) -> DataFrame:
     """(keep..., label, prediction, score = P(class 1))."""
-    x = standardize(df, cols, stats) if stats is not None else df
-    out = model.transform(vectorize(x, cols))
-    return out.select(*keep, F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"),
-                      vector_to_array("probability")[1].alias("score"))
+    out = scored(model, df, cols, stats, keep, label)
+    return out.select(*keep, "label", (F.col("score") > 0.5).cast("int").alias("prediction"), "score")
 
 
 def sample_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
@@ -159,32 +167,23 @@ def sample_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def _gbt_params(gbt: GBTClassifier, point: dict) -> dict:
-    return {gbt.maxIter: point["n_estimators"], gbt.maxDepth: point["max_depth"],
-            gbt.stepSize: point["learning_rate"], gbt.subsamplingRate: point["subsample"],
-            gbt.featureSubsetStrategy: str(point["colsample_bytree"]),
-            gbt.minInstancesPerNode: point["min_child_weight"]}
-
-
-def tune_gbt(train: DataFrame, cols: list[str], fold_col: str = "fold", grid: dict = REFERENCE_GRID,
-             n_iter: int = 20, n_folds: int = 5, seed: int = 42, parallelism: int = 4,
-             label: str = LABEL):
-    """Randomised search over ``grid`` scored by F1 of class 1 with the
-    given (stratified) fold column; the best point is refit on all rows."""
-    data = vectorize(train, cols)
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=seed)
-    maps = [_gbt_params(gbt, p) for p in sample_grid(grid, n_iter, seed)]
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel",
-                                           metricLabel=1.0)
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=ev, numFolds=n_folds,
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
-    return cv.fit(data)
-
+def tune_boosted(train: DataFrame, cols: list[str], grid: dict = REFERENCE_GRID, n_iter: int = 20,
+                 n_folds: int = 5, seed: int = 42, label: str = LABEL, folder: str | None = None):
+    """(search, model): randomised search over ``grid`` scored by F1 of class 1 on
+    stratified folds, and the best point's model on all rows.
 
-def gain_importance(model, cols: list[str]) -> list[tuple[str, float]]:
-    """Normalised impurity-gain importance per feature."""
-    imp = model.featureImportances.toArray()
-    return [(c, float(v)) for c, v in zip(cols, imp)]
+    The search is saved below ``folder`` (by default in the shared checkpoint
+    folder, under the name of its data and settings), so the same search is never
+    run twice and a killed one goes on. Rows are known by their content, so the
+    order in which they come does not matter."""
+    rows = train.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(label).cast("int").alias(label))
+    rows = cut_lineage(rows.withColumn("_key", F.xxhash64(*cols, label, F.lit(seed))))
+    points = sample_grid(grid, n_iter, seed)
+    folder = folder or (f"{ensure_checkpoint_dir(train.sparkSession)}/search-"
+                        f"{boosting.data_key(rows, points, n_folds, seed)}")
+    folded = cut_lineage(stratified_folds(rows, label, "_key", cols, n_folds))
+    found = boosting.search(folded, cols, folder, points, "_key", label, "fold", n_folds, seed)
+    return found, boosting.BoostedTrees(found.nodes, cols)
 
 
 def permutation_importance(model, test: DataFrame, cols: list[str], id_col: str,
@@ -199,10 +198,7 @@ def permutation_importance(model, test: DataFrame, cols: list[str], id_col: str,
     base = predict(model, test, cols, stats, keep=(id_col,), label=label)
     base_auc = grouped_auc(base.withColumn("_g", F.lit("base")), "_g").first()["auc"]
     copies = _permuted_copies(test, cols, id_col, n_repeats, seed, label)
-    x = standardize(copies, cols, stats) if stats is not None else copies
-    scored = model.transform(vectorize(x, cols)).select(
-        "_g", "label", vector_to_array("probability")[1].alias("score"))
-    aucs = grouped_auc(scored, "_g").select(F.split("_g", ":")[0].cast("int").alias("_f"), "auc")
+    aucs = grouped_auc(scored(model, copies, cols, stats, ("_g",), "label"), "_g").select(F.split("_g", ":")[0].cast("int").alias("_f"), "auc")
     names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_f") + 1)
     return (aucs.select(names.alias("feature"), (F.lit(base_auc) - F.col("auc")).alias("drop"))
             .groupBy("feature").agg(F.avg("drop").alias("permutation_importance"),

@@ -848,27 +848,24 @@ def q_logistic(spark, sf):
     return pr.predict(model, te, cols, stats)
 
 
-def _gbt(spark, sf, grid=pr.REFERENCE_GRID, n_iter=20, n_folds=5):
+def _boosted(spark, sf):
+    """The search of the whole space (20 draws, 5 folds); run once for these
+    three queries, since it is saved under the name of its data."""
     tr, te, cols = _smoted(spark, sf)
-    keyed = tr.withColumn("_rid", F.monotonically_increasing_id()).withColumn(
-        "_key", F.xxhash64("_rid", F.lit(42)))
-    folded = cut_lineage(stratified_folds(keyed, pr.LABEL, "_key", ["_rid"], n_folds))
-    cv = pr.tune_gbt(folded, cols, "fold", grid=grid, n_iter=n_iter, n_folds=n_folds)
-    return cv.bestModel, te, cols
+    return pr.tune_boosted(tr, cols)[1], te, cols
 
 
 @register("q_gbt")
 def q_gbt(spark, sf):
-    model, te, cols = _gbt(spark, sf)
+    model, te, cols = _boosted(spark, sf)
     return pr.predict(model, te, cols)
 
 
 @register("q_importance")
 def q_importance(spark, sf):
-    model, te, cols = _gbt(spark, sf)
-    gain = spark.createDataFrame(pr.gain_importance(model, cols), "feature string, gain_importance double")
+    model, te, cols = _boosted(spark, sf)
     perm = pr.permutation_importance(model, te, cols, "row_id", n_repeats=10, seed=42)
-    return (gain.join(perm, "feature", "left")
+    return (model.gains().join(perm, "feature", "left")
             .orderBy(F.desc("permutation_importance"), "feature"))
 
 
@@ -877,8 +874,7 @@ def q_model_comparison(spark, sf):
     tr, te, cols = _smoted(spark, sf)
     lr, stats = pr.fit_logistic(tr, cols)
     m1 = ev.model_metrics(pr.predict(lr, te, cols, stats), "Logistic Regression")
-    model, te2, cols2 = _gbt(spark, sf)
-    m2 = ev.model_metrics(pr.predict(model, te2, cols2), "Gradient-Boosted Trees")
+    m2 = ev.model_metrics(pr.predict(pr.tune_boosted(tr, cols)[1], te, cols), "Gradient-Boosted Trees")
     return ev.comparison_table(m1.unionByName(m2))
 
 

@@ -87,20 +87,25 @@ def test_permutation_importance_signal_beats_noise(spark):
     assert imp["a"] > 0.2 and abs(imp["b"]) < 0.05
 
 
-def test_registered_models_run_the_full_search(monkeypatch):
-    from routewise.plans import prediction as pr, queries
-
-    class Frame:
-        def withColumn(self, *_):
-            return self
-
-    asked = {}
-    monkeypatch.setattr(queries, "_smoted", lambda spark, sf: (Frame(), "test", ["a"]))
-    monkeypatch.setattr(queries, "cut_lineage", lambda df: df)
-    monkeypatch.setattr(queries.F, "monotonically_increasing_id", lambda: None)
-    monkeypatch.setattr(queries.F, "xxhash64", lambda *_: None)
-    monkeypatch.setattr(queries.F, "lit", lambda _: None)
-    monkeypatch.setattr(queries, "stratified_folds", lambda df, label, key, ids, n: asked.update(folds=n))
-    monkeypatch.setattr(pr, "tune_gbt", lambda train, cols, fold, **k: asked.update(k) or type("M", (), {"bestModel": 1}))
-    assert queries._gbt(None, "sf")[0] == 1
-    assert asked == {"folds": 5, "grid": pr.REFERENCE_GRID, "n_iter": 20, "n_folds": 5}
+def test_the_search_runs_once_and_by_content(spark, monkeypatch):
+    """The whole job on a tiny table: the same rows in another order are the same
+    search, which is read and not run again."""
+    import inspect
+
+    import numpy as np
+    from routewise.operators import boosting
+    from routewise.plans import prediction as pr
+
+    default = inspect.signature(pr.tune_boosted).parameters
+    assert default["grid"].default is pr.REFERENCE_GRID
+    assert (default["n_iter"].default, default["n_folds"].default) == (20, 5)
+    r = np.random.default_rng(5)
+    rows = [(float(a), float(b), int(a + b > 0)) for a, b in r.normal(size=(200, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, satisfied int")
+    found, model = pr.tune_boosted(df, ["a", "b"], pr.QUICK_GRID, n_iter=3, n_folds=2)
+    assert found.scores.count() == 6 and found.best in [*pr.sample_grid(pr.QUICK_GRID, 3, 42)]
+    right = pr.predict(model, df, ["a", "b"], keep=("a",)).where("label = prediction").count()
+    assert right > 180
+    monkeypatch.setattr(boosting, "_grown", None)  # would fail if it ran
+    again, _ = pr.tune_boosted(df.repartition(3), ["a", "b"], pr.QUICK_GRID, n_iter=3, n_folds=2)
+    assert again.draw == found.draw and sorted(again.nodes.collect()) == sorted(found.nodes.collect())
