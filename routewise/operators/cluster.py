@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routewise.operators.pairwise import silhouette_score
+from routewise.operators.pairwise import silhouette_scores
 
 
 def kmeans_restarts(df: DataFrame, features_col: str, k: int, n_init: int = 10, seed: int = 42,
@@ -29,20 +29,55 @@ def kmeans_restarts(df: DataFrame, features_col: str, k: int, n_init: int = 10,
     return model, cost
 
 
+def fixed_point(df: DataFrame, id_col: str, features_col: str, model, tolerance: float = 1e-9) -> DataFrame:
+    """One row that certifies a fit (data with mean zero): ``n``, ``misplaced``
+    (rows that are nearer to another cluster's mean than to their own's),
+    ``total_ss`` (squares within clusters plus those of the cluster means, which
+    is the data's own sum only if the centres are means) and ``cost_is_sum``
+    (the model's cost is the sum within)."""
+    x = df.select(id_col, vector_to_array(F.col(features_col)).alias("_v"))
+    own = model.transform(df).select(id_col, F.col("prediction").alias("_c"))
+    rows = x.join(own, id_col)
+    width = len(model.clusterCenters()[0])
+    means = rows.groupBy("_c").agg(F.count("*").alias("_n"), F.array(*[
+        F.avg(F.col("_v")[i]) for i in range(width)]).alias("_m"))  # k rows
+
+    def squares(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+
+    zero = F.array(*[F.lit(0.0)] * width)
+    pairs = rows.crossJoin(F.broadcast(means.withColumnRenamed("_c", "_k"))) \
+        .withColumn("_d", squares(F.col("_v"), F.col("_m")))
+    per = pairs.groupBy(id_col).agg(
+        F.max(F.when(F.col("_c") == F.col("_k"), F.col("_d"))).alias("_own"), F.min("_d").alias("_near"))
+    within = per.agg(F.count("*").alias("n"), F.sum("_own").alias("_within"),
+                     F.count(F.when(F.col("_own") > F.col("_near") + tolerance, 1)).alias("misplaced"))
+    between = means.agg(F.sum(F.col("_n") * squares(F.col("_m"), zero)).alias("_between"))
+    cost = float(model.summary.trainingCost)
+    return within.crossJoin(between).select(
+        "n", "misplaced", (F.col("_within") + F.col("_between")).alias("total_ss"),
+        (F.abs(F.col("_within") - cost) <= 1e-6 * F.greatest(F.lit(1.0), F.col("_within"))).alias("cost_is_sum"))
+
+
 def choose_k(df: DataFrame, id_col: str, features_col: str, k_values=range(2, 7),
              n_init: int = 10, seed: int = 42, min_k: int = 3, parallelism: int = 4):
     """Silhouette (exact Euclidean) of the best fit for each k; the chosen k
-    is max(min_k, first k with the highest silhouette)."""
-    vec = df.withColumn("_v", vector_to_array(F.col(features_col)))
+    is max(min_k, first k with the highest silhouette). The labels of all k are
+    scored in one pass over the distances."""
+    ks = list(k_values)
 
-    def score(k):
-        model, _ = kmeans_restarts(df, features_col, k, n_init, seed, parallelism=parallelism)
-        labelled = model.transform(vec).select(id_col, "_v", F.col("prediction").alias("_c"))
-        return k, silhouette_score(labelled, id_col, "_v", "_c").first()["silhouette"]
+    def fit(k):
+        return kmeans_restarts(df, features_col, k, n_init, seed, parallelism=parallelism)[0]
 
-    ks = list(k_values)
     with ThreadPoolExecutor(max_workers=max(1, min(2, len(ks)))) as pool:
-        scores = list(pool.map(score, ks))
+        models = list(pool.map(fit, ks))
+    labelled = df
+    for k, model in zip(ks, models):
+        labelled = model.setPredictionCol(f"_k{k}").transform(labelled)
+    labelled = labelled.select(id_col, vector_to_array(F.col(features_col)).alias("_v"), *[f"_k{k}" for k in ks])
+    found = {r.which: r.silhouette for r in
+             silhouette_scores(labelled, id_col, "_v", [f"_k{k}" for k in ks]).collect()}  # one row a k
+    scores = [(k, found.get(i)) for i, k in enumerate(ks)]
     best_k = max(scores, key=lambda kv: (kv[1] if kv[1] is not None else float("-inf"), -kv[0]))[0]
     return max(min_k, best_k), scores
 

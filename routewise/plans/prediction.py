@@ -128,14 +128,54 @@ def fit_logistic(train: DataFrame, cols: list[str], C: float = 1.0, max_iter: in
     sum_w = sum(weights[c] * m for c, m in counts.items())
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w",
                             regParam=1.0 / (C * sum_w), elasticNetParam=0.0, maxIter=max_iter,
-                            standardization=False, fitIntercept=True)
+                            standardization=False, fitIntercept=True, tol=1e-10)
     return lr.fit(data), stats
 
 
+def logistic_moments(model, stats, train: DataFrame, cols: list[str], C: float = 1.0,
+                     label: str = LABEL) -> DataFrame:
+    """(feature, observed, fitted): the certificate of a fit. The objective is
+    convex, so the coefficients are its optimum just when, for the constant and
+    for each scaled feature, the weighted mean of label * feature is that of
+    probability * feature plus the penalty's share. One aggregate over the rows."""
+    counts = class_counts(train, label)
+    weights = balanced_weights(counts)
+    total = sum(weights[c] * m for c, m in counts.items())
+    w = F.lit(0.0)
+    for c, v in weights.items():
+        w = F.when(F.col(label) == c, F.lit(v)).otherwise(w)
+    x = standardize(train, cols, stats)
+    margin = F.lit(float(model.intercept))
+    for c, b in zip(cols, model.coefficients):
+        margin = margin + F.col(c) * F.lit(float(b))
+    x = x.withColumn("_w", w).withColumn("_p", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
+    names, values = ["(intercept)", *cols], [F.lit(1.0), *[F.col(c) for c in cols]]
+    penalty = [0.0, *[float(b) / (C * total) for b in model.coefficients]]
+    return x.agg(*[F.struct((F.sum(F.col("_w") * F.col(label) * v) / total).alias("observed"),
+                            (F.sum(F.col("_w") * F.col("_p") * v) / total + F.lit(p)).alias("fitted")).alias(f"_{i}")
+                   for i, (v, p) in enumerate(zip(values, penalty))]) \
+        .select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_{i}.observed"), F.col(f"_{i}.fitted"))
+                                    for i, n in enumerate(names)])).alias("m")).select("m.*")
+
+
+class LinearScorer:
+    """A fixed score, the weighted sum of features, in the place of a fitted model."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.cols, self.weights = list(weights), list(weights.values())
+
+    def score(self, *features):
+        total = F.lit(0.0)
+        for x, w in zip(features, self.weights):
+            total = total + x * F.lit(w)
+        return total
+
+
 def scored(model, df: DataFrame, cols: list[str], stats=None, keep=(), label: str = LABEL) -> DataFrame:
-    """(keep..., label, score = P(class 1)) of a fitted model of this module or of MLlib."""
+    """(keep..., label, score = P(class 1)) of a model with ``cols`` and ``score``
+    (boosted trees, a fixed scorer) or of a fitted MLlib classifier."""
     x = standardize(df, cols, stats) if stats is not None else df
-    if isinstance(model, boosting.BoostedTrees):
+    if hasattr(model, "score"):
         out, score = x, model.score(*[F.col(c) for c in model.cols])
     else:
         out, score = model.transform(vectorize(x, cols)), vector_to_array("probability")[1]
@@ -188,16 +228,18 @@ def tune_boosted(train: DataFrame, cols: list[str], grid: dict = REFERENCE_GRID,
 
 def permutation_importance(model, test: DataFrame, cols: list[str], id_col: str,
                            n_repeats: int = 10, seed: int = 42, stats=None,
-                           label: str = LABEL) -> DataFrame:
+                           label: str = LABEL, permutation=None) -> DataFrame:
     """Mean AUC drop when one feature is shuffled, per feature.
 
     Each repeat is one random permutation of all test rows, shared by the
     features: a row meets its donor once, and the feature at hand takes the
-    donor's value. ``id_col`` must be unique.
+    donor's value. ``id_col`` must be unique. ``permutation`` gives the donors
+    in the form of ``donors``, which is the default.
     """
     base = predict(model, test, cols, stats, keep=(id_col,), label=label)
     base_auc = grouped_auc(base.withColumn("_g", F.lit("base")), "_g").first()["auc"]
-    copies = _permuted_copies(test, cols, id_col, n_repeats, seed, label)
+    pairs = (permutation or donors)(test, id_col, n_repeats, seed)
+    copies = _permuted_copies(test, cols, id_col, pairs, label)
     aucs = grouped_auc(scored(model, copies, cols, stats, ("_g",), "label"), "_g").select(F.split("_g", ":")[0].cast("int").alias("_f"), "auc")
     names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_f") + 1)
     return (aucs.select(names.alias("feature"), (F.lit(base_auc) - F.col("auc")).alias("drop"))
@@ -220,14 +262,24 @@ def donors(rows: DataFrame, id_col: str, n_repeats: int, seed: int) -> DataFrame
     return takers.join(givers, ["_r", "position"]).select("_id", "_r", "_donor")
 
 
-def _permuted_copies(test: DataFrame, cols: list[str], id_col: str, n_repeats: int, seed: int,
+def shifted_donors(rows: DataFrame, id_col: str, n_repeats: int, seed: int) -> DataFrame:
+    """Donors by arithmetic, for ids 0 to n - 1: each repeat turns the rows by
+    another number of places. Any SQL engine finds the same."""
+    n = rows.count()
+    r = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_repeats - 1).cast("long")))
+    turn = 1 + (F.col("_r") * 7919 + seed) % max(1, n - 1)
+    return rows.select(F.col(id_col).alias("_id"), r.alias("_r")).select(
+        "_id", "_r", ((F.col("_id") + turn) % max(1, n)).alias("_donor"))
+
+
+def _permuted_copies(test: DataFrame, cols: list[str], id_col: str, pairs: DataFrame,
                      label: str) -> DataFrame:
     """(_g = "feature:repeat", label, features): every shuffled copy. Only
     repeats x rows are exchanged; the copies by feature are made in place."""
     x = F.array(*[F.col(c).cast("double") for c in cols])
     rows = test.select(F.col(id_col).alias("_id"), F.col(label).alias("label"), x.alias("_x"))
     given = test.select(F.col(id_col).alias("_donor"), x.alias("_y"))
-    met = donors(test, id_col, n_repeats, seed).join(rows, "_id").join(given, "_donor") \
+    met = pairs.join(rows, "_id").join(given, "_donor") \
         .withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(cols))])))
     return met.select(F.concat_ws(":", "_f", "_r").alias("_g"), "label", *[
         F.when(F.col("_f") == i, F.col("_y")[i]).otherwise(F.col("_x")[i]).alias(c)

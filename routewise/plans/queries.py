@@ -25,7 +25,7 @@ from routewise.operators.orders import (
 from routewise.operators import cluster as cl
 from routewise.operators import evaluate as ev
 from routewise.operators.pairwise import knn, silhouette_score
-from routewise.operators.smote import smote, stratified_folds
+from routewise.operators.smote import dense_positions, draws_sql, smote, stratified_folds
 from routewise.operators.split import chronological_split, split_summary
 from routewise.plans import corridors, eda, sellers
 from routewise.plans import prediction as pr
@@ -841,6 +841,97 @@ def _smoted(spark, sf):
     return cut_lineage(smote(tr, "row_id", cols, pr.LABEL, k=5, seed=42)), cut_lineage(te), cols
 
 
+_V = "[" + ", ".join(_FEATS) + "]"
+_DRAWS = draws_sql("s", "(SELECT n_min FROM sm_n)", 5, 42)
+# rows of the minority, their five nearest others, and the synthetic rows drawn from them
+_SMOTE_SQL = f"""
+sm_x AS (SELECT *, row_number() OVER (ORDER BY order_id, review_score) - 1 AS row_id FROM xtrain),
+sm_c AS (SELECT satisfied, count(*) AS n FROM sm_x GROUP BY satisfied),
+sm_n AS (SELECT arg_min(satisfied, n * 10 + satisfied) AS minority, min(n) AS n_min, max(n) - min(n) AS need FROM sm_c),
+sm_m AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS position, {_V} AS v FROM sm_x, sm_n
+         WHERE satisfied = minority),
+sm_k AS (SELECT a.position, a.v AS x, b.v AS y,
+                row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.v, b.v), b.row_id) AS neighbor_rank
+         FROM sm_m a JOIN sm_m b ON a.row_id <> b.row_id),
+sm_s AS (SELECT unnest(range(0, (SELECT need FROM sm_n))) AS s),
+sm_d AS (SELECT {", ".join(f"{v} AS {k}" for k, v in _DRAWS.items())} FROM sm_s),
+sm_new AS (SELECT {", ".join(f"x[{i + 1}] + gap * (y[{i + 1}] - x[{i + 1}]) AS {c}" for i, c in enumerate(_FEATS))},
+                  minority AS satisfied, 1 AS synthetic
+           FROM sm_d JOIN sm_k USING (position, neighbor_rank), sm_n),
+sm_all AS (SELECT {", ".join(_FEATS)}, satisfied, 0 AS synthetic FROM sm_x UNION ALL SELECT * FROM sm_new)"""
+
+
+def _smoted_fixed(spark, sf):
+    """Train (oversampled) and test with the 20 named features; rows are numbered
+    by order and score, so that SQL can draw the same ones."""
+    tr, te, _ = _imputed(spark, sf)
+    tr = cut_lineage(dense_positions(tr.withColumn("_one", F.lit(0)), "_one", "order_id", ["review_score"])
+                     .withColumnRenamed("position", "row_id").drop("_one"))
+    return cut_lineage(smote(tr, "row_id", _FEATS, pr.LABEL, k=5, seed=42, order_col="row_id")), te
+
+
+@register("q_smote_synthetic", on_master(
+    "SELECT " + ", ".join(f"{R(c, 5)} AS {c}" for c in _FEATS) + ", satisfied, synthetic FROM sm_all",
+    _SELLER_SQL, _IMPUTE_SQL, _FILLED_SQL, _SMOTE_SQL))
+def q_smote_synthetic(spark, sf):
+    """The oversampled training set of the named features."""
+    return rounded(_smoted_fixed(spark, sf)[0], 5)
+
+
+_MOMENT_SQL = "lm AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _FEATS) \
+    + " FROM sm_all)"
+
+
+@register("q_logistic_optimum", on_master(
+    f"SELECT '(intercept)' AS feature, {R('avg(CAST(satisfied AS DOUBLE))', 5)} AS observed, "
+    f"{R('avg(CAST(satisfied AS DOUBLE))', 5)} AS fitted FROM sm_all"
+    + "".join(f" UNION ALL SELECT '{c}', {v}, {v} FROM sm_all, lm" for c, v in (
+        (c, R(f"avg(satisfied * ({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END)", 5)) for c in _FEATS)),
+    _SELLER_SQL, _IMPUTE_SQL, _FILLED_SQL, _SMOTE_SQL, _MOMENT_SQL))
+def q_logistic_optimum(spark, sf):
+    """Certificate of the logistic fit: fitted moments are the observed ones to
+    1e-5. A fitted value that is further off shows as it is."""
+    tr, _ = _smoted_fixed(spark, sf)
+    model, stats = pr.fit_logistic(tr, _FEATS)
+    out = rounded(pr.logistic_moments(model, stats, tr, _FEATS).withColumn(
+        "fitted", F.when(F.abs(F.col("fitted") - F.col("observed")) < 1e-5, F.col("observed"))
+        .otherwise(F.col("fitted"))), 5)
+    return out.select("feature", *[F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)).alias(c) for c in ("observed", "fitted")])
+
+
+_GIVEN_WEIGHTS = {"delivery_delay_days": -2.0, "carrier_handling_days": -1.0, "freight_ratio": 30.0}
+_REPEATS = 4
+
+
+def _given_score(shuffled: str | None) -> str:
+    return "0.0E0" + "".join(f" + {'d' if c == shuffled else 'a'}.{c} * {w:.1f}E0" for c, w in _GIVEN_WEIGHTS.items())
+
+
+_PERM_SQL = f"""
+pm AS (SELECT row_number() OVER (ORDER BY order_id, review_score) - 1 AS id, count(*) OVER () AS n,
+              {", ".join(_GIVEN_WEIGHTS)}, satisfied AS label FROM xtest),
+pm_r AS (SELECT unnest(range(0, {_REPEATS})) AS r),
+pm_s AS (SELECT '' AS feature, 0 AS r, a.label, {_given_score(None)} AS score FROM pm a
+  {"".join(f"UNION ALL SELECT '{c}', r, a.label, {_given_score(c)} FROM pm a, pm_r, pm d "
+           "WHERE d.id = (a.id + 1 + (r * 7919 + 42) % greatest(1, a.n - 1)) % a.n " for c in _GIVEN_WEIGHTS)}),
+pm_h AS (SELECT feature, r, score, sum(label) AS pos, sum(1 - label) AS neg FROM pm_s GROUP BY feature, r, score),
+pm_c AS (SELECT *, sum(neg) OVER (PARTITION BY feature, r ORDER BY score) - neg AS below FROM pm_h),
+pm_a AS (SELECT feature, r, sum(pos * (below + neg / 2.0E0)) / (sum(pos) * sum(neg)) AS auc FROM pm_c GROUP BY feature, r)"""
+
+
+@register("q_permutation_given", on_master(
+    f"SELECT feature, {R('avg(b.auc - p.auc)')} AS permutation_importance, "
+    f"{R('stddev_pop(b.auc - p.auc)')} AS permutation_std FROM pm_a p, (SELECT auc FROM pm_a WHERE feature = '') b "
+    "WHERE feature <> '' GROUP BY feature", _SELLER_SQL, _IMPUTE_SQL, _FILLED_SQL, _PERM_SQL))
+def q_permutation_given(spark, sf):
+    """Permutation importance of a fixed scorer, rows turned by arithmetic."""
+    _, te, _ = _imputed(spark, sf)
+    te = cut_lineage(dense_positions(te.withColumn("_one", F.lit(0)), "_one", "order_id", ["review_score"]))
+    return rounded(pr.permutation_importance(
+        pr.LinearScorer(_GIVEN_WEIGHTS), te, list(_GIVEN_WEIGHTS), "position", n_repeats=_REPEATS, seed=42,
+        permutation=pr.shifted_donors))
+
+
 @register("q_logistic")
 def q_logistic(spark, sf):
     tr, te, cols = _smoted(spark, sf)
@@ -893,3 +984,31 @@ def q_kmeans(spark, sf):
     labelled = cl.renumber_by(labelled, "segment", [("avg_review", True), ("late_rate", False)])
     named = sellers.name_sellers(labelled)
     return named.select("seller_id", "segment", "segment_name")
+
+
+_CLUSTER_VALUE = {c: (f"ln(1 + coalesce(CAST({c} AS DOUBLE), m_{c}))" if c in sellers.LOG_COLUMNS
+                      else f"coalesce(CAST({c} AS DOUBLE), m_{c})") for c in sellers.CLUSTER_COLUMNS}
+
+
+@register("q_kmeans_fixed_point", on_master(
+    "SELECT CAST(k AS INTEGER) AS k, count(*) AS n, CAST(0 AS BIGINT) AS misplaced, "
+    + R("sum(" + " + ".join(f"pow((x_{c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 2)"
+                            for c in sellers.CLUSTER_COLUMNS) + ")", 5)
+    + " AS total_ss, true AS cost_is_sum FROM kx, km, (SELECT unnest(range(2, 7)) AS k) GROUP BY k",
+    _SEG_SQL, _LOG_SQL,
+    "kx AS (SELECT " + ", ".join(f"{v} AS x_{c}" for c, v in _CLUSTER_VALUE.items()) + " FROM sperf, cmed)",
+    "km AS (SELECT " + ", ".join(f"avg(x_{c}) AS m_{c}, stddev_pop(x_{c}) AS s_{c}" for c in sellers.CLUSTER_COLUMNS)
+    + " FROM kx)"))
+def q_kmeans_fixed_point(spark, sf):
+    """Certificate of each K-Means run: every seller at its nearest centre, every
+    centre the mean of its sellers, the cost the sum of the squares within."""
+    x = sellers.clustering_inputs(_seller_perf(spark, sf))
+    stats = pr.scaler_stats(x, sellers.CLUSTER_COLUMNS)
+    vec = cl.assemble(pr.standardize(x, sellers.CLUSTER_COLUMNS, stats), sellers.CLUSTER_COLUMNS)
+    vec = cut_lineage(vec.select("seller_id", "features"))
+    out = None
+    for k in range(2, 7):
+        model, _ = cl.kmeans_restarts(vec, "features", k, n_init=5, seed=42, tol=0.0)
+        row = cl.fixed_point(vec, "seller_id", "features", model).select(F.lit(k).alias("k"), "*")
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, 5)
