@@ -69,31 +69,17 @@ def primary_product(summary: DataFrame, products: DataFrame, categories: DataFra
         "order_id", "product_category_name_english", "product_weight_g")
 
 
-def geo_lookup(geolocation: DataFrame, n_buckets: int = 16) -> DataFrame:
-    """Exact median latitude / longitude per zip prefix (NULL zips dropped).
-
-    Both coordinates are unpivoted to ((zip, axis), value) and go through the
-    exact grouped quantile: values are combined per distinct coordinate
-    first and a zip holding a third of all rows is spread over value
-    ranges, instead of one task holding the zip's whole value map.
-    """
-    from routewise.operators.quantiles import grouped_quantile
+def geo_lookup(geolocation: DataFrame) -> DataFrame:
+    """Exact median latitude / longitude per zip prefix (NULL zips dropped; zips
+    whose coordinates are all NULL get a (NULL, NULL) row). Both coordinates go
+    through the same two passes, and a zip holding a third of all rows leaves
+    only the values near its medians to rank."""
+    from routewise.operators.quantiles import quantiles_by_group
 
     zip_col = "geolocation_zip_code_prefix"
-    long = (geolocation.filter(F.col(zip_col).isNotNull())
-            .select(F.explode(F.array(
-                F.struct(F.struct(F.col(zip_col).alias("zip"), F.lit("lat").alias("axis")).alias("g"),
-                         F.col("geolocation_lat").alias("v")),
-                F.struct(F.struct(F.col(zip_col).alias("zip"), F.lit("lng").alias("axis")).alias("g"),
-                         F.col("geolocation_lng").alias("v")))).alias("kv"))
-            .select("kv.g", "kv.v"))
-    med = grouped_quantile(long, "g", "v", 0.5, "m", n_buckets)
-    per_zip = med.groupBy(F.col("g.zip").alias(zip_col)).agg(
-        F.max(F.when(F.col("g.axis") == "lat", F.col("m"))).alias("lat"),
-        F.max(F.when(F.col("g.axis") == "lng", F.col("m"))).alias("lng"))
-    # zips whose coordinates are all NULL still get a (NULL, NULL) row
-    zips = geolocation.filter(F.col(zip_col).isNotNull()).select(zip_col).distinct()
-    return zips.join(per_zip, zip_col, "left")
+    rows = geolocation.filter(F.col(zip_col).isNotNull()).select(
+        zip_col, F.col("geolocation_lat").alias("lat"), F.col("geolocation_lng").alias("lng"))
+    return quantiles_by_group(rows, [zip_col], ["lat", "lng"])
 
 
 def top_values(df: DataFrame, col: str, n: int = 5) -> DataFrame:

@@ -13,11 +13,14 @@ distinct values or a group holding a third of all rows. Here:
 
 Every step is a partitioned aggregate or window; nothing goes through the
 driver and a hot group is spread over ``n_buckets`` tasks.
+
+``quantiles_by_group`` serves several columns in two passes over the rows
+without ranking all values: it ranks only those near the quantile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routewise.operators.rank import grouped_prefix_sums
@@ -64,23 +67,70 @@ def grouped_quantile(df: DataFrame, group_col: str, value_col: str, q: float = 0
     return agg.select(group_col, val.alias(out_col))
 
 
-def _long(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("kv")).select("kv.feature", "kv.value")
+#: Rank error of the approximate bounds is one in so many values; groups of no
+#: more values are ranked whole.
+ACCURACY = 10_000
+#: Groups whose bounds are broadcast (a few numbers each).
+FEW_GROUPS = 200_000
 
 
-def exact_medians(df: DataFrame, cols: list[str], n_buckets: int = 32) -> dict:
-    """Exact median of each column (NULLs skipped; all-NULL -> None).
+def quantiles_by_group(df: DataFrame, group_cols: list[str], cols: list[str], q: float = 0.5,
+                       accuracy: int = ACCURACY) -> DataFrame:
+    """Exact q-quantiles of several columns per group (one row a group, NULLs
+    skipped, NULL where a group has no value): columns ``group_cols`` and ``cols``.
 
-    Columns are unpivoted to (feature, value) so one set of shuffles serves
-    all of them; the (feature, value, count) table is checkpointed for the
-    few passes over it. Returns one scalar per column (a bounded result).
+    One aggregate finds for each group and column an interval around the
+    quantile: two approximate percentiles whose rank error cannot move them past
+    it. The rows are then read once more: values below the interval are only
+    counted, those above it are left out, and those inside (a share of
+    4 / accuracy, or all of a group of at most ``accuracy`` values) are combined by
+    value and ranked. So a group holding a third of all rows leaves one part in
+    2,500 of them to rank, and all columns share both passes.
     """
-    counts = cut_lineage(value_counts(_long(df, cols), "feature", "value"))
-    rows = grouped_quantile(None, "feature", "value", 0.5, "median", n_buckets, counts=counts).collect()
-    got = {r["feature"]: r["median"] for r in rows}
-    return {c: got.get(c) for c in cols}
+    at = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+    values = [F.col(c).cast("double") for c in cols]
+    near = [F.percentile_approx(v, at, accuracy) for v in values]
+    bounds = df.groupBy(*group_cols).agg(
+        F.array(*[F.count(v) for v in values]).alias("_n"),
+        F.array(*[b[0] for b in near]).alias("_low"), F.array(*[b[1] for b in near]).alias("_high"))
+    rows = df.select(*group_cols, F.array(*values).alias("_values"))
+    if group_cols:
+        bounds = cut_lineage(bounds)  # read twice; one row a group
+        few = bounds.count() <= FEW_GROUPS
+        rows = rows.join(F.broadcast(bounds) if few else bounds, group_cols)
+    else:
+        row = bounds.first()  # three numbers a column
+        rows = rows.select("_values", *[F.lit(row[c]).cast(t).alias(c) for c, t in (
+            ("_n", "array<bigint>"), ("_low", "array<double>"), ("_high", "array<double>"))])
+
+    # one row for each value: below the interval it is counted under null
+    v, n = F.col("_v"), F.get("_n", F.col("_i"))
+    whole = n <= accuracy
+    counts = rows.select(*group_cols, "_n", "_low", "_high", F.posexplode("_values").alias("_i", "_v")) \
+        .where(v.isNotNull() & (whole | (v <= F.get("_high", F.col("_i"))))) \
+        .select(*group_cols, "_i", F.when(whole | (v >= F.get("_low", F.col("_i"))), v).alias("_v"), n.alias("_n")) \
+        .groupBy(*group_cols, "_i", "_v", "_n").agg(F.count(F.lit(1)).alias("_rows"))
+    if group_cols:
+        counts = counts.repartition(*group_cols)
+    w = Window.partitionBy(*group_cols, "_i").orderBy(F.col("_v").asc_nulls_first())  # null: all below
+    ranked = counts.withColumn("_to", F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    h = (F.col("_n") - 1) * F.lit(q)
+
+    def covering(p):
+        return F.when((F.col("_to") - F.col("_rows") <= p) & (p < F.col("_to")), F.col("_v"))
+
+    found = ranked.groupBy(*group_cols, "_i").agg(
+        F.max(h - F.floor(h)).alias("_f"), F.max(covering(F.floor(h))).alias("_lo"), F.max(covering(F.ceil(h))).alias("_hi"))
+    result = F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))
+    wide = found.groupBy(*group_cols).agg(*[F.max(F.when(F.col("_i") == i, result)).alias(c) for i, c in enumerate(cols)])
+    return bounds.select(*group_cols).join(wide, group_cols, "left") if group_cols else wide
+
+
+def exact_medians(df: DataFrame, cols: list[str], n_buckets: int = 32) -> dict:
+    """Exact median of each column (NULLs skipped; all-NULL -> None): one scalar
+    per column, a bounded result."""
+    row = quantiles_by_group(df, [], list(cols)).first()
+    return {c: row[c] for c in cols}
 
 
 def medians_row(df: DataFrame, cols: list[str], n_buckets: int = 32) -> DataFrame:

@@ -34,13 +34,15 @@ class Prepared:
 
 def prepare(tables: Tables, train_frac: float = 0.8) -> Prepared:
     """Clean, merge, engineer features (5 category dummies), split by time."""
-    # the merged table is written once as Parquet; the 5 category names and the
-    # row-local features are then cheap, column-pruned passes over it
+    # the merged table is written once as Parquet for the 5 category names and the
+    # split's histograms, the featured and labelled one for all analyses, which
+    # then read the columns and the part they need
     base = save_table(build_master(tables))
-    master = engineer_features(base, top_category_names(base))
-    labelled = chronological_split(master, train_frac=train_frac, materialize=False)
+    featured = engineer_features(base, top_category_names(base))
+    labelled = save_table(chronological_split(featured, train_frac=train_frac, materialize=False)
+                          .withColumn("is_train", F.col("is_train").cast("int")), "is_train")
     return Prepared(
-        master=master,
+        master=labelled.drop("is_train"),
         train=labelled.filter(F.col("is_train") == 1).drop("is_train"),
         test=labelled.filter(F.col("is_train") == 0).drop("is_train"),
         geo=geo_lookup(tables.geolocation),

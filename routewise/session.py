@@ -115,7 +115,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def save_table(df: DataFrame) -> DataFrame:
+def save_table(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet into the shared checkpoint folder and read
     back: survives lost executors like a checkpoint, and later scans read only
     the columns and row groups they need. The files of a session are removed
@@ -128,7 +128,7 @@ def save_table(df: DataFrame) -> DataFrame:
         sc._routewise_tables = folder
         atexit.register(_remove_folder, sc, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.parquet(path)
 
 

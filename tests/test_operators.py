@@ -215,7 +215,7 @@ def test_geo_lookup_hot_zip_matches_pandas(spark):
     rows += [(z, float(rnd.normal(-10, 1)), float(rnd.normal(-40, 1))) for z in range(1, 6) for _ in range(3)]
     rows += [(9, None, None)]
     df = spark.createDataFrame(rows, "geolocation_zip_code_prefix int, geolocation_lat double, geolocation_lng double")
-    got = {r[0]: (r.lat, r.lng) for r in geo_lookup(df, n_buckets=8).collect()}
+    got = {r[0]: (r.lat, r.lng) for r in geo_lookup(df).collect()}
     ref = pd.DataFrame(rows, columns=["z", "lat", "lng"]).groupby("z").median()
     assert set(got) == set(ref.index)
     for z, (lat, lng) in got.items():
@@ -282,3 +282,35 @@ def test_spearman_matches_numpy_and_propagates_missing(spark):
     with_gap = df.union(spark.createDataFrame([(None, 1.0)], "x double, y double"))
     assert spearman(with_gap, "x", "y").first().rho is None
     assert abs(spearman(with_gap, "x", "y", propagate_missing=False).first().rho - expect) < 1e-12
+
+
+def test_quantiles_by_group_match_numpy(spark):
+    """Small groups, groups beyond the accuracy (ranked near the quantile only),
+    hot values, nulls and groups without values."""
+    import numpy as np
+    from routewise.operators.quantiles import quantiles_by_group
+
+    r = np.random.default_rng(3)
+    rows = [(g, float(v), None if k % 7 == 0 else float(round(v, 1))) for g, n in ((0, 1), (1, 2), (2, 90), (3, 2500))
+            for k, v in enumerate(r.exponential(5, n))]
+    rows += [(4, 3.0, 1.0)] * 900 + [(4, float(k), None) for k in range(300)] + [(5, None, None)] * 3
+    df = spark.createDataFrame(rows, "g int, a double, b double").repartition(5)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = {m.g: (m.a, m.b) for m in quantiles_by_group(df, ["g"], ["a", "b"], q, accuracy=50).collect()}
+        for g in range(6):
+            for i in (1, 2):
+                v = [x[i] for x in rows if x[0] == g and x[i] is not None]
+                want = float(np.quantile(v, q)) if v else None
+                assert got[g][i - 1] == want or abs(got[g][i - 1] - want) < 1e-9, (g, i, q)
+        whole = quantiles_by_group(df, [], ["a", "b"], q, accuracy=50).first()
+        assert abs(whole.a - np.quantile([x[1] for x in rows if x[1] is not None], q)) < 1e-9
+
+
+def test_geo_lookup_exchanges(spark):
+    from routewise.operators.orders import geo_lookup
+    df = spark.range(500).selectExpr("id % 9 AS geolocation_zip_code_prefix", "id * 0.5D AS geolocation_lat",
+                                     "CAST(NULL AS DOUBLE) AS geolocation_lng")
+    out = geo_lookup(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") <= 3  # and one for the bounds, before
+    assert all(r.lat is not None and r.lng is None for r in out.collect())
