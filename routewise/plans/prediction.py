@@ -36,9 +36,10 @@ def as_features(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFra
                      F.col(LABEL).cast("int").alias(LABEL))
 
 
-def impute_medians(train: DataFrame, test: DataFrame, cols: list[str]):
-    """Fill NULL features with the exact *training* medians, in both parts."""
-    meds = medians_row(train, cols)
+def impute_medians(train: DataFrame, test: DataFrame, cols: list[str], rank_error: float | None = None):
+    """Fill NULL features with the *training* medians, in both parts: exact ones,
+    or approximate ones where a ``rank_error`` is given."""
+    meds = medians_row(train, cols, rank_error=rank_error)
     return fill_with(train, meds, cols), fill_with(test, meds, cols), meds
 
 

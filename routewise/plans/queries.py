@@ -25,6 +25,7 @@ from routewise.operators.orders import (
 from routewise.operators import cluster as cl
 from routewise.operators import evaluate as ev
 from routewise.operators.pairwise import knn, silhouette_score
+from routewise.operators.quantiles import medians_row
 from routewise.operators.smote import dense_positions, draws_sql, smote, stratified_folds
 from routewise.operators.split import chronological_split, split_summary
 from routewise.plans import corridors, eda, sellers
@@ -658,6 +659,22 @@ def q_impute_median(spark, sf):
     return rounded(meds.select(F.stack(F.lit(len(_FEATS)), *pairs).alias("feature", "median")))
 
 
+@register("q_sketch_medians", on_master(
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, true AS within FROM train_f" for c in _FEATS),
+    _SELLER_SQL))
+def q_sketch_medians(spark, sf):
+    """Approximate medians (rank error 0.01) and whether their ranks hold to it."""
+    tr, _ = _seller_featured(spark, sf)
+    tr = cut_lineage(pr.as_features(tr, _FEATS))
+    med = medians_row(tr, _FEATS, rank_error=0.01).first()
+    counted = tr.agg(*[F.struct(F.count(c).alias("n"), F.count(F.when(F.col(c) < med[c], 1)).alias("below"),
+                                F.count(F.when(F.col(c) <= med[c], 1)).alias("upto")).alias(c) for c in _FEATS])
+    rows = counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in _FEATS])).alias("m"))
+    n = F.col("m.r.n")
+    return rows.select("m.feature", n.alias("n"),
+                       ((F.col("m.r.below") <= 0.51 * n) & (F.col("m.r.upto") >= 0.49 * n)).alias("within"))
+
+
 @register("q_feature_matrix", on_master(
     "SELECT order_id, review_score, 1 AS is_train, " + ", ".join(f"{R(c)} AS {c}" for c in _FEATS)
     + ", satisfied FROM xtrain UNION ALL SELECT order_id, review_score, 0, "

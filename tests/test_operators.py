@@ -314,3 +314,21 @@ def test_geo_lookup_exchanges(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hash") <= 3  # and one for the bounds, before
     assert all(r.lat is not None and r.lng is None for r in out.collect())
+
+
+def test_sketch_quantiles_hold_their_rank_error(spark):
+    from pyspark.sql import functions as F
+    from routewise.operators.quantiles import medians_row, merged_sketches, sketch_quantiles, sketch_size, sketches
+
+    assert sketch_size(0.0133) in range(195, 206) and sketch_size(0.001) > 2000
+    n = 10_000_000  # the value of row k is a permutation of 0 .. n - 1
+    df = spark.range(n).select(((F.col("id") * 7919 + 13) % n).cast("double").alias("v"), (F.col("id") % 4).alias("g"),
+                               F.lit(None).cast("double").alias("none"))
+    stored = sketches(df, ["g"], ["v", "none"], rank_error=0.005)
+    whole = merged_sketches(stored, [], ["v", "none"])
+    for q in (0.1, 0.5, 0.99):
+        row = sketch_quantiles(whole, [], ["v", "none"], q).first()
+        assert abs(row.v / n - q) <= 0.005 and row.none is None
+    assert sketch_quantiles(stored, ["g"], ["v"]).count() == 4
+    row = medians_row(df.where("v < 1001"), ["v", "none"], rank_error=0.01).first()
+    assert abs(row.v - 500) <= 10 and row.none is None
