@@ -310,4 +310,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """``score_texts`` of all documents: null and empty texts are only an end,
+    repeated rows are scored alike, null ids count as the empty text in the fold,
+    an empty table gives an empty one."""
     return score_texts(docs.select("doc_id", "text"))

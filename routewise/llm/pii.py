@@ -227,8 +227,8 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()),
 
 def find_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``spans``: array of (kind, start, end), code points, end
-    exclusive, ordered by kind as in KINDS and by start. Spans of one kind do
-    not overlap, spans of two kinds may. Null and empty texts have none; a
+    exclusive, ordered by kind as in KINDS and by start. Spans of a base
+    kind do not overlap, those of two kinds, of url and of account may. Null and empty texts have none; a
     column ``spans`` already there is replaced."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
