@@ -80,7 +80,7 @@ from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from routewise.operators import boosting  # noqa: E402
 from routewise.operators.evaluate import grouped_auc  # noqa: E402
-from routewise.operators.smote import dense_positions, stratified_folds  # noqa: E402
+from routewise.operators.smote import dense_positions, smote_inside_folds, stratified_folds  # noqa: E402
 from routewise.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 
 # The boosted-tree search space (972 combinations).
@@ -209,20 +209,29 @@ def sample_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
 
 
 def tune_boosted(train: DataFrame, cols: list[str], grid: dict = REFERENCE_GRID, n_iter: int = 20,
-                 n_folds: int = 5, seed: int = 42, label: str = LABEL, folder: str | None = None):
+                 n_folds: int = 5, seed: int = 42, label: str = LABEL, folder: str | None = None,
+                 oversample_inside: bool = False):
     """(search, model): randomised search over ``grid`` scored by F1 of class 1 on
     stratified folds, and the best point's model on all rows.
 
     The search is saved below ``folder`` (by default in the shared checkpoint
     folder, under the name of its data and settings), so the same search is never
     run twice and a killed one goes on. Rows are known by their content, so the
-    order in which they come does not matter."""
+    order in which they come does not matter. ``train`` is the oversampled set, as
+    in the original; with ``oversample_inside`` it is the real rows, and each fold
+    left out has synthetic rows of the others only, so none looks at it."""
     rows = train.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(label).cast("int").alias(label))
     rows = cut_lineage(rows.withColumn("_key", F.xxhash64(*cols, label, F.lit(seed))))
     points = sample_grid(grid, n_iter, seed)
     folder = folder or (f"{ensure_checkpoint_dir(train.sparkSession)}/search-"
-                        f"{boosting.data_key(rows, points, n_folds, seed)}")
+                        f"{boosting.data_key(rows, points, n_folds, seed, oversample_inside)}")
     folded = cut_lineage(stratified_folds(rows, label, "_key", cols, n_folds))
+    if oversample_inside:
+        numbered = cut_lineage(folded.withColumn("_id", F.monotonically_increasing_id()))
+        more = smote_inside_folds(numbered, "_id", cols, label, "fold", n_folds, seed=seed)
+        folded = cut_lineage(more.select(
+            *cols, label, F.xxhash64(*cols, label, F.lit(seed)).alias("_key"),
+            F.coalesce("fold", F.col("for_fold") + boosting.ONLY_FOR).cast("int").alias("fold")))
     found = boosting.search(folded, cols, folder, points, "_key", label, "fold", n_folds, seed)
     return found, boosting.BoostedTrees(found.nodes, cols)
 
