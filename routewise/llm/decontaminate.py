@@ -1,39 +1,53 @@
-"""Benchmark decontamination with a positional inverted index.
-
-The training side is a document-partitioned index: every task inverts its own
-slice of documents into postings (term, document, position), so index and
-search work grow with the input and no shuffle is needed. The test side is cut
-into windows of terms. A window starts from the postings of its rarest term,
-shifted back by the term's offset, and is intersected with the shifted lists
-of its other terms from the rarest up: what remains are exact phrase matches.
-With ``slack`` above 0 the lists also meet within that many positions, which
-gives proximity matches.
-
-Benchmarks are read in groups of bounded size, and each group's windows travel
-with the tasks; a large benchmark means more groups, not larger ones.
+"""Benchmark decontamination with a distributed positional inverted index.
+
+The training side is inverted once and stored: tasks cut the texts into slices and
+write one posting list a term and slice (the gaps between its positions) beside a
+directory of the slice's texts. A frequent term is thereby one bounded list in each
+slice, never one long one. The index knows nothing of the benchmark and serves any
+number of them.
+
+The test side is a table of windows of terms. Corpus-wide counts from the index order
+a window's terms by rarity, and the window is sent to the slices that hold its rarest
+term, where that list, shifted back by the term's offset, is intersected with the
+shifted lists of the other terms from the rarest up. What remains are exact phrase
+matches; with ``slack`` above 0 lists also meet within that many positions of the
+same text, which gives proximity matches. Nothing of the benchmark or the corpus
+passes through the driver.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import byte_values, list_array, opened, sealed, sealed_name, text_slices, with_arrays, with_fields
+from routewise.session import save_table
+
+from .common import byte_values, list_array, opened, sealed, sealed_name, text_slices
 
 WINDOW = 10
-#: Bytes of documents inverted at a time, and of benchmark text in one group.
+#: Bytes of documents in one slice of the index, and of windows searched in it at a time.
 SLICE_BYTES = 4 << 20
 GROUP_BYTES = 8 << 20
+#: Places looked at together while lists are intersected, and windows in one batch.
+PLACES = 1 << 20
+BATCH_WINDOWS = 1 << 14
 
 #: A-Z lowered; bytes that are no part of a word become spaces.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32
     for b in range(256))
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
+#: The term of a slice's directory row: no word is empty.
+_DIRECTORY = b""
+_KEY_BYTES = 16
 
 MATCH = T.StructType([
     T.StructField("item_id", T.StringType()), T.StructField("start", T.IntegerType()),
@@ -44,111 +58,210 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-@dataclass
-class Windows:
-    """Windows of the items of one group, as rows of term numbers (-1 pads)."""
-    vocabulary: dict[bytes, int]
-    terms: np.ndarray
-    length: np.ndarray
-    item: np.ndarray
-    items: list[str]
-
-
-def cut_windows(rows: list[tuple[str, bytes]], size: int) -> Windows:
-    vocabulary: dict[bytes, int] = {}
-    items: dict[str, int] = {}
-    seen: dict[tuple[int, ...], None] = {}
-    for item_id, text in rows:
-        tokens = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
-        if tokens:
-            item = items.setdefault(item_id, len(items))
-            for at in range(max(1, len(tokens) - size + 1)):
-                seen[(item, *tokens[at:at + size])] = None
-    terms = np.full((len(seen), size), -1, np.int32)
-    for row, key in zip(terms, seen):
-        row[:len(key) - 1] = key[1:]
-    return Windows(vocabulary, terms, (terms >= 0).sum(axis=1),
-                   np.fromiter((k[0] for k in seen), np.int64, len(seen)), list(items))
-
-
-def _postings(ids: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions sorted by term and position, start of each term's list)."""
-    at = np.flatnonzero(ids >= 0)
-    order = at[np.argsort(ids[at], kind="stable")]
-    return order, np.searchsorted(ids[order], np.arange(n_terms + 1))
-
-
-def search(ids: np.ndarray, w: Windows, slack: int = 0):
-    """Matches of all windows in one slice: (window, start) of exact phrases
-    and of proximity matches. ``ids`` holds the slice's term numbers, -1 for
-    terms outside the benchmark, with gaps between documents."""
-    n_terms = len(w.vocabulary)
-    order, lists = _postings(ids, n_terms)
-    if not len(order) or not len(w.terms):
-        none = np.zeros(0, np.int64)
-        return (none, none), (none, none)
-    size = np.append(np.diff(lists), np.iinfo(np.int64).max)  # padding is never rarest
-    by_rarity = np.argsort(size[w.terms], axis=1, kind="stable")
-    rows = np.arange(len(w.terms))
-    first = by_rarity[:, 0]
-    lead = w.terms[rows, first]
-    n = size[lead]
-    window = np.repeat(rows, n)
-    at = np.repeat(lists[lead] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-    start = order[at] - first[window]
-    inside = (start >= 0) & (start + w.length[window] <= len(ids))
-    window, start = window[inside], start[inside]
-    near_window, near_start = window, start
-    for k in range(1, w.terms.shape[1]):
-        offset = by_rarity[window, k]
-        term = w.terms[window, offset]
-        hit = term < 0
-        hit |= ids[np.where(hit, 0, start + offset)] == term
-        window, start = window[hit], start[hit]
-    if not slack:
-        none = np.zeros(0, np.int64)
-        return (window, start), (none, none)
-    # the lists as one sorted array of (term, position), to look for the nearest
-    # posting of a term at or after the first position that is near enough
-    width = len(ids) + 2 * slack + w.terms.shape[1] + 1
-    keys = ids[order].astype(np.int64) * width + order
-    for k in range(1, w.terms.shape[1]):
-        offset = by_rarity[near_window, k]
-        term = w.terms[near_window, offset].astype(np.int64)
-        low = np.maximum(near_start + offset - slack, 0)
-        found = np.searchsorted(keys, term * width + low)
-        key = keys[np.minimum(found, len(keys) - 1)]
-        hit = (term < 0) | (found < len(keys)) & (key // width == term) \
-            & (key % width <= near_start + offset + slack)
-        near_window, near_start = near_window[hit], near_start[hit]
-    return (window, start), (near_window, near_start)
-
-
-def _merged(doc, item, start, stop, exact):
-    """Overlapping or touching spans of one document and item joined."""
-    if not len(doc):
-        return doc, item, start, stop, exact
-    order = np.lexsort((start, exact, item, doc))
-    doc, item, start, stop, exact = (x[order] for x in (doc, item, start, stop, exact))
-    same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (exact[1:] == exact[:-1])
-    group = np.concatenate([[0], np.cumsum(~same)])
-    shift = group * (int(stop.max()) + 2)  # keeps the running maximum inside its group
-    reach = np.maximum.accumulate(stop + shift)
-    fresh = np.concatenate([[True], ~same | (start[1:] + shift[1:] > reach[:-1])])
-    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(doc) - 1)
-    return doc[fresh], item[fresh], start[fresh], reach[last] - shift[last], exact[fresh]
-
-
-def _benchmark_groups(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items in groups of about GROUP_BYTES of text."""
+def text_key(text: Column) -> Column:
+    """128-bit digest of a text: rows of equal text share their matches."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+# --- the index of the training side -----------------------------------------
+
+def build_index(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The stored index: (slice, term, n, gaps, texts). ``gaps`` are the differences
+    of the term's positions in the slice, whose texts lie end to end; ``n`` is their
+    number. In the row of the empty term they are the texts' lengths in words, and
+    ``texts`` holds the texts' keys one after another."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for part in text_slices(batches, "text", SLICE_BYTES):
+            tokens = [words(t) for t in byte_values(part.column("text"))]
+            lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            if not lengths.any():
+                continue
+            terms: defaultdict[bytes, int] = defaultdict()
+            terms.default_factory = terms.__len__
+            ids = np.fromiter(map(terms.__getitem__, chain.from_iterable(tokens)), np.int32, int(lengths.sum()))
+            sizes = np.bincount(ids)
+            places = np.argsort(ids, kind="stable")
+            first = np.cumsum(sizes) - sizes
+            gaps = np.diff(places, prepend=0)
+            gaps[first] = places[first]
+            keys = b"".join(k or bytes(_KEY_BYTES) for k in part.column("key").to_pylist())
+            sizes = np.append(sizes, len(lengths))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(sizes), number)), pa.array([*terms, _DIRECTORY], pa.binary()),
+                 pa.array(sizes), list_array(pa.array(np.concatenate([gaps, lengths]), pa.int32()), sizes),
+                 pa.array([None] * len(terms) + [keys], pa.binary())],
+                ["slice", "term", "n", "gaps", "texts"])
+            number += 1
+
+    column = F.col(f"`{text}`")
+    rows = docs.select(column.cast("string").alias("text"), text_key(column).alias("key"))
+    return save_table(rows.mapInArrow(run, "slice long, term binary, n long, gaps array<int>, texts binary"))
+
+
+# --- the windows of the test side --------------------------------------------
+
+def cut_windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """Distinct (item_id, phrase, terms): runs of ``size`` words of each item, or the
+    whole of a shorter one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", SLICE_BYTES):
+            for item, text in zip(part.column("item_id").to_pylist(), byte_values(part.column("text"))):
+                tokens = words(text)
+                n = max(1, len(tokens) - size + 1) if tokens else 0
+                for at in range(0, n, BATCH_WINDOWS):
+                    rows = [tokens[k:k + size] for k in range(at, min(n, at + BATCH_WINDOWS))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item] * len(rows), pa.string()),
+                         pa.array([b" ".join(r) for r in rows], pa.binary()),
+                         pa.array(rows, pa.list_(pa.binary()))], ["item_id", "phrase", "terms"])
+
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"),
                              F.col("text").cast("string").alias("text")) \
         .where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = int(total // GROUP_BYTES) + 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r.item_id, r.text.encode()) for r in part.distinct().collect()]
+    return items.mapInArrow(run, "item_id string, phrase binary, terms array<binary>").distinct()
+
+
+def by_rarity(phrases: DataFrame, lists: DataFrame) -> DataFrame:
+    """(phrase, lead, places): the rarest term of each phrase and the places of all
+    its terms from the rarest up. Phrases with a term that no text holds are gone."""
+    counts = lists.groupBy("term").agg(F.sum("n").alias("count"))
+    return phrases.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term")) \
+        .join(counts, "term").groupBy("phrase") \
+        .agg(F.array_sort(F.collect_list(F.struct("count", "place", "term"))).alias("ranked"),
+             F.first("length").alias("length")) \
+        .where(F.size("ranked") == F.col("length")) \
+        .select("phrase", F.col("ranked")[0]["term"].alias("lead"), F.col("ranked.place").alias("places"))
+
+
+# --- intersection ---------------------------------------------------------------
+
+@dataclass
+class Slice:
+    """Posting lists of one slice: keys (term number * width + position), ascending."""
+    number: dict[bytes, int]
+    keys: np.ndarray
+    lists: np.ndarray  # start of each term's keys
+    width: int
+    begins: np.ndarray  # first position of each text, and the end of the last
+    texts: bytes
+
+    @classmethod
+    def read(cls, rows: pa.Table) -> Slice:
+        terms = rows["term"].to_pylist()
+        gaps = rows["gaps"].combine_chunks()
+        sizes = gaps.value_lengths().to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        flat = gaps.flatten().to_numpy().astype(np.int64)
+        at = terms.index(_DIRECTORY)
+        begins = np.concatenate([[0], np.cumsum(flat[ends[at] - sizes[at]:ends[at]])])
+        reach = np.cumsum(flat)
+        place = reach - np.repeat(reach[ends - sizes] - flat[ends - sizes], sizes)
+        width = int(begins[-1]) + 1
+        listed = np.arange(len(terms)) != at
+        term = np.cumsum(listed) - 1
+        keep = np.repeat(listed, sizes)
+        keys = (np.repeat(term, sizes) * width + place)[keep]
+        return cls({t: int(k) for t, k, real in zip(terms, term, listed) if real}, keys,
+                   np.concatenate([[0], np.cumsum(sizes[listed])]), width, begins, rows["texts"][at].as_py())
+
+
+def _table_of(part: Slice, phrases: list[bytes], places: list[list[int]]):
+    """(row of the phrase, its term numbers from the rarest up, their offsets), -1
+    pads; phrases with a term outside the slice are left out."""
+    rows, terms, offsets = [], [], []
+    for k, (phrase, order) in enumerate(zip(phrases, places)):
+        found = [part.number.get(w, -1) for w in phrase.split(b" ")]
+        if -1 not in found:
+            rows.append(k)
+            terms.append([found[p] for p in order])
+            offsets.append(order)
+    width = max(map(len, terms), default=1)
+    pad = lambda lists: np.array([x + [-1] * (width - len(x)) for x in lists], np.int64).reshape(-1, width)
+    return np.array(rows, np.int64), pad(terms), pad(offsets)
+
+
+def intersect(part: Slice, terms: np.ndarray, offsets: np.ndarray, slack: int) \
+        -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, text, place of the window's first word, in the slice) where all terms
+    of a window stand within ``slack`` of their place beside its rarest one, in one
+    text; the lists of the rarest terms are read in bounded portions."""
+    size = np.diff(part.lists)[terms[:, 0]]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    for low in range(0, total, PLACES):
+        at = np.arange(low, min(total, low + PLACES))
+        window = np.searchsorted(ends, at, side="right")
+        lead = terms[window, 0]
+        place = part.keys[part.lists[lead] + at - (ends - size)[window]] - lead * part.width
+        text = np.searchsorted(part.begins, place, side="right") - 1
+        start = place - offsets[window, 0]
+        for k in range(1, terms.shape[1]):
+            term = terms[window, k]
+            wanted = start + offsets[window, k]
+            least = np.maximum(wanted - slack, part.begins[text])
+            most = np.minimum(wanted + slack, part.begins[text + 1] - 1)
+            found = np.searchsorted(part.keys, term * part.width + least)
+            key = part.keys[np.minimum(found, len(part.keys) - 1)]
+            hit = (term < 0) | ((found < len(part.keys)) & (least <= most)
+                                & (key >= term * part.width + least) & (key <= term * part.width + most))
+            window, text, start = window[hit], text[hit], start[hit]
+        yield window, text, start
+
+
+def _search(slack: int):
+    kinds = [(0, True), (slack, False)] if slack else [(0, True)]
+
+    def run(key: tuple[pa.Scalar, ...], lists: pa.Table, wanted: pa.Table) -> pa.Table:
+        out = {"key": [], "phrase": [], "start": [], "stop": [], "exact": []}
+        phrases = wanted["phrase"].to_pylist()
+        if phrases and lists.num_rows:
+            part = Slice.read(lists)
+            rows, terms, offsets = _table_of(part, phrases, wanted["places"].to_pylist())
+            length = (terms >= 0).sum(axis=1)
+            for width, exact in kinds:
+                for window, text, start in intersect(part, terms, offsets, width):
+                    low, high = part.begins[text], part.begins[text + 1]
+                    out["key"] += [part.texts[t:t + _KEY_BYTES] for t in (text * _KEY_BYTES).tolist()]
+                    out["phrase"] += [phrases[r] for r in rows[window].tolist()]
+                    out["start"].append(np.maximum(start, low) - low)
+                    out["stop"].append(np.minimum(start + length[window], high) - low)
+                    out["exact"].append(np.full(len(window), exact))
+        flat = lambda lists, kind: pa.array(np.concatenate(lists) if lists else [], kind)
+        return pa.table({
+            "key": pa.array(out["key"], pa.binary()), "phrase": pa.array(out["phrase"], pa.binary()),
+            "start": flat(out["start"], pa.int32()), "stop": flat(out["stop"], pa.int32()),
+            "exact": flat(out["exact"], pa.bool_())})
+    return run
+
+
+def search_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0) -> DataFrame:
+    """(key, matches) of each text with a match: ``matches`` is an array of (item_id,
+    start, stop, exact), overlapping or touching spans of an item joined."""
+    windows = save_table(cut_windows(benchmark, window))
+    size = windows.agg(F.sum(F.octet_length("phrase"))).head()[0] or 0
+    groups = int(size // GROUP_BYTES) + 1
+    group = F.pmod(F.xxhash64("phrase"), F.lit(groups))
+    phrases = windows.select("phrase", "terms").dropDuplicates(["phrase"])
+    vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
+    lists = index.join(vocabulary, "term", "left_semi")
+    routed = by_rarity(phrases, lists.select("term", "n")) \
+        .join(index.select(F.col("term").alias("lead"), "slice"), "lead") \
+        .select("slice", group.alias("group"), "phrase", "places")
+    posted = lists.unionByName(index.where(F.col("term") == F.lit(bytearray(_DIRECTORY)))) \
+        .select("slice", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("group"),
+                "term", "gaps", "texts")
+    hits = posted.groupBy("slice", "group").cogroup(routed.groupBy("slice", "group")).applyInArrow(
+        _search(slack), "key binary, phrase binary, start int, stop int, exact boolean").distinct()
+    spans = hits.join(windows.select("phrase", "item_id"), "phrase") \
+        .select("key", "item_id", "exact", "start", "stop").distinct()
+    along = Window.partitionBy("key", "item_id", "exact").orderBy("start", "stop")
+    before = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    merged = spans.withColumn("fresh", F.coalesce((F.col("start") > before).cast("int"), F.lit(1))) \
+        .withColumn("run", F.sum("fresh").over(along)).groupBy("key", "item_id", "exact", "run") \
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return merged.groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("item_id", "start", "stop", "exact"))).alias("matches"))
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text",
@@ -159,51 +272,17 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
     An item shorter than ``window`` words is one window; items without words,
     and with null id or text, match nothing. A null or empty text has no words.
-    Repeated items count once, repeated documents each on their own."""
-    out = docs
-    for rows in _benchmark_groups(benchmark):
-        out = _match_group(out, cut_windows(rows, window), text, slack, window)
-    return out
-
-
-def _match_group(df: DataFrame, w: Windows, text: str, slack: int, size: int) -> DataFrame:
-    earlier = "matches" in df.columns and df.schema["matches"].dataType.simpleString() \
-        == T.ArrayType(MATCH).simpleString()
-    gap = size + 2 * slack + 1  # unused positions between documents
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = w.vocabulary.get
-        names = np.array([*w.items, ""], dtype=object)
-        for part in text_slices(batches, text, SLICE_BYTES):
-            tokens = [words(t) for t in byte_values(part.column(text))]
-            counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            begins = np.concatenate([[0], np.cumsum(counts[:-1] + gap)]).astype(np.int64)
-            ids = np.full(int(begins[-1] + counts[-1]) + gap, -1, np.int32)
-            flat = np.fromiter(map(number, chain.from_iterable(tokens), repeat(-1)),
-                               np.int32, int(counts.sum()))
-            ids[np.arange(len(flat)) + np.repeat(begins - np.cumsum(counts) + counts, counts)] = flat
-            exact, near = search(ids, w, slack)
-            found = np.concatenate([exact[0], near[0]])
-            start = np.concatenate([exact[1], near[1]])
-            kind = np.repeat([True, False], [len(exact[0]), len(near[0])])
-            doc = np.searchsorted(begins, start, side="right") - 1
-            start = start - begins[doc]
-            doc, item, start, stop, kind = _merged(
-                doc, w.item[found], start, start + w.length[found], kind)
-            matches = pa.StructArray.from_arrays(
-                [pa.array(names[item].tolist(), pa.string()), pa.array(start, pa.int32()),
-                 pa.array(np.minimum(stop, counts[doc]) if len(doc) else stop, pa.int32()),
-                 pa.array(kind, pa.bool_())], ["item_id", "start", "stop", "exact"])
-            yield with_arrays(
-                part, n_words=pa.array(counts, pa.int64()),
-                **{column: list_array(matches, np.bincount(doc, minlength=len(counts)))})
-
-    column = "new_matches" if earlier else "matches"
-    schema = with_fields(df.schema, ("n_words", T.LongType()), (column, T.ArrayType(MATCH)))
-    out = df.mapInArrow(run, schema)
-    if earlier:
-        out = out.withColumn("matches", F.concat("matches", "new_matches")).drop("new_matches")
-    return out
+    Repeated items count once, repeated documents each on their own. Columns named
+    ``n_words`` or ``matches`` are replaced."""
+    found = save_table(search_index(build_index(docs, text), benchmark, window, slack))
+    rows = sealed(docs)
+    column = F.col(sealed_name(docs, text))
+    rows = rows.withColumn("key", text_key(column)).withColumn(
+        "n_words", F.coalesce(F.regexp_count(column, F.lit(_WORD)), F.lit(0)).cast("long"))
+    kept = [(k, c) for k, c in enumerate(docs.columns) if c.lower() not in ("n_words", "matches")]
+    return rows.join(found, "key", "left").select(
+        *[F.col(f"c{k}").alias(c) for k, c in kept], "n_words",
+        F.coalesce("matches", F.array().cast(T.ArrayType(MATCH))).alias("matches"))
 
 
 def hit_words(matches) -> F.Column:
@@ -227,12 +306,15 @@ def contaminated_items(matches) -> F.Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                   window: int = WINDOW) -> DataFrame:
     """The documents without any exact phrase match; columns stay as they are."""
-    found = find_matches(sealed(docs), benchmark, sealed_name(docs, text), window)
-    return opened(found.where(F.size("matches") == 0), docs.columns)
+    found = save_table(search_index(build_index(docs, text), benchmark, window))
+    rows = sealed(docs).withColumn("key", text_key(F.col(sealed_name(docs, text))))
+    return opened(rows.join(found.select("key"), "key", "left_anti"), docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: words, words hit, items found and their digest."""
+    """Per document: words, words hit, items found and their digest. Null and empty
+    texts have no words, repeated rows are judged alike, an empty table gives an empty
+    one, an empty benchmark hits nothing."""
     found = find_matches(docs.select("doc_id", "text"), benchmark)
     items = contaminated_items(F.col("matches"))
     return found.select(
