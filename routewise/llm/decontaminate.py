@@ -66,10 +66,11 @@ def text_key(text: Column) -> Column:
 # --- the index of the training side -----------------------------------------
 
 def build_index(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The stored index: (slice, term, n, gaps, texts). ``gaps`` are the differences
-    of the term's positions in the slice, whose texts lie end to end; ``n`` is their
-    number. In the row of the empty term they are the texts' lengths in words, and
-    ``texts`` holds the texts' keys one after another."""
+    """The stored index: (slice, term, gaps, texts, once). ``gaps`` are the differences
+    of the term's positions in the slice, whose texts lie end to end. In the row of the
+    empty term they are the texts' lengths in words, and ``texts`` holds the texts' keys
+    one after another. Terms that a slice holds once share rows without a ``term``:
+    ``once`` lists them with spaces between, ``gaps`` their positions."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for part in text_slices(batches, "text", SLICE_BYTES):
@@ -77,26 +78,57 @@ def build_index(docs: DataFrame, text: str = "text") -> DataFrame:
             lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
             if not lengths.any():
                 continue
-            terms: defaultdict[bytes, int] = defaultdict()
-            terms.default_factory = terms.__len__
-            ids = np.fromiter(map(terms.__getitem__, chain.from_iterable(tokens)), np.int32, int(lengths.sum()))
+            numbers: defaultdict[bytes, int] = defaultdict()
+            numbers.default_factory = numbers.__len__
+            ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(tokens)), np.int32, int(lengths.sum()))
+            terms = list(numbers)
             sizes = np.bincount(ids)
             places = np.argsort(ids, kind="stable")
             first = np.cumsum(sizes) - sizes
             gaps = np.diff(places, prepend=0)
             gaps[first] = places[first]
+            alone = np.flatnonzero(sizes == 1)
+            rows, at = [], []
+            for low in range(0, len(alone), BATCH_WINDOWS):
+                some = alone[low:low + BATCH_WINDOWS]
+                line = b" ".join(map(terms.__getitem__, some.tolist()))
+                try:
+                    line.decode()
+                except UnicodeDecodeError:  # stays in rows of its own, byte for byte
+                    continue
+                rows.append(line)
+                at.append(some)
+            listed = np.ones(len(terms), bool)
+            for some in at:
+                listed[some] = False
+            kept = np.flatnonzero(listed)
+            flat = np.concatenate([gaps[np.repeat(listed, sizes)], lengths, *(gaps[first[x]] for x in at)])
+            sizes = np.concatenate([sizes[kept], [len(lengths)], [len(x) for x in at]]).astype(np.int64)
             keys = b"".join(k or bytes(_KEY_BYTES) for k in part.column("key").to_pylist())
-            sizes = np.append(sizes, len(lengths))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(sizes), number)), pa.array([*terms, _DIRECTORY], pa.binary()),
-                 pa.array(sizes), list_array(pa.array(np.concatenate([gaps, lengths]), pa.int32()), sizes),
-                 pa.array([None] * len(terms) + [keys], pa.binary())],
-                ["slice", "term", "n", "gaps", "texts"])
+                [pa.array(np.full(len(sizes), number)),
+                 pa.array([terms[k] for k in kept.tolist()] + [_DIRECTORY] + [None] * len(rows), pa.binary()),
+                 list_array(pa.array(flat, pa.int32()), sizes),
+                 pa.array([None] * len(kept) + [keys] + [None] * len(rows), pa.binary()),
+                 pa.array([None] * (len(kept) + 1) + rows, pa.binary())],
+                ["slice", "term", "gaps", "texts", "once"])
             number += 1
 
     column = F.col(f"`{text}`")
     rows = docs.select(column.cast("string").alias("text"), text_key(column).alias("key"))
-    return save_table(rows.mapInArrow(run, "slice long, term binary, n long, gaps array<int>, texts binary"))
+    return save_table(rows.mapInArrow(
+        run, "slice long, term binary, gaps array<int>, texts binary, once binary"))
+
+
+def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored lists (slice, term, gaps, texts) of the given terms (column ``term``)."""
+    several = index.where("term is not null").select("slice", "term", "gaps", "texts")
+    once = index.where("once is not null").select("slice", F.explode(F.arrays_zip(
+        F.split(F.col("once").cast("string"), " ").alias("term"), F.col("gaps").alias("place"))).alias("one")) \
+        .select("slice", F.col("one.term").cast("binary").alias("term"), F.col("one.place").alias("place"))
+    return several.join(terms, "term", "left_semi").unionByName(
+        once.join(terms, "term", "left_semi").select("slice", "term", F.array("place").alias("gaps")),
+        allowMissingColumns=True)
 
 
 # --- the windows of the test side --------------------------------------------
@@ -125,7 +157,7 @@ def cut_windows(benchmark: DataFrame, size: int) -> DataFrame:
 def by_rarity(phrases: DataFrame, lists: DataFrame) -> DataFrame:
     """(phrase, lead, places): the rarest term of each phrase and the places of all
     its terms from the rarest up. Phrases with a term that no text holds are gone."""
-    counts = lists.groupBy("term").agg(F.sum("n").alias("count"))
+    counts = lists.groupBy("term").agg(F.sum(F.size("gaps")).alias("count"))
     return phrases.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term")) \
         .join(counts, "term").groupBy("phrase") \
         .agg(F.array_sort(F.collect_list(F.struct("count", "place", "term"))).alias("ranked"),
@@ -243,14 +275,15 @@ def search_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     groups = int(size // GROUP_BYTES) + 1
     group = F.pmod(F.xxhash64("phrase"), F.lit(groups))
     phrases = windows.select("phrase", "terms").dropDuplicates(["phrase"])
-    vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
-    lists = index.join(vocabulary, "term", "left_semi")
-    routed = by_rarity(phrases, lists.select("term", "n")) \
-        .join(index.select(F.col("term").alias("lead"), "slice"), "lead") \
+    vocabulary = windows.select(
+        F.explode(F.array_append("terms", F.lit(bytearray(_DIRECTORY)))).alias("term")).distinct()
+    lists = save_table(postings(index, vocabulary))
+    routed = by_rarity(phrases, lists) \
+        .join(lists.select(F.col("term").alias("lead"), "slice"), "lead") \
         .select("slice", group.alias("group"), "phrase", "places")
-    posted = lists.unionByName(index.where(F.col("term") == F.lit(bytearray(_DIRECTORY)))) \
-        .select("slice", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("group"),
-                "term", "gaps", "texts")
+    posted = lists.select(
+        "slice", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("group"),
+        "term", "gaps", "texts")
     hits = posted.groupBy("slice", "group").cogroup(routed.groupBy("slice", "group")).applyInArrow(
         _search(slack), "key binary, phrase binary, start int, stop int, exact boolean").distinct()
     spans = hits.join(windows.select("phrase", "item_id"), "phrase") \

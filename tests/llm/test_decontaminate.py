@@ -48,6 +48,28 @@ def test_random_phrases(spark, monkeypatch):
     check(df, bench, list(enumerate(docs)), items)
     monkeypatch.setattr(dc, "GROUP_BYTES", 40)  # many groups of items
     check(df, bench, list(enumerate(docs)), items)
+    monkeypatch.setattr(dc, "GROUP_BYTES", 8 << 20)
+    monkeypatch.setattr(dc, "SLICE_BYTES", 300)  # several slices of the index
+    monkeypatch.setattr(dc, "BATCH_WINDOWS", 4)
+    monkeypatch.setattr(dc, "PLACES", 16)
+    check(df, bench, list(enumerate(docs)), items)
+
+
+def test_the_index_holds_every_position_of_every_term(spark, monkeypatch):
+    monkeypatch.setattr(dc, "SLICE_BYTES", 40)
+    docs = make_docs(spark, ["One two three two", "two; THREE", None, "", "é one", "four five six seven eight nine"])
+    index = dc.build_index(docs)
+    terms = index.sparkSession.createDataFrame(
+        [(bytearray(w.encode()),) for w in ("one", "two", "é", "nine", "ten")], "term binary")
+    assert sum(len(r.gaps) for r in dc.postings(index, terms).collect()) == 2 + 3 + 1 + 1
+    assert index.select("slice").distinct().count() > 1
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = make_docs(spark, ["seen once", "x"]).withColumn("text", F.expr(
+        "case when doc_id = 0 then cast(unhex('61FF2062206320FE') as string) else text end"))
+    bench = spark.range(1).selectExpr("'i' as item_id", "cast(unhex('61FF2062') as string) as text")
+    assert [r.doc_id for r in dc.decontaminate(docs, bench).collect()] == [1]
 
 
 def test_given_tables(spark, corpus):
