@@ -4,8 +4,10 @@ A token is emitted in two steps: the hidden state emits a class of tokens (a
 hash bucket; the end of text is a class of its own), and the class emits the
 token with its smoothed share of the class in the training texts. Baum-Welch
 trains the states on all training texts: tasks run the scaled forward-backward
-recursion and send expected counts, which are summed by class. Scores are
-exact likelihoods by the scaled forward recursion over the whole text.
+recursion over whole texts and send expected counts, which are summed by class.
+Long texts are stepped through in segments side by side; products of the steps
+of each segment carry the states over its borders, so no text is cut. Scores
+are exact likelihoods by the scaled forward recursion over the whole text.
 
 Token counts cover the whole corpus and are never gathered on the driver: texts
 are dealt into blocks, a block asks for the counts of its own words and gets
@@ -34,9 +36,14 @@ ITERATIONS = 3
 STICKY = 0.95
 #: Expected counts added to every class of every state, times the class's share.
 PRIOR = 50.0
-#: Tokens of one training sequence; longer texts train as several.
+#: Tokens that are stepped through one after the other; longer texts are several
+#: segments, whose borders are known before. It does not change any count.
 SEGMENT = 128
+#: Steps between two rescalings of a product.
+RESCALE = 8
 SLICE_BYTES = 1 << 20
+#: Bytes of classes (two a token) that are trained at once.
+TRAIN_BYTES = 1 << 19
 #: Bytes of text in one block of documents.
 BLOCK_BYTES = 12 << 20
 #: Fold of documents that are never learned from: remainder 2 of 7.
@@ -124,11 +131,54 @@ def forward(model: Model, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray
     return out
 
 
+def _products(model: Model, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each sequence the scaled product of its steps: weights (state before
+    the first emission, state of the last token)."""
+    order, starts, alive = _layout(lengths)
+    a = np.tile(np.eye(STATES), (len(lengths), 1, 1))
+    for t, n in enumerate(alive):
+        now = a[:n] if t == 0 else (a[:n].reshape(-1, STATES) @ model.follow).reshape(n, STATES, STATES)
+        now = now * model.emit[tokens[starts[:n] + t]][:, None]
+        if t % RESCALE == RESCALE - 1:
+            now /= now.sum(axis=(1, 2), keepdims=True)
+        a[:n] = now
+    out = np.empty_like(a)
+    out[order] = a / a.sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def _borders(model: Model, products: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chances of the states before the first emission of each segment, given the
+    text before it; weights of the states of its last token, given the text after
+    it). ``segments`` is the number of segments of each text."""
+    _, starts, alive = _layout(segments)
+    enter = np.tile(model.start, (len(products), 1))
+    leave = np.ones((len(products), STATES))
+    for k, n in enumerate(alive[1:], 1):
+        here = starts[:n] + k
+        a = (enter[here - 1][:, None] @ products[here - 1])[:, 0]
+        enter[here] = a / a.sum(axis=1, keepdims=True) @ model.follow
+    for k in range(len(alive) - 1, 0, -1):
+        here = starts[:alive[k]] + k
+        b = (products[here] @ leave[here][:, :, None])[:, :, 0] @ model.follow.T
+        leave[here - 1] = b / b.sum(axis=1, keepdims=True)
+    return enter, leave
+
+
 def expected_counts(model: Model, tokens: np.ndarray, lengths: np.ndarray):
-    """(starts, moves, emitted) of the posterior state paths."""
-    _, starts, alive = _layout(lengths)
+    """(starts, moves, emitted) of the posterior state paths of whole texts."""
+    lengths, segments, head = _segments(lengths)
+    enter = np.tile(model.start, (len(lengths), 1))
+    leave = np.ones((len(lengths), STATES))
+    many = np.repeat(segments > 1, segments)
+    if many.any():
+        products = _products(model, tokens[np.repeat(many, lengths)], lengths[many])
+        enter[many], leave[many] = _borders(model, products, segments[segments > 1])
+
+    order, starts, alive = _layout(lengths)
     at = [starts[:n] + t for t, n in enumerate(alive)]
-    scales, a = [], np.tile(model.start, (len(lengths), 1))
+    leave = leave[order]
+    scales, a = [], enter[order]
     posterior = np.empty((len(tokens), STATES))
     for t, place in enumerate(at):
         a = a[:len(place)] if t == 0 else a[:len(place)] @ model.follow
@@ -137,29 +187,35 @@ def expected_counts(model: Model, tokens: np.ndarray, lengths: np.ndarray):
         a /= scale
         posterior[place] = a
         scales.append(scale)
+    last = posterior[np.cumsum(lengths) - 1]  # given the text up to the segment's end
     moves = np.zeros((STATES, STATES))
     later = np.ones((0, STATES))
     for t in range(len(at) - 1, -1, -1):
-        n = len(at[t])
-        back = np.ones((n, STATES))
-        if len(later):
-            m = len(later)
-            moves += model.follow * (posterior[at[t][:m]].T @ later)
-            back[:m] = later @ model.follow.T
+        n, m = len(at[t]), len(later)
         now = posterior[at[t]]
+        moves += model.follow * (now[:m].T @ later)
+        ends = leave[m:n] / (now[m:] * leave[m:n]).sum(axis=1, keepdims=True)
+        back = np.concatenate([later @ model.follow.T, ends])
         later = model.emit[tokens[at[t]]] * back / scales[t]
         posterior[at[t]] = now * back
+    first = np.empty((len(lengths), STATES))
+    first[order] = later
+    over = np.flatnonzero(~head)  # moves from one segment of a text to its next
+    moves += model.follow * (last[over - 1].T @ first[over])
     emitted = np.stack([np.bincount(tokens, posterior[:, s], CLASSES + 1) for s in range(STATES)], axis=1)
-    first = posterior[at[0]].sum(axis=0) if len(at) else np.zeros(STATES)
-    return first, moves, emitted
+    begin = (np.cumsum(lengths) - lengths)[head]
+    return posterior[begin].sum(axis=0), moves, emitted
 
 
-def _segments(lengths: np.ndarray) -> np.ndarray:
-    """Lengths of training sequences: texts cut every SEGMENT tokens."""
+def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths of all segments, number of segments of each text, whether a
+    segment is its text's first)."""
     n = -(-lengths // SEGMENT)
     out = np.full(int(n.sum()), SEGMENT)
     out[np.cumsum(n) - 1] = lengths - (n - 1) * SEGMENT
-    return out
+    head = np.zeros(len(out), bool)
+    head[np.cumsum(n) - n] = True
+    return out, n, head
 
 
 def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
@@ -172,13 +228,28 @@ def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r.chunk: np.frombuffer(r.counts, np.float64) for r in rows}  # of fixed size in all
 
 
-def _gather(texts: DataFrame, count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _encoded(texts: DataFrame) -> DataFrame:
+    """Table of the classes of each text's tokens (column ``tokens``, two bytes
+    each), written once for all passes of the training."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", SLICE_BYTES):
+            tokens, lengths = class_sequences(part.column("text"))
+            data = tokens.astype(np.int16).tobytes()
+            stops = 2 * np.cumsum(lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(
+                [data[a:b] for a, b in zip(stops - 2 * lengths, stops)], pa.binary())], ["tokens"])
+
+    return save_table(texts.select("text").mapInArrow(run, "tokens binary"))
+
+
+def _gather(encoded: DataFrame, count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, moves, emitted) of ``count(tokens, lengths)`` over all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small, emitted = np.zeros(STATES + STATES * STATES), np.zeros((CLASSES + 1, STATES))
         seen = False
-        for part in text_slices(batches, "text", SLICE_BYTES):
-            first, moves, out = count(*class_sequences(part.column("text")))
+        for part in text_slices(batches, "tokens", TRAIN_BYTES):
+            data, offsets = flat_bytes(part.column("tokens"))
+            first, moves, out = count(data.view(np.int16).astype(np.int64), np.diff(offsets) // 2)
             small += np.concatenate([first, moves.ravel()])
             emitted += out
             seen = True
@@ -188,7 +259,7 @@ def _gather(texts: DataFrame, count) -> tuple[np.ndarray, np.ndarray, np.ndarray
                 [pa.array(np.arange(-1, len(chunks) - 1), pa.int32()),
                  pa.array([c.tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
 
-    total = _summed(texts.select("text").mapInArrow(run, "chunk int, counts binary"))
+    total = _summed(encoded.select("tokens").mapInArrow(run, "chunk int, counts binary"))
     if not total:
         return np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES + 1, STATES))
     small = total.pop(-1)
@@ -203,13 +274,14 @@ def train(texts: DataFrame, iterations: int = ITERATIONS) -> tuple[Model, np.nda
         out[:, 0] = np.bincount(tokens, minlength=CLASSES + 1)
         return np.zeros(STATES), np.zeros((STATES, STATES)), out
 
-    tokens_of = _gather(texts, tally)[2][:, 0]
+    encoded = _encoded(texts)
+    tokens_of = _gather(encoded, tally)[2][:, 0]
     share = (tokens_of + 1) / (tokens_of + 1).sum()
     model = Model.initial(share)
     for _ in range(iterations):
         def count(tokens, lengths, model=model):
-            return expected_counts(model, tokens, _segments(lengths))
-        model = Model.from_counts(*_gather(texts, count), share)
+            return expected_counts(model, tokens, lengths)
+        model = Model.from_counts(*_gather(encoded, count), share)
     return model, tokens_of
 
 

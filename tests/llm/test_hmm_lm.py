@@ -93,6 +93,48 @@ def test_forward_and_counts_equal_the_sum_over_all_paths(monkeypatch):
     assert all(np.allclose(g, w) for g, w in zip(got, (first, moves, emitted)))
 
 
+def test_segments_change_no_count(monkeypatch):
+    m = small_model(monkeypatch)
+    r = np.random.default_rng(5)
+    seqs = [np.append(r.integers(0, 5, n), 5) for n in (0, 1, 3, 4, 40, 7, 8, 2, 333, 3)]
+    flat, lengths = np.concatenate(seqs), np.array([len(s) for s in seqs])
+    monkeypatch.setattr(lm, "SEGMENT", 1000)
+    whole = lm.expected_counts(m, flat, lengths)
+    assert np.isclose(whole[0].sum(), len(seqs))
+    assert np.isclose(whole[1].sum(), lengths.sum() - len(seqs)) and np.isclose(whole[2].sum(), lengths.sum())
+    for segment in (1, 2, 3, 4, 50):
+        monkeypatch.setattr(lm, "SEGMENT", segment)
+        assert all(np.allclose(g, w) for g, w in zip(lm.expected_counts(m, flat, lengths), whole))
+
+
+def test_segments_of_unlikely_classes(monkeypatch):
+    m = small_model(monkeypatch)
+    m.emit[1] = [1e-30, 2e-30, 1e-31]
+    flat = np.array([1] * 700 + [5])
+    monkeypatch.setattr(lm, "SEGMENT", 1000)
+    whole = lm.expected_counts(m, flat, np.array([701]))
+    monkeypatch.setattr(lm, "SEGMENT", 64)
+    assert all(np.allclose(g, w) for g, w in zip(lm.expected_counts(m, flat, np.array([701])), whole))
+
+
+def test_training_counts_starts_and_moves_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT", 4)
+    seen = []
+    keep = lm.Model.from_counts.__func__
+
+    def from_counts(cls, starts, moves, emitted, share):
+        seen.append((starts.sum(), moves.sum(), emitted.sum()))
+        return keep(cls, starts, moves, emitted, share)
+
+    monkeypatch.setattr(lm.Model, "from_counts", classmethod(from_counts))
+    texts = ["one two three four five six seven", "", None, "a b c d", "x " * 50]
+    docs = make_docs(spark, texts)
+    _, tokens_of = lm.train(docs)
+    n = sum(len(tokens(t)) for t in texts)
+    assert tokens_of.sum() == n
+    assert all(np.allclose(c, (len(texts), n - len(texts), n)) for c in seen) and len(seen) == lm.ITERATIONS
+
+
 def test_a_model_is_a_probability(spark):
     share = np.full(lm.CLASSES + 1, 1 / (lm.CLASSES + 1))
     m = lm.Model.initial(share)
